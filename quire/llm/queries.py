@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_counts
+from . import bpe, mixing, quality, sharding, token_counts
 from .shared import table
 
 
@@ -35,7 +35,37 @@ def op5_token_counts(spark: SparkSession, sf_dir: str, path: str = public_tokeni
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_token_counts": op5_token_counts}
+def op2_sharding(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame:
+    """All documents on a ring of shards, counts at most one apart."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = sharding.assign(docs, ["doc_id", "size", "text_crc32"], shards)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Target weights of the mixture; nodes that aren't named weigh 1.
+WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}, "source": {"src0": 2}}
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that a mixture of three fifths of all tokens takes, in at most two epochs."""
+    return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, (3, 5), max_epochs=2, seed=17)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document, by rules learned from labels.quality."""
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.learn(quality.labelled_rows(docs, table(spark, sf_dir, "labels")))
+    return quality.judge(docs.select("doc_id", "text"), rules).select("doc_id", *quality.STATISTICS, "base_failed", "kept", "rule")
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_sharding": op2_sharding,
+    "op5_token_counts": op5_token_counts,
+    "op6_mixing": op6_mixing,
+    "op7_quality_rules": op7_quality_rules,
+}
 
 #: DuckDB SQL for the queries that it can express; the tests compare the others with brute force.
 ORACLE_SQL: dict[str, str] = {}
