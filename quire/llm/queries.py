@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding, token_counts
-from .shared import table
+from . import bpe, language_id, mixing, quality, sharding, token_counts, toxicity
+from .shared import crc_of_id, table
 
 
 @functools.cache
@@ -28,6 +28,21 @@ def op1_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels.toxic outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.train(docs, table(spark, sf_dir, "labels").filter(crc_of_id() % 5 != 0))
+    out = toxicity.score(docs.withColumn("held_out", crc_of_id() % 5 == 0), net, keep=("doc_id", "held_out"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(crc_of_id() % 5 != 0))
+    return language_id.predict(docs.withColumn("held_out", crc_of_id() % 5 == 0), model, keep=("doc_id", "held_out"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.json"), limit: int = 512) -> DataFrame:
     """Tokens of every text by the tokenizer file, and whether they exceed the limit."""
     merges, special = token_counts.read_merges(path)
@@ -62,6 +77,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
+    "op3_toxicity": op3_toxicity,
+    "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
