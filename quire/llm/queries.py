@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, quality, sharding, token_counts, toxicity
+from . import bpe, ctw, language_id, mixing, quality, sharding, token_counts, toxicity
 from .shared import crc_of_id, table
 
 
@@ -74,6 +74,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs.select("doc_id", "text"), rules).select("doc_id", *quality.STATISTICS, "base_failed", "kept", "rule")
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a tree and counts of the training four fifths."""
+    docs = table(spark, sf_dir, "documents")
+    tree, words = ctw.train(docs.filter(crc_of_id() % 5 != 1))
+    out = ctw.score(docs.withColumn("held_out", crc_of_id() % 5 == 1), tree, words, keep=("doc_id", "held_out"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "code_length")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
@@ -82,6 +90,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_lm_scores": op8_lm_scores,
 }
 
 #: DuckDB SQL for the queries that it can express; the tests compare the others with brute force.

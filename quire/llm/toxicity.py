@@ -204,6 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
 
 
 def fit(texts: Sequence[np.ndarray], truth: np.ndarray, langs: Sequence[str | None]) -> Net:
+    first = {t.tobytes(): i for i, t in reversed(list(enumerate(texts)))}  # of equal texts, one
+    texts, truth, langs = [texts[i] for i in sorted(first.values())], truth[sorted(first.values())], [langs[i] for i in sorted(first.values())]
     fitted = [i for i in range(len(texts)) if i % 4]
     own = [np.unique(texts[i]) for i in fitted]
     seen, docs = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.int32), np.zeros(0, int))
