@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, language_id, mixing, quality, sharding, token_counts, toxicity
+from . import bpe, ctw, language_id, mixing, near_duplicates, quality, sharding, token_counts, toxicity
 from .shared import crc_of_id, table
 
 
@@ -82,6 +82,12 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "code_length")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document: five-word shingles, similarity of 0.8 or more."""
+    found = near_duplicates.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
@@ -91,6 +97,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_lm_scores": op8_lm_scores,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 #: DuckDB SQL for the queries that it can express; the tests compare the others with brute force.
