@@ -215,3 +215,11 @@ def judge(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     kept = [c for c in docs.columns if c.lower() not in ("base_failed", "rule", "kept")]
     out = with_statistics(docs).select(*(c for c in kept if c.lower() not in STATISTICS), *STATISTICS, base_failed().alias("base_failed"), verdict(rules).alias("rule"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def keep(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The documents that pass the base rules and the list, with all columns that docs has."""
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    text = dict(zip(docs.columns, inner, strict=True))["text"]
+    out = with_statistics(docs.toDF(*inner), text).filter(~base_failed() & (verdict(rules) == 0))
+    return out.select(*inner).toDF(*docs.columns)

@@ -244,3 +244,11 @@ def score(df: DataFrame, net: Net, text_col: str = "text", keep: Sequence[str] =
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], found], names=schema.names)
 
     return df.select(*kept, df[text_col].alias("_text" if "_text" not in kept else "__text")).mapInArrow(run, schema)
+
+
+def keep(docs: DataFrame, net: Net) -> DataFrame:
+    """The documents whose score is below 0.5, with all columns that docs has."""
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    text = dict(zip(docs.columns, inner, strict=True))["text"]
+    out = score(docs.toDF(*inner), net, text, keep=inner, name="toxicity").filter("toxicity < 0.5")
+    return out.select(*inner).toDF(*docs.columns)
