@@ -79,7 +79,7 @@ def normalize(pages: DataFrame, specs: str = "-", column: str = "content") -> Da
     tokens = F.regexp_extract_all(F.col(column), F.lit(r"\((?:\\.|[^()\\])*\)|\[(?:\((?:\\.|[^()\\])*\)|[^\]])*\]|[^\s\[\]()]+"), F.lit(0))
     lines = F.array_join(F.transform(tokens, lambda t: F.concat(t, F.when(t.rlike(r"^[A-Za-z'\"][A-Za-z0-9*]*$"), F.lit("\n")).otherwise(F.lit(" ")))), "")
     hit = any_match(parse(specs), F.col("page_no"), F.col("n_pages"))
-    return pages.withColumn(column, F.when(hit, F.rtrim(lines)).otherwise(F.col(column))).drop("n_pages")
+    return pages.withColumn(column, F.when(hit, F.rtrim(lines, F.lit(" \n"))).otherwise(F.col(column))).drop("n_pages")
 
 
 def dump_text(pages: DataFrame, column: str = "content") -> DataFrame:

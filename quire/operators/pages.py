@@ -47,21 +47,26 @@ def plan(documents: DataFrame, specs: Sequence[PageSpec], by: Sequence[str] = ("
         return rows if s.handle is None else F.when(F.col("handle") == s.handle, rows)
 
     chosen = F.flatten(F.array_compact(F.array(*(part(i, s) for i, s in enumerate(specs)))))
-    out = documents.select(*dict.fromkeys([*by, "doc_id"]), F.inline(chosen))
+    keys = _keys(documents, by)
+    out = documents.select(*keys, F.inline(chosen))
     order = ("pos", "spec_idx") if interleave else ("spec_idx", "pos")
-    out = renumber(out, *order, "doc_id", by=by, name="out_page")
-    copies = Window.partitionBy(*dict.fromkeys([*by, "doc_id"]), "src_page").orderBy("out_page")
+    out = renumber(out, *order, *keys, by=by, name="out_page")
+    copies = Window.partitionBy(*keys, "src_page").orderBy("out_page")
     return out.withColumn("instance_num", (F.row_number().over(copies) - 1).cast("int")).drop("spec_idx", "pos")
 
 
+def _keys(frame: DataFrame, by: Sequence[str]) -> list[str]:
+    """What tells documents apart: the set, the document, and the input that it comes from."""
+    return [*dict.fromkeys([*by, "doc_id"]), *(["handle"] if "handle" in frame.columns else [])]
+
+
 def documents_of(pages: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
-    keys = [*dict.fromkeys([*by, "doc_id"]), *(["handle"] if "handle" in pages.columns else [])]
-    return pages.groupBy(*keys).agg(F.max("page_no").cast("int").alias("n_pages"))
+    return pages.groupBy(*_keys(pages, by)).agg(F.max("page_no").cast("int").alias("n_pages"))
 
 
 def _apply(pages: DataFrame, chosen: DataFrame, by: Sequence[str]) -> DataFrame:
     """The planned pages with their content, which is joined last."""
-    keys = list(dict.fromkeys([*by, "doc_id"]))
+    keys = _keys(pages, by)
     out = pages.drop("n_pages").withColumnRenamed("page_no", "src_page").join(chosen, [*keys, "src_page"])
     if "rotation" in pages.columns:
         out = out.withColumn("rotation", F.pmod(F.when(F.col("is_relative"), F.col("rotation") + F.col("angle")).otherwise(F.col("angle")), F.lit(360)))
