@@ -64,26 +64,58 @@ def documents_of(pages: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame
     return pages.groupBy(*_keys(pages, by)).agg(F.max("page_no").cast("int").alias("n_pages"))
 
 
-def _apply(pages: DataFrame, chosen: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The planned pages with their content, which is joined last."""
+def _select(pages: DataFrame, specs: Sequence[PageSpec], by: Sequence[str], interleave: bool, strict: bool) -> DataFrame:
+    """Pages with a row for each time that they are taken, in one exchange.
+
+    A page knows from its number and the document's total which specs take it, and its
+    place among a spec's pages is its number, counted up or down. So no plan is joined
+    back: rows are exploded where they are, and all windows are by the set.
+    """
     keys = _keys(pages, by)
-    out = pages.drop("n_pages").withColumnRenamed("page_no", "src_page").join(chosen, [*keys, "src_page"])
-    if "rotation" in pages.columns:
+    if list(by) != keys:
+        pages = pages.repartition(*by)  # the documents of a set together, for the windows of both
+    pages = with_total(pages, keys)
+    page, total = F.col("page_no"), F.col("n_pages")
+
+    def part(i: int, s: PageSpec) -> Column:
+        a, b = s.start.column(total), s.end.column(total)
+        fits = a.between(1, total) & b.between(1, total)
+        angle, relative = s.rotate or (0, True)
+        row = F.struct(F.lit(i).alias("spec_idx"), F.when(a <= b, page).otherwise(-page).alias("pos"), F.lit(angle).alias("angle"), F.lit(relative).alias("is_relative"), F.lit(s.scale).alias("scale"))
+        hit = fits & s.match_column(page, total)
+        if strict:
+            hit = F.when(fits, s.match_column(page, total)).otherwise(F.raise_error(F.concat(F.lit(f"{s.text!r} selects a page out of range 1-"), total.cast("string"))).cast("boolean"))
+        if s.handle is not None:
+            return F.when(F.col("handle") == s.handle, F.when(hit, row))
+        return F.when(hit, row)
+
+    taken = F.array_compact(F.array(*(part(i, s) for i, s in enumerate(specs))))
+    out = pages.select(*(c for c in pages.columns if c != "n_pages"), F.inline(taken)).withColumnRenamed("page_no", "src_page")
+    others = [k for k in keys if k not in by]
+    if interleave:
+        out = renumber(out, "pos", *others, by=[*by, "spec_idx"], name="pos")
+        out = renumber(out, "pos", "spec_idx", by=by)
+    else:
+        # of one spec, the documents of a set follow each other page by page, as in a plan
+        out = renumber(out, "spec_idx", "pos", *others, by=by)
+    copies = Window.partitionBy(*by, *others, "src_page").orderBy("page_no")
+    out = out.withColumn("instance_num", (F.row_number().over(copies) - 1).cast("int")).drop("spec_idx", "pos")
+    if "rotation" in out.columns:
         out = out.withColumn("rotation", F.pmod(F.when(F.col("is_relative"), F.col("rotation") + F.col("angle")).otherwise(F.col("angle")), F.lit(360)))
     for c in ("width", "height"):
-        if c in pages.columns:
+        if c in out.columns:
             out = out.withColumn(c, F.col(c) * F.col("scale"))
-    return out.withColumnRenamed("out_page", "page_no")
+    return out
 
 
 def cat(pages: DataFrame, specs: str | Sequence[str] = ("",), by: Sequence[str] = ("doc_id",), handles=None, strict: bool = True) -> DataFrame:
     """Ordered concatenation; pages may repeat. Adds src_page, instance_num, angle, is_relative and scale."""
-    return _apply(pages, plan(documents_of(pages, by), _specs(specs, handles), by, strict=strict), by)
+    return _select(pages, _specs(specs, handles), by, False, strict)
 
 
 def shuffle(pages: DataFrame, specs: str | Sequence[str], by: Sequence[str] = ("doc_id",), handles=None, strict: bool = True) -> DataFrame:
     """One page of every spec in turn, passing over specs that have run out."""
-    return _apply(pages, plan(documents_of(pages, by), _specs(specs, handles), by, interleave=True, strict=strict), by)
+    return _select(pages, _specs(specs, handles), by, True, strict)
 
 
 def burst(pages: DataFrame, pattern: str = "pg_%04d.pdf") -> DataFrame:
