@@ -11,11 +11,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..errors import InvalidArgument, MissingArgument
 from ..pagespec import PageSpec, any_match, fold, parse
 
 
+#: Ranges of documents that burst sums up apart.
+RANGES = 256
+
+
 def with_total(pages: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
     """pages and n_pages, the number of pages of the document."""
     return pages if "n_pages" in pages.columns else pages.withColumn("n_pages", F.count(F.lit(1)).over(Window.partitionBy(*by)).cast("int"))
@@ -127,8 +132,12 @@ def burst(pages: DataFrame, pattern: str = "pg_%04d.pdf") -> DataFrame:
     if "%" not in pattern:
         raise InvalidArgument(f"the pattern must have a %: {pattern!r}")
     sizes = pages.groupBy("doc_id").agg(F.max("page_no").cast("long").alias("n"))
-    parts = sizes.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
-    # of each range of documents one row comes together
+    part = F.lit(0)
+    if isinstance(pages.schema["doc_id"].dataType, NumericType):
+        # bounds are numbers of the driver, so that every task deals documents out alike
+        bounds = sizes.agg(F.percentile_approx("doc_id", [k / RANGES for k in range(1, RANGES)], 10_000).alias("b")).first()["b"] or []
+        part = F.size(F.filter(F.array(*(F.lit(x) for x in sorted(set(bounds)))), lambda x: x < F.col("doc_id"))) if bounds else part
+    parts = sizes.withColumn("part", part)
     before = parts.groupBy("part").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
     within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = parts.withColumn("within", within).join(F.broadcast(before), "part").select("doc_id", (F.col("base") + F.col("within")).alias("offset"))
