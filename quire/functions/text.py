@@ -34,6 +34,19 @@ def xml_decode(text: Column) -> Column:
     return text
 
 
+def decode_all(df):
+    """df with every string, and every string in arrays and map values, decoded."""
+    out = {}
+    for name, kind in df.dtypes:
+        if kind == "string":
+            out[name] = xml_decode(F.col(name))
+        elif kind == "array<string>":
+            out[name] = F.transform(name, xml_decode)
+        elif kind.startswith("map<") and kind.endswith(",string>"):
+            out[name] = F.transform_values(name, lambda _, v: xml_decode(v))
+    return df.withColumns(out) if out else df
+
+
 def _character(number: Column) -> Column:
     """The character of a code point, by its bytes in UTF-32."""
     return F.decode(F.unhex(F.lpad(F.hex(number.cast("long")), 8, "0")), "UTF-32")

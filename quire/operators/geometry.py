@@ -56,8 +56,13 @@ def margins(text: str, width: Column, height: Column) -> tuple[Column, Column, C
     return length(left, width), length(top, height), length(right, width), length(bottom, height)
 
 
-def crop(pages: DataFrame, rules: Sequence[str]) -> DataFrame:
-    """`pages(margins or paper)`: the box of the last rule that selects the page; a box without area is left as it was."""
+def crop(pages: DataFrame, rules: Sequence[str], preview: bool = False) -> DataFrame:
+    """`pages(margins or paper)`: the box of the last rule that selects the page; a box without area is left as it was.
+
+    With preview (or the last rule being that word) boxes stay, and preview_x0 to preview_y1 say what they would be.
+    """
+    if rules and rules[-1] == "preview":
+        rules, preview = rules[:-1], True
     pages = with_total(pages)
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     made = []
@@ -70,7 +75,7 @@ def crop(pages: DataFrame, rules: Sequence[str]) -> DataFrame:
     fits = (F.col("_box.x1") > F.col("_box.x0")) & (F.col("_box.y1") > F.col("_box.y0"))
     out = out.withColumn("_box", F.when(fits, F.col("_box")).otherwise(own))
     for c in BOX:
-        out = out.withColumn(c, F.col(f"_box.{c}"))
+        out = out.withColumn(f"preview_{c}" if preview else c, F.col(f"_box.{c}"))
     return out.drop("_box", "n_pages")
 
 
@@ -216,6 +221,23 @@ def place(pages: DataFrame, rules: Sequence[str]) -> DataFrame:
     return out.select(*(c for c in pages.columns if c != "n_pages"), "_m.*")
 
 
+def place_annots(annots: DataFrame, placed: DataFrame) -> DataFrame:
+    """Annotations of placed pages: ax0 to ay1 become the box around the moved rectangle, and each point of
+    quads (an array of x, y, x, y, ...) is moved; their drawn appearance no longer fits and goes."""
+    m = tuple(F.col(c) for c in ("m_a", "m_b", "m_c", "m_d", "m_e", "m_f"))
+    out = annots.join(placed.select("doc_id", "page_no", *("m_a", "m_b", "m_c", "m_d", "m_e", "m_f")), ["doc_id", "page_no"])
+    box = bounds(m, [F.col(c) for c in ("ax0", "ay0", "ax1", "ay1")])
+    out = out.withColumns(dict(zip(("_0", "_1", "_2", "_3"), box, strict=True)))
+    if "quads" in annots.columns:
+        a, b, c, d, e, f = m
+        q = F.col("quads")
+        moved = F.transform(q, lambda v, i: F.when(i % 2 == 0, v * a + F.get(q, i + 1) * c + e).otherwise(F.get(q, i - 1) * b + v * d + f))
+        out = out.withColumn("quads", moved)
+    for i, c in enumerate(("ax0", "ay0", "ax1", "ay1")):
+        out = out.withColumn(c, F.col(f"_{i}")).drop(f"_{i}")
+    return out.drop("appearance", "m_a", "m_b", "m_c", "m_d", "m_e", "m_f")
+
+
 def overlay(pages: DataFrame, over: DataFrame, multi: bool = False, on_top: bool = True) -> DataFrame:
     """Layout of an overlay's page on every page, fitted to the page's box and centred.
 

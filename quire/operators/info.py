@@ -121,6 +121,54 @@ def roman(column: str):
     return out
 
 
+def skip_jumps(outlines: DataFrame) -> DataFrame:
+    """Without bookmarks that are more than one level below the last one kept: a fold over each document's list."""
+    rows = F.sort_array(F.collect_list(F.struct("seq", "level")))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("kept"))
+
+    def step(acc, b):
+        fits = b["level"] <= acc["depth"] + 1
+        return F.struct(F.when(fits, b["level"].cast("int")).otherwise(acc["depth"]).alias("depth"), F.when(fits, F.array_append(acc["kept"], b["seq"].cast("bigint"))).otherwise(acc["kept"]).alias("kept"))
+
+    kept = outlines.groupBy("doc_id").agg(F.aggregate(rows, start, step, lambda acc: acc["kept"]).alias("kept"))
+    return outlines.join(kept.select("doc_id", F.explode("kept").alias("seq")), ["doc_id", "seq"], "left_semi")
+
+
+#: Numbering styles that a label may have. Fixed names.
+STYLES = ("DecimalArabicNumerals", "UppercaseRomanNumerals", "LowercaseRomanNumerals", "UppercaseLetters", "LowercaseLetters", "NoNumber")
+
+
+def records(stanzas: DataFrame, kind: str) -> DataFrame:
+    """A row for each record of a kind, its fields as columns."""
+    own = stanzas.filter(F.col("kind") == kind)
+    return own.groupBy("doc_id", "record").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in SECTIONS[kind]))
+
+
+def updates(stanzas: DataFrame) -> dict[str, DataFrame]:
+    """docinfo, outlines, page_labels, page_media and ids that the stanzas set. Numbers may have separators."""
+    whole = lambda c: F.expr(f"try_cast(replace({c}, ',', '') as int)")
+    marks = records(stanzas, "Bookmark").select("doc_id", F.col("record").alias("seq"), F.col("Title").alias("title"), whole("Level").alias("level"), whole("PageNumber").alias("page_no"))
+    labels = records(stanzas, "PageLabel").select("doc_id", whole("NewIndex").alias("new_index"), F.coalesce(whole("Start"), F.lit(1)).alias("start"), F.col("Prefix").alias("prefix"), F.col("NumStyle").alias("num_style"))
+    media = records(stanzas, "PageMedia").select("doc_id", whole("Number").alias("page_no"), whole("Rotation").alias("new_rotation"), F.split("Rect", " +").alias("r"))
+    corners = [F.expr(f"try_cast(replace(try_element_at(r, {i}), ',', '') as double)").alias(f"new_{c}") for i, c in enumerate(("x0", "y0", "x1", "y1"), 1)]
+    return {
+        "docinfo": records(stanzas, "Info").select("doc_id", F.col("Key").alias("key"), F.col("Value").alias("value")),
+        "outlines": skip_jumps(marks),
+        "page_labels": labels.filter((F.col("new_index") >= 1) & F.col("num_style").isin(*STYLES)),
+        "page_media": media.select("doc_id", "page_no", "new_rotation", *corners),
+        "ids": stanzas.filter("kind = 'Document' and field = 'PdfID0'").select("doc_id", F.col("value").alias("id0")),
+    }
+
+
+def set_media(pages: DataFrame, media: DataFrame) -> DataFrame:
+    """New rotations and boxes by page; what isn't given stays."""
+    out = pages.join(media, ["doc_id", "page_no"], "left")
+    for c in ("rotation", "x0", "y0", "x1", "y1"):
+        if c in pages.columns:
+            out = out.withColumn(c, F.coalesce(F.col(f"new_{c}"), F.col(c)))
+    return out.select(*pages.columns)
+
+
 def bookmark_tree(outlines: DataFrame, total: str = "n_pages") -> DataFrame:
     """outlines (doc_id, seq, level, page_no) with parent_seq: the last bookmark before it that is one level up.
 

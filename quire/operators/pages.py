@@ -107,7 +107,7 @@ def _select(pages: DataFrame, specs: Sequence[PageSpec], by: Sequence[str], inte
     out = out.withColumn("instance_num", (F.row_number().over(copies) - 1).cast("int")).drop("spec_idx", "pos")
     if "rotation" in out.columns:
         out = out.withColumn("rotation", F.pmod(F.when(F.col("is_relative"), F.col("rotation") + F.col("angle")).otherwise(F.col("angle")), F.lit(360)))
-    for c in ("width", "height"):
+    for c in ("width", "height", "x0", "y0", "x1", "y1"):
         if c in out.columns:
             out = out.withColumn(c, F.col(c) * F.col("scale"))
     return out
@@ -202,7 +202,7 @@ def rotate(pages: DataFrame, specs: str | Sequence[str]) -> DataFrame:
         return now if s.rotate is None else (F.pmod(now + s.rotate[0], F.lit(360)) if s.rotate[1] else F.lit(s.rotate[0]))
 
     out = pages.withColumn("rotation", fold(own, F.col("rotation"), turn, page, total).cast("int"))
-    for c in ("width", "height"):
+    for c in ("width", "height", "x0", "y0", "x1", "y1"):
         if c in pages.columns:
             out = out.withColumn(c, fold(own, F.col(c), lambda now, s: now * s.scale if s.scale != 1 else now, page, total))
     return out.drop("n_pages")

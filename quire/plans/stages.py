@@ -42,6 +42,7 @@ class Stage:
     operation: str
     inputs: list[str] = field(default_factory=list)
     handles: dict[str, str] = field(default_factory=dict)
+    passwords: dict[str, str] = field(default_factory=dict)
     args: list[str] = field(default_factory=list)
     options: dict[str, Any] = field(default_factory=dict)
 
@@ -66,6 +67,12 @@ def _stage(words: Sequence[str], first: bool) -> Stage:
     if at is None:
         cut = next((i for i, w in enumerate(rest) if w.lower() in OPTIONS), len(rest))
         before, rest = rest[:cut], rest[cut:]
+    given: list[str] = []
+    if "input_pw" in before:
+        i = list(before).index("input_pw")
+        before, given = before[:i], list(before[i + 1 :])
+        if not given:
+            raise MissingArgument("a password after input_pw")
     for w in before:
         handle, eq, name = w.partition("=")
         if eq and re.fullmatch(r"[A-Za-z]", handle):
@@ -75,6 +82,17 @@ def _stage(words: Sequence[str], first: bool) -> Stage:
             out.inputs.append(w)
     if not first and not out.inputs:
         out.inputs = ["_"]
+    by_place = []
+    for g in given:  # by handle, then by place
+        handle, eq, word = g.partition("=")
+        if eq and handle.upper() in out.handles:
+            out.passwords[out.handles[handle.upper()]] = word
+        else:
+            by_place.append(g)
+    left = [n for n in out.inputs if n not in out.passwords]
+    if len(by_place) > len(left):
+        raise InvalidCommand("more passwords than inputs")
+    out.passwords |= dict(zip(left, by_place, strict=False))
     if at is None and len(out.inputs) > 1:
         out.operation = "cat"
     start = next((i for i, w in enumerate(rest) if w.lower() in OPTIONS), len(rest))
@@ -125,6 +143,11 @@ def with_options(bundle: Bundle, options: Mapping[str, Any]) -> Bundle:
     for option, column in (("drop_xmp", "xmp"), ("drop_xfa", "xfa")):
         if options.get(option) and "documents" in frames and column in frames["documents"].columns:
             frames["documents"] = frames["documents"].withColumn(column, F.lit(None).cast("string"))
+    for option, pick in (("keep_first_id", F.min_by), ("keep_final_id", F.max_by)):
+        if options.get(option) and "documents" in frames and {"input_idx", "id0"} <= set(frames["documents"].columns):
+            own = frames["documents"]
+            key = "set_id" if "set_id" in own.columns else "doc_id"
+            frames["output_ids"] = own.groupBy(key).agg(pick("id0", "input_idx").alias("id0"))
     if options.get("flatten"):
         frames.pop("annots", None)
         frames.pop("fields", None)

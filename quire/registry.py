@@ -174,9 +174,19 @@ def _dump_data(name: str, escape: bool) -> None:
 
 def _update_info(name: str, decode: bool) -> None:
     def run(bundle: Bundle, lines: DataFrame) -> Bundle:
-        read = info.read_stanzas(lines, decode)
-        pairs = read.filter("kind = 'Info'").groupBy("doc_id", "record").agg(F.max(F.when(F.col("field") == "Key", F.col("value"))).alias("key"), F.max(F.when(F.col("field") == "Value", F.col("value"))).alias("value"))
-        return bundle.with_(docinfo=info.update_docinfo(bundle["docinfo"], pairs.select("doc_id", "key", "value")))
+        new = info.updates(info.read_stanzas(lines, decode))
+        frames = dict(bundle.relations)
+        if "docinfo" in frames:
+            frames["docinfo"] = info.update_docinfo(frames["docinfo"], new["docinfo"])
+        for name in ("outlines", "page_labels"):
+            if name in frames:
+                frames[name] = info.replace_all(frames[name], new[name])
+        if "pages" in frames:
+            frames["pages"] = info.set_media(frames["pages"], new["page_media"])
+        if "documents" in frames and "id0" in frames["documents"].columns:
+            ids = new["ids"].withColumnRenamed("id0", "_id0")
+            frames["documents"] = frames["documents"].join(ids, "doc_id", "left").withColumn("id0", F.coalesce("_id0", "id0")).drop("_id0")
+        return replace(bundle, relations=frames)
 
     run.__doc__ = "Metadata from stanza lines."
     operation(name, f"{name} <lines>", ("info",))(run)

@@ -49,6 +49,36 @@ def xfdf_values(text: DataFrame) -> DataFrame:
     return text.select("doc_id", F.posexplode(F.arrays_zip(names.alias("n"), values.alias("v"))).alias("seq", "p")).select("doc_id", "seq", F.col("p.n").alias("fq_name"), F.col("p.v").alias("value"))
 
 
+def write_each(pages: DataFrame, path: str, name: str = "file_name") -> None:
+    """Every single-page document that burst has named in a folder of its own."""
+    pages.write.mode("overwrite").partitionBy(name).parquet(path)
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Report lines (doc_id, section, seq, line_no, line) as text, one folder for each document, in order."""
+    rows = F.sort_array(F.collect_list(F.struct("section", "seq", "line_no", "line")))
+    text = lines.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("value"))
+    text.write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
+def file_arguments(words: list[str]) -> list:
+    """A single `@name` stands for the JSON (or YAML, where a reader is there) in that file."""
+    if len(words) != 1 or not words[0].startswith("@"):
+        return words
+    import json
+
+    with open(words[0][1:], encoding="utf-8") as f:
+        text = f.read()
+    try:
+        return json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError:
+            raise InvalidArgument(f"{words[0]} isn't JSON") from None
+        return yaml.safe_load(text)
+
+
 def split_arguments(text: str) -> list[str]:
     """Words of a command line, quotes kept together."""
     return [a or b or c for a, b, c in re.findall(r'"([^"]*)"|\'([^\']*)\'|(\S+)', text)]

@@ -131,6 +131,37 @@ def test_update_info(spark):
     assert {(r.key, r.value) for r in out.collect()} == {("Title", "a & b é"), ("Author", "me")}
 
 
+def test_update_all_sections(spark, tmp_path):
+    lines = "PdfID0: abc\nBookmarkBegin\nBookmarkTitle: a\nBookmarkLevel: 1\nBookmarkPageNumber: 1\nBookmarkBegin\nBookmarkTitle: jump\nBookmarkLevel: 3\nBookmarkPageNumber: 1\nBookmarkBegin\nBookmarkTitle: b\nBookmarkLevel: 2\nBookmarkPageNumber: 1\nPageMediaBegin\nPageMediaNumber: 1\nPageMediaRotation: 90\nPageMediaRect: 0 0 1,200.5 30\nPageLabelBegin\nPageLabelNewIndex: 0\nPageLabelNumStyle: NoNumber\nPageLabelBegin\nPageLabelNewIndex: 2\nPageLabelStart: 4\nPageLabelNumStyle: LowercaseRomanNumerals".split("\n")
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, line_no int, line string")
+    pages = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 5.0, 5.0), (1, 2, 0, 0.0, 0.0, 5.0, 5.0), (1, 3, 0, 0.0, 0.0, 5.0, 5.0)], "doc_id long, page_no int, rotation int, x0 double, y0 double, x1 double, y1 double")
+    outlines = spark.createDataFrame([(1, 1, "old", 1, 1), (2, 1, "kept", 1, 1)], "doc_id long, seq int, title string, level int, page_no int")
+    labels = spark.createDataFrame([], "doc_id long, new_index int, start int, prefix string, num_style string")
+    documents = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, id0 string")
+    out = registry.call("update_info", Bundle({"pages": pages, "outlines": outlines, "page_labels": labels, "documents": documents}), df)
+    assert {(r.doc_id, r.title) for r in out["outlines"].collect()} == {(1, "a"), (1, "b"), (2, "kept")}
+    assert [(r.rotation, r.x1, r.y1) for r in out["pages"].orderBy("page_no").collect()] == [(90, 1200.5, 30.0), (0, 5.0, 5.0), (0, 5.0, 5.0)]
+    assert {(r.doc_id, r.id0) for r in out["documents"].collect()} == {(1, "abc"), (2, "y")}
+    from quire.operators import geometry, info
+
+    assert [r.label for r in info.label_pages(pages, out["page_labels"]).orderBy("page_no").collect()] == ["1", "iv", "v"]
+    shown = geometry.crop(pages, ["1(1)", "preview"]).orderBy("page_no").first()
+    assert (shown.x0, shown.preview_x0, shown.preview_x1) == (0.0, 1.0, 4.0)
+    annots = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0, 2.0, [0.0, 0.0, 1.0, 2.0])], "doc_id long, page_no int, ax0 double, ay0 double, ax1 double, ay1 double, quads array<double>")
+    moved = geometry.place_annots(annots, geometry.place(pages, ["(spin=90:0,0;shift=10,0)"])).first()
+    assert [round(v, 9) for v in (moved.ax0, moved.ay0, moved.ax1, moved.ay1)] == [8, 0, 10, 1] and [round(v, 9) for v in moved.quads] == [10, 0, 8, 1]
+    lines_out = registry.call("dump_data", out).report
+    bundles.write_lines(lines_out, f"file://{tmp_path}/lines")
+    assert spark.read.text(f"file://{tmp_path}/lines").filter("value = 'BookmarkTitle: kept'").count() == 1
+    (tmp_path / "args.json").write_text('["1-2", "4"]')
+    assert bundles.file_arguments([f"@{tmp_path}/args.json"]) == ["1-2", "4"] and bundles.file_arguments(["a"]) == ["a"]
+
+
+def test_passwords():
+    s = stages.parse(["A=x", "B=y", "z", "input_pw", "B=two", "one", "cat", "A"])[0]
+    assert s.passwords == {"y": "two", "x": "one"} and s.inputs == ["x", "y", "z"]
+
+
 def test_empty_and_null_pages(spark):
     none = bundles.lineitem_pages(spark, SMALL).limit(0)
     b = Bundle({"pages": none})
