@@ -128,45 +128,52 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - np.log(np.pi)
 
 
-def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by byte -> counts of zeros and ones at the 255 inner places of the byte's binary tree, place 1 first."""
-    zeros, ones = np.zeros((len(counts), 256)), np.zeros((len(counts), 256))
-    level = counts.astype(float)
-    for k in range(7, -1, -1):
-        pair = level.reshape(len(counts), -1, 2)
-        at = slice(1 << k, 2 << k)
-        zeros[:, at], ones[:, at] = pair[:, :, 0], pair[:, :, 1]
-        level = pair.sum(2)
-    return zeros, ones
-
-
-def build(cells: Sequence[tuple[int, int, int, int]]) -> Tree:
-    """cells: (depth, context, byte, count) of every node; a context's last byte is its lowest."""
-    by_depth: list[dict[int, int]] = [{} for _ in range(DEPTH + 1)]
-    by_depth[0][0] = 0
-    for d, c, _, _ in cells:
-        by_depth[d].setdefault(c, 0)
-    nodes = [(d, c) for d in range(DEPTH + 1) for c in sorted(by_depth[d])]
-    number = {node: i for i, node in enumerate(nodes)}
-    counts = np.zeros((len(nodes), 256))
-    for d, c, b, n in cells:
-        counts[number[d, c], b] = n
-    child = np.full((len(nodes) + 1, 256), -1, np.int32)
-    parent = np.full(len(nodes), -1)
-    for i, (d, c) in enumerate(nodes[1:], 1):
-        parent[i] = number[d - 1, c & ((1 << 8 * (d - 1)) - 1)]
-        child[parent[i], c >> 8 * (d - 1)] = i
+#: Places of the byte's binary tree that are weighed together.
+PLACES = 32
+
+
+def build(depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray) -> Tree:
+    """The tree of cells (depth, context, byte, count) of every node; a context's last byte is its lowest.
+
+    The places of the byte's binary tree are trees of contexts of their own, so they are
+    weighed a few at a time, and the driver holds little more than the counts.
+    """
+    at, cell = np.unique(np.append(depth << 8 * DEPTH | context, 0), return_inverse=True)  # the root is always there
+    of_depth, of_context = at >> 8 * DEPTH, at & ((1 << 8 * DEPTH) - 1)
+    counts = np.zeros((len(at), 256))
+    counts[cell[:-1], byte] = n
+    child = np.full((len(at) + 1, 256), -1, np.int32)
+    parent = np.full(len(at), -1)
+    last = np.where(of_depth > 0, 8 * (of_depth - 1), 0)
+    shorter = of_context & ((1 << last) - 1)
+    parent[1:] = np.searchsorted(at, ((of_depth - 1) << 8 * DEPTH | shorter)[1:])
+    child[parent[1:], (of_context >> last)[1:]] = np.arange(1, len(at))
     rest = counts.copy()  # what a node's own children don't take
     np.subtract.at(rest, parent[1:], counts[1:])
-    leaf = np.ones(len(nodes), bool)
+    leaf = np.ones(len(at), bool)
     leaf[parent[1:]] = False
 
-    zeros, ones = _bits(counts)
-    rest0, rest1 = _bits(rest)
+    one = np.empty((len(at), 256))
+    level, level_rest = counts, rest
+    for k in range(7, -1, -1):
+        zeros, ones, rest0, rest1 = level[:, ::2], level[:, 1::2], level_rest[:, ::2], level_rest[:, 1::2]
+        for lo in range(0, 1 << k, PLACES):
+            part = slice(lo, lo + PLACES)
+            one[:, (1 << k) + lo : (1 << k) + min(lo + PLACES, 1 << k)] = _mixed(zeros[:, part], ones[:, part], rest0[:, part], rest1[:, part], of_depth, parent, leaf)
+        level, level_rest = zeros + ones, rest0 + rest1
+    del counts, rest, level, level_rest
+    logp = np.zeros((len(at), 1))
+    for k in range(8):
+        p = one[:, 1 << k : 2 << k]
+        logp = np.stack([logp + np.log10(1 - p), logp + np.log10(p)], 2).reshape(len(at), -1)
+    return Tree(child, logp.astype(np.float32))
+
+
+def _mixed(zeros: np.ndarray, ones: np.ndarray, rest0: np.ndarray, rest1: np.ndarray, depth: np.ndarray, parent: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """Probability of a one at some places, for a context that ends at each node."""
     own = _log_kt(zeros, ones)
     below = np.where(leaf[:, None], 0.0, _log_kt(rest0, rest1))
     weighted = own.copy()
-    depth = np.array([d for d, _ in nodes])
     for d in range(DEPTH, -1, -1):
         at = np.flatnonzero((depth == d) & ~leaf)
         weighted[at] = np.log(0.5) + np.logaddexp(own[at], below[at])
@@ -174,7 +181,6 @@ def build(cells: Sequence[tuple[int, int, int, int]]) -> Tree:
             np.add.at(below, parent[depth == d], weighted[depth == d])
     stop = np.where(leaf[:, None], 1.0, np.exp(np.log(0.5) + own - weighted))
     kt = (ones + 0.5) / (zeros + ones + 1)
-    kt_rest = (rest1 + 0.5) / (rest0 + rest1 + 1)
     so_far, left = np.zeros_like(kt), np.ones_like(kt)
     for d in range(DEPTH + 1):
         at = np.flatnonzero(depth == d)
@@ -182,12 +188,7 @@ def build(cells: Sequence[tuple[int, int, int, int]]) -> Tree:
             so_far[at], left[at] = so_far[parent[at]], left[parent[at]]
         so_far[at] += left[at] * stop[at] * kt[at]
         left[at] *= 1 - stop[at]
-    one = np.clip(so_far + left * kt_rest, 1e-300, 1 - 1e-16)
-    logp = np.zeros((len(nodes), 1))
-    for k in range(8):
-        p = one[:, 1 << k : 2 << k]
-        logp = np.stack([logp + np.log10(1 - p), logp + np.log10(p)], 2).reshape(len(nodes), -1)
-    return Tree(child, logp.astype(np.float32))
+    return np.clip(so_far + left * (rest1 + 0.5) / (rest0 + rest1 + 1), 1e-300, 1 - 1e-16)
 
 
 def _lower(text: str | None) -> bytes:
@@ -269,8 +270,8 @@ def nodes(counts: DataFrame) -> DataFrame:
 def train(df: DataFrame, text_col: str = "text") -> tuple[Tree, DataFrame]:
     """The tree, and the words' counts (word, n; the empty word is the end)."""
     counts = count(df, text_col)
-    cells = [(r["depth"], r["context"], r["byte"], r["n"]) for r in nodes(counts).collect()]
-    return build(cells), counts.filter("word is not null").select("word", "n")
+    cells = nodes(counts).toArrow()
+    return build(*(cells.column(c).to_numpy().astype(np.int64) for c in ("depth", "context", "byte", "n"))), counts.filter("word is not null").select("word", "n")
 
 
 def score(df: DataFrame, tree: Tree, words: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
