@@ -9,15 +9,15 @@ more than one arrival for each shingle. Two texts agree in a component with a
 probability that is their probability Jaccard similarity.
 
 Rows of the signature are banded; texts that share a band's value are candidates,
-and candidates are verified on their whole texts: a link is a pair whose Jaccard or
-probability Jaccard similarity of shingles is at least the threshold.
+and candidates are verified on their whole texts: a link is a pair whose sets of
+shingles have a Jaccard similarity of at least the threshold.
 
 Equal texts are one node. A bucket's texts are not paired with each other: first
-each is verified with the likeliest of its buckets' centres, and the links' components
-found; then the texts outside their bucket's main component are verified with every
-text of the bucket that is in another component. Pairs within a component can't
-change the classes and are never made. Before texts are fetched, a pair's signatures
-must agree in a share that lies MARGIN below the threshold, 3.7 standard errors.
+each is verified with the likeliest of its buckets' centres, by their signatures, and
+the links' components found; then the texts outside their bucket's main component are
+verified with every text of the bucket that is in another component, inside the join,
+so that only links come out of it. Pairs within a component can't change the classes
+and are never made.
 
 Cases: a null text counts as empty; texts without words are alike only when they are
 equal; texts of one to four words have one shingle, all their words; texts of any
@@ -43,7 +43,10 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 22
 ROWS = 5
+#: Centres whose signatures agree in a share this far below the threshold aren't tried first.
 MARGIN = 0.14
+#: Centres that a text is verified with before components are found.
+CENTRES = 3
 #: Nodes that are broadcast to find their texts; more are joined by shuffling.
 MAX_BROADCAST = 1_000_000
 #: Characters of texts that are signed together.
@@ -163,23 +166,28 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough: written."""
-    bounded_batches(pairs.sparkSession)
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    shared = pairs.sparkSession.sparkContext.broadcast({})
+def _sets(texts: DataFrame) -> DataFrame:
+    """node and its shingles, of node and text: written."""
+    bounded_batches(texts.sparkSession)
+    shared = texts.sparkSession.sparkContext.broadcast({})
 
     def run(batches):
         import pyarrow as pa
 
         memo = shared.value
         for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            ok = [max(similarity(shingles(x, memo), shingles(y, memo))) >= threshold for x, y in zip(ta, tb, strict=True)]
-            keep = [i for i, k in enumerate(ok) if k]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+            sets = [shingles(t, memo)[0].view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    return cut(both.mapInArrow(run, "a long, b long"))
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("set", T.ArrayType(T.LongType(), False), False)])
+    return cut(texts.select("node", "text").mapInArrow(run, schema))
+
+
+def _similar(a: str, b: str, threshold: float) -> F.Column:
+    """Whether the Jaccard similarity of two sets reaches the threshold; sizes that rule it out come first."""
+    n, m = F.size(a), F.size(b)
+    part = F.lit(threshold / (1 + threshold) - 1e-12)
+    return (F.least(n, m) >= part * (n + m)) & (F.size(F.array_intersect(a, b)) >= part * (n + m))
 
 
 def _agreement(a: str, b: str) -> F.Column:
@@ -204,29 +212,27 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float = SIMILARITY, band
     wanted = involved.select("node", "digest")
     few = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     found = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = cut(found.join(F.broadcast(wanted) if few else wanted, "digest").groupBy("node").agg(F.first("text").alias("text")))
+    sets = _sets(found.join(F.broadcast(wanted) if few else wanted, "digest").groupBy("node").agg(F.first("text").alias("text")))
 
-    # each text with the likeliest centre of its buckets
+    # each text with the likeliest centres of its buckets
     centred = members.select("node", F.explode(F.array("lo", "hi")).alias("centre")).filter("node <> centre").distinct()
     close = centred.join(sigs, "node").join(sigs.toDF("centre", "sig_c"), "centre").withColumn("same", _agreement("sig", "sig_c")).filter(F.col("same") >= least)
-    best = close.groupBy("node").agg(F.max_by("centre", F.struct("same", "centre")).alias("centre"))
-    first = _verified(best.select(F.col("node").alias("a"), F.col("centre").alias("b")), texts, threshold)
+    best = close.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("same", "centre")), asc=False), 1, CENTRES).alias("best"))
+    tried = best.select(F.col("node").alias("a"), F.explode("best.centre").alias("b")).join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    first = cut(tried.filter(_similar("sa", "sb", threshold)).select("a", "b"))
 
     # what is outside its bucket's main component, with all that is elsewhere in the bucket
     label = components(first) if not first.isEmpty() else first.toDF("node", "label")
     placed = cut(members.select("band", "value", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
     parts = placed.groupBy("band", "value", "label").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("band", "value").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").drop("labels")
-    open_ = placed.join(main, ["band", "value"])
-    near = nodes.select("node", "sig", "bands")
-    outside = open_.filter("label <> main").join(near, "node").select("band", "value", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sa"), F.col("bands").alias("ba"))
-    others = open_.join(near, "node").select("band", "value", F.col("node").alias("b"), F.col("label").alias("lb"), "main", F.col("sig").alias("sb"), F.col("bands").alias("bb"))
-    earlier = F.exists(F.zip_with(F.slice("ba", F.lit(1), F.col("o.band")), F.slice("bb", F.lit(1), F.col("o.band")), lambda x, y: x == y), lambda x: x)
+    open_ = cut(placed.join(main, ["band", "value"]))
+    outside = open_.filter("label <> main").join(sets, "node").select("band", "value", F.col("node").alias("a"), F.col("label").alias("la"), F.col("set").alias("sa"))
+    others = open_.join(sets, "node").select("band", "value", F.col("node").alias("b"), F.col("label").alias("lb"), "main", F.col("set").alias("sb"))
     once = (F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))  # of two outside texts, one direction
-    ways = (F.col("o.band") == F.col("p.band")) & (F.col("o.value") == F.col("p.value")) & (F.col("la") != F.col("lb")) & once & (_agreement("sa", "sb") >= least) & ~earlier
-    pairs = outside.alias("o").join(others.alias("p"), ways).select("a", "b").distinct()
-    second = _verified(pairs, texts, threshold)
-    clean(members, involved, texts, placed)
+    ways = (F.col("o.band") == F.col("p.band")) & (F.col("o.value") == F.col("p.value")) & (F.col("la") != F.col("lb")) & once & _similar("sa", "sb", threshold)
+    second = cut(outside.alias("o").join(others.alias("p"), ways).select("a", "b").distinct())
+    clean(members, involved, sets, placed, open_)
     return first.unionByName(second)
 
 
