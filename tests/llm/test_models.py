@@ -157,6 +157,25 @@ def test_ctw_as_its_recursion(spark):
         assert math.isclose(r.score, want, rel_tol=1e-5)
 
 
+def test_ctw_keeps_rare_contexts(spark, monkeypatch):
+    """A context that stands behind far less than 1 / 32768 of the bytes has a node, in one shard or in many."""
+    texts = ["ab" * 40_000, "the quick brown fox", "Qu'est-ce que c'est ?"]
+    tree, words = ctw.train(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    plain = [t.encode().lower() for t in texts]
+    more = ["the quick brown fox", "abab", "the quiz", "Ж"]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(more)], "doc_id long, text string")
+    want = [ctw_brute(plain, t.encode().lower()) for t in more]
+    for shards in (1, 3):
+        got = {r.doc_id: r.score for r in ctw.score(asked, tree, words).collect()}
+        assert all(math.isclose(got[i], want[i], rel_tol=1e-5) for i in range(len(more)))
+        assert tree.shards >= shards
+        keys = {r.key for r in tree.cells.collect()}
+        monkeypatch.setattr(ctw, "SHARD", len(keys) // 3)
+    grams = set(ctw.grams(plain).tolist())
+    for d in range(ctw.DEPTH + 1):
+        assert {ctw._key(d, (g >> 8) & ((1 << 8 * d) - 1), 1) for g in grams} <= keys
+
+
 def test_lm_query(spark):
     docs = {r.doc_id: (r.text or "").encode().lower() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in docs}
