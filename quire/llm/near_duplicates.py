@@ -8,7 +8,9 @@ as its next arrival comes after the last component's, so a signature costs littl
 more than one arrival for each shingle. Two texts agree in a component with a
 probability that is their probability Jaccard similarity.
 
-Rows of the signature are banded; texts that share a band's value are candidates,
+Rows of the signature are banded; a text that repeats shingles has the bands of the
+signature of its plain set too, so that texts whose sets are alike meet, however
+often each has them. Texts that share a band's value are candidates,
 and candidates are verified on their whole texts: a link is a pair whose sets of
 shingles have a Jaccard similarity of at least the threshold.
 
@@ -128,12 +130,18 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """row (a number for each row), doc_id, digest, sig (16 bits of each component), bands: written."""
+    """row (a number for each row), doc_id, digest, sig (16 bits of each component), bands, more (bands of the plain set, where it differs), size (shingles): written."""
     bounded_batches(docs.sparkSession)
-    schema = T.StructType([T.StructField("row", T.LongType(), False), docs.schema["doc_id"], T.StructField("digest", T.StringType(), False), T.StructField("sig", T.ArrayType(T.ShortType(), False), False), T.StructField("bands", T.ArrayType(T.LongType(), False), False)])
+    schema = T.StructType([T.StructField("row", T.LongType(), False), docs.schema["doc_id"], T.StructField("digest", T.StringType(), False), T.StructField("sig", T.ArrayType(T.ShortType(), False), False), T.StructField("bands", T.ArrayType(T.LongType(), False), False), T.StructField("more", T.ArrayType(T.LongType(), False), False), T.StructField("size", T.LongType(), False)])
     shared = docs.sparkSession.sparkContext.broadcast({})
     size = bands * rows
 
+    def banded(own):
+        key = np.zeros((len(own), bands), np.uint64)
+        for j in range(rows):
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + own[:, j::rows])
+        return key.view(np.int64)
+
     def run(batches):
         import hashlib
 
@@ -142,7 +150,7 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
         memo = shared.value
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            digest, sig, values = [], [], []
+            digest, sig, values, more, sizes = [], [], [], [], []
             lo = 0
             while lo < len(texts):
                 hi, n = lo, 0
@@ -153,15 +161,17 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 digest += [hashlib.md5((t or "").encode(), usedforsecurity=False).hexdigest() for t in part]
                 sets = [shingles(t, memo) for t in part]
                 own = signatures(sets, size)
-                key = np.zeros((len(part), bands), np.uint64)
-                for j in range(rows):
-                    key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + own[:, j::rows])
+                key = banded(own)
                 some = np.array([len(s) > 0 for s, _ in sets])
-                short, key = (own & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16), key.view(np.int64)
+                short = (own & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
+                again = [i for i, (_, n) in enumerate(sets) if len(n) and n.max() > 1]
+                plain = dict(zip(again, banded(signatures([(sets[i][0], np.ones(len(sets[i][0]), np.int64)) for i in again], size)), strict=True))
+                more += [plain.get(i, key[i, :0]) for i in range(len(part))]
+                sizes += [len(s) for s, _ in sets]
                 sig += [s if x else s[:0] for s, x in zip(short, some, strict=True)]
                 values += [k if x else k[:0] for k, x in zip(key, some, strict=True)]
                 lo = hi
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(digest), pa.array(sig, pa.list_(pa.int16())), pa.array(values, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(digest), pa.array(sig, pa.list_(pa.int16())), pa.array(values, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=schema.names)
 
     return cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema))
 
@@ -199,10 +209,12 @@ def _agreement(a: str, b: str) -> F.Column:
 def links(docs: DataFrame, nodes: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame | None:
     """Verified pairs (a, b) of nodes that decide the components; None where there is no candidate.
 
-    nodes: node, digest, sig, bands, one row for each distinct text.
+    nodes: node, digest, sig, bands, more, size, one row for each distinct text.
     """
     least = int(np.ceil((threshold - MARGIN) * bands * rows))
-    every = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    every = nodes.select("node", "size", "bands", F.posexplode(F.concat("bands", "more")).alias("pos", "value"))
+    every = every.filter((F.col("pos") < bands) | (F.col("value") != F.get("bands", F.col("pos") - bands)))
+    every = every.select("node", "size", (F.col("pos") % bands).alias("band"), "value")
     buckets = every.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("n > 1").drop("n")
     members = cut(every.join(buckets, ["band", "value"]))
     if members.isEmpty():
@@ -239,7 +251,7 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float = SIMILARITY, band
 def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """row, doc_id, digest, class (a number), class_id (its least doc_id), class_size, kept (of each class, the row of the least doc_id)."""
     signed = sign(docs, bands, rows)
-    nodes = cut(signed.groupBy("digest").agg(F.min("row").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    nodes = cut(signed.groupBy("digest").agg(F.min("row").alias("node"), *(F.first(c).alias(c) for c in ("sig", "bands", "more", "size"))))
     found = links(docs, nodes, threshold, bands, rows)
     of_node = nodes.select("digest", "node")
     if found is not None and not found.isEmpty():

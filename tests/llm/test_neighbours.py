@@ -127,6 +127,17 @@ def test_near_duplicates_as_brute_force(spark):
     assert one.columns == ["doc_id", "text", "digest", "times"] and one.count() == len(out)
 
 
+def test_unequal_repeats_are_candidates(spark):
+    """Sets that are 0.8 or more alike meet, though one text has a footer many times."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(20):
+        words, footer = [f"{i}-{w}" for w in rng.integers(0, 10**9, 300)], [f"{i}f{k}" for k in range(12)]
+        rows += [(2 * i, " ".join(words + footer)), (2 * i + 1, " ".join(words + footer * (60 + i)))]
+    found = near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.class_id == r.doc_id // 2 * 2 and r.class_size == 2 for r in found) and len(brute_classes(rows)) == 20
+
+
 def test_exact_similarity_and_its_estimate():
     rng = np.random.default_rng(3)
     for _ in range(5):
