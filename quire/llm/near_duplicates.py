@@ -11,15 +11,15 @@ probability that is their probability Jaccard similarity.
 Rows of the signature are banded; a text that repeats shingles has the bands of the
 signature of its plain set too, so that texts whose sets are alike meet, however
 often each has them. Texts that share a band's value are candidates,
-and candidates are verified on their whole texts: a link is a pair whose sets of
-shingles have a Jaccard similarity of at least the threshold.
+and candidates are verified on their whole texts: a link is a pair whose Jaccard or
+probability Jaccard similarity of shingles is at least the threshold.
 
 Equal texts are one node. A bucket's texts are not paired with each other: first
 each is verified with the likeliest of its buckets' centres, by their signatures, and
 the links' components found; then the texts outside their bucket's main component are
-verified with every text of the bucket that is in another component, inside the join,
-so that only links come out of it. Pairs within a component can't change the classes
-and are never made.
+verified with every text of the bucket that is in another component, bucket by bucket
+in Python, so that only links come out of it; not again if an earlier band has both.
+Pairs within a component can't change the classes and are never made.
 
 Cases: a null text counts as empty; texts without words are alike only when they are
 equal; texts of one to four words have one shingle, all their words; texts of any
@@ -177,7 +177,7 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """node and its shingles, of node and text: written."""
+    """node, its shingles, and how often it has each (empty: once), of node and text: written."""
     bounded_batches(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast({})
 
@@ -186,18 +186,124 @@ def _sets(texts: DataFrame) -> DataFrame:
 
         memo = shared.value
         for batch in batches:
-            sets = [shingles(t, memo)[0].view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+            sets = [shingles(t, memo) for t in batch.column(1).to_pylist()]
+            times = [n if len(n) and n.max() > 1 else n[:0] for _, n in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s, _ in sets], pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))], names=["node", "set", "times"])
 
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("set", T.ArrayType(T.LongType(), False), False)])
+    longs = T.ArrayType(T.LongType(), False)
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("set", longs, False), T.StructField("times", longs, False)])
     return cut(texts.select("node", "text").mapInArrow(run, schema))
 
 
-def _similar(a: str, b: str, threshold: float) -> F.Column:
-    """Whether the Jaccard similarity of two sets reaches the threshold; sizes that rule it out come first."""
-    n, m = F.size(a), F.size(b)
-    part = F.lit(threshold / (1 + threshold) - 1e-12)
-    return (F.least(n, m) >= part * (n + m)) & (F.size(F.array_intersect(a, b)) >= part * (n + m))
+def _arrays(column) -> list[np.ndarray]:
+    """The rows of an Arrow column of lists."""
+    at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    return [flat[lo:hi] for lo, hi in zip(at, at[1:], strict=False)]
+
+
+def similar(one: tuple[np.ndarray, np.ndarray], others: Sequence[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.ndarray:
+    """Whether the Jaccard or the probability Jaccard similarity of a weighted set with each of the others reaches the threshold.
+
+    Without repeats the two are equal. The latter is at most the sum of the lesser shares, as it is
+    the probability that two draws agree; only where that reaches the threshold it is worked out.
+    """
+    threshold -= 1e-12
+    out = np.zeros(len(others), bool)
+    sizes = np.array([len(s) for s, _ in others])
+    repeats = np.array([n.max(initial=1) > 1 for _, n in others]) | (one[1].max(initial=1) > 1)
+    fits = (np.minimum(sizes, len(one[0])) >= threshold * np.maximum(sizes, len(one[0]))) | repeats
+    todo = np.flatnonzero(fits & (sizes > 0)) if len(one[0]) else np.zeros(0, np.int64)
+    lo = 0
+    while lo < len(todo):
+        hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[todo[lo:]]), SPAN)) + lo)
+        part = todo[lo:hi]
+        lo = hi
+        starts = np.concatenate([[0], np.cumsum(sizes[part])[:-1]])
+        flat = np.concatenate([others[i][0] for i in part])
+        at = np.minimum(np.searchsorted(one[0], flat), len(one[0]) - 1)
+        both = one[0][at] == flat
+        common = np.add.reduceat(both.astype(np.int64), starts)
+        out[part] = common >= threshold * (sizes[part] + len(one[0]) - common)
+        if (repeats[part] & ~out[part]).any():
+            share = np.concatenate([others[i][1] / others[i][1].sum() for i in part])
+            bound = np.add.reduceat(np.where(both, np.minimum(share, (one[1] / one[1].sum())[at]), 0.0), starts)
+            for i in part[repeats[part] & ~out[part] & (bound >= threshold)]:
+                out[i] = similarity(one, others[i])[1] >= threshold
+    return out
+
+
+def _weights(sets: list[np.ndarray], times: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(s.view(np.uint64), n if len(n) else np.ones(len(s), np.int64)) for s, n in zip(sets, times, strict=True)]
+
+
+def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that are similar enough, of a, b, sa, ta, sb, tb: written."""
+    bounded_batches(pairs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            one, two = (_weights(_arrays(batch.column(c)), _arrays(batch.column(c + 1))) for c in (2, 4))
+            ok = [bool(similar(x, [y], threshold)[0]) for x, y in zip(one, two, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return cut(pairs.select("a", "b", "sa", "ta", "sb", "tb").mapInArrow(run, "a long, b long"))
+
+
+def _within(rows: list[tuple], i: int, j: int, threshold: float) -> list[tuple[int, int]]:
+    """Links between a group's texts (node, label, block, weighted set, bands before, the plain set's bands before) of different labels."""
+    label, block = (np.array([r[k] for r in rows]) for k in (1, 2))
+    sets = [r[3] for r in rows]
+    before = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+    found = []
+    for x in range(len(rows)):
+        if block[x] != i:
+            continue
+        others = np.flatnonzero((block == j) & (label != label[x]))
+        if i == j:
+            others = others[others > x]
+        met = np.zeros(len(others), bool)
+        for p in before:
+            for q in before:
+                met |= (p[x] == q[others]).any(1)
+        others = others[~met]
+        if len(others):
+            for y in others[similar(sets[x], [sets[y] for y in others], threshold)]:
+                found.append((rows[x][0], rows[y][0]))
+                label[label == label[y]] = label[x]
+    return found
+
+
+def _grouped(rows: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of every group: written. rows: band, value, i, j, node, label, block, set, times, bands, more (the last two up to the band)."""
+    bounded_batches(rows.sparkSession)
+    keys = ["band", "value", "i", "j"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, held = None, []
+
+        def made(found):
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            found = []
+            plain = [batch.column(c).to_pylist() for c in range(7)]
+            sets, times, bands, more = (_arrays(batch.column(c)) for c in range(7, 11))
+            for *key, node, label, block, s, m, b in zip(*plain, _weights(sets, times), more, bands, strict=True):
+                if key != now:
+                    if len(held) > 1:
+                        found += _within(held, *now[2:], threshold)
+                    now, held = key, []
+                held.append((node, label, block, s, b, m if len(m) else b))
+            yield made(found)
+        if len(held) > 1:
+            yield made(_within(held, *now[2:], threshold))
+
+    dealt = rows.select(*keys, "node", "label", "block", "set", "times", "bands", "more").repartition(*keys).sortWithinPartitions(*keys)
+    return cut(dealt.mapInArrow(run, "a long, b long"))
 
 
 def _agreement(a: str, b: str) -> F.Column:
@@ -230,21 +336,20 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float = SIMILARITY, band
     centred = members.select("node", F.explode(F.array("lo", "hi")).alias("centre")).filter("node <> centre").distinct()
     close = centred.join(sigs, "node").join(sigs.toDF("centre", "sig_c"), "centre").withColumn("same", _agreement("sig", "sig_c")).filter(F.col("same") >= least)
     best = close.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("same", "centre")), asc=False), 1, CENTRES).alias("best"))
-    tried = best.select(F.col("node").alias("a"), F.explode("best.centre").alias("b")).join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    first = cut(tried.filter(_similar("sa", "sb", threshold)).select("a", "b"))
+    tried = best.select(F.col("node").alias("a"), F.explode("best.centre").alias("b")).join(sets.toDF("a", "sa", "ta"), "a").join(sets.toDF("b", "sb", "tb"), "b")
+    first = _verified(tried, threshold)
 
     # what is outside its bucket's main component, with all that is elsewhere in the bucket
     label = components(first) if not first.isEmpty() else first.toDF("node", "label")
-    placed = cut(members.select("band", "value", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    parts = placed.groupBy("band", "value", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("band", "value").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").drop("labels")
-    open_ = cut(placed.join(main, ["band", "value"]))
-    outside = open_.filter("label <> main").join(sets, "node").select("band", "value", F.col("node").alias("a"), F.col("label").alias("la"), F.col("set").alias("sa"))
-    others = open_.join(sets, "node").select("band", "value", F.col("node").alias("b"), F.col("label").alias("lb"), "main", F.col("set").alias("sb"))
-    once = (F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))  # of two outside texts, one direction
-    ways = (F.col("o.band") == F.col("p.band")) & (F.col("o.value") == F.col("p.value")) & (F.col("la") != F.col("lb")) & once & _similar("sa", "sb", threshold)
-    second = cut(outside.alias("o").join(others.alias("p"), ways).select("a", "b").distinct())
-    clean(members, involved, sets, placed, open_)
+    placed = cut(members.select("band", "value", "node", "size").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    parts = placed.groupBy("band", "value", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    mixed = parts.groupBy("band", "value").agg(F.count(F.lit(1)).alias("labels")).filter("labels > 1").drop("labels")
+    groups = placed.join(mixed, ["band", "value"]).select("band", "value", *(F.lit(0).alias(c) for c in ("i", "j", "block")), "node", "label")
+    text = nodes.select("node", "bands", "more").join(sets, "node")
+    first_of = lambda c: F.slice(c, F.lit(1), F.col("band")).alias(c)
+    rows = groups.join(text, "node").select("band", "value", "i", "j", "node", "label", "block", "set", "times", first_of("bands"), first_of("more"))
+    second = _grouped(rows, threshold)
+    clean(members, involved, sets, placed)
     return first.unionByName(second)
 
 
