@@ -49,6 +49,9 @@ ROWS = 5
 MARGIN = 0.14
 #: Centres that a text is verified with before components are found.
 CENTRES = 3
+#: Texts of a block, and shingles, about: large buckets are verified block by block.
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
 #: Nodes that are broadcast to find their texts; more are joined by shuffling.
 MAX_BROADCAST = 1_000_000
 #: Characters of texts that are signed together.
@@ -312,6 +315,27 @@ def _agreement(a: str, b: str) -> F.Column:
     return F.aggregate(same, F.lit(0), lambda s, x: s + x)
 
 
+def _blocks(placed: DataFrame, parts: DataFrame) -> DataFrame:
+    """Texts of buckets with several components, once for each group: band, value, i, j (the group's blocks), node, label, block.
+
+    A bucket that is too large for one block has blocks of what is outside its main
+    component, which meet each other, and then blocks of the main component, which meet those.
+    """
+    most = lambda c: F.max_by(c, F.struct("n", "label"))
+    whole = parts.groupBy("band", "value").agg(F.count(F.lit(1)).alias("labels"), most("label").alias("main"), F.sum("n").alias("n"), F.sum("size").alias("s"), most("n").alias("n_main"), most("size").alias("s_main")).filter("labels > 1")
+    need = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    one = need(F.col("n"), F.col("s")) <= 1
+    outer = F.when(one, 1).otherwise(need(F.col("n") - F.col("n_main"), F.col("s") - F.col("s_main")))
+    inner = F.when(one, 0).otherwise(need(F.col("n_main"), F.col("s_main")))
+    dealt = placed.join(whole.select("band", "value", "main", outer.alias("outer"), inner.alias("inner")), ["band", "value"])
+    by = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+    is_main = (F.col("inner") > 0) & (F.col("label") == F.col("main"))
+    dealt = dealt.withColumn("block", F.when(is_main, F.col("outer") + by(F.col("inner"))).otherwise(by(F.col("outer"))))
+    last = F.when(is_main, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    met = F.transform(F.sequence(F.lit(0), last), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    return dealt.withColumn("g", F.explode(met)).select("band", "value", "g.i", "g.j", "node", "label", "block")
+
+
 def links(docs: DataFrame, nodes: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame | None:
     """Verified pairs (a, b) of nodes that decide the components; None where there is no candidate.
 
@@ -343,8 +367,7 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float = SIMILARITY, band
     label = components(first) if not first.isEmpty() else first.toDF("node", "label")
     placed = cut(members.select("band", "value", "node", "size").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
     parts = placed.groupBy("band", "value", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    mixed = parts.groupBy("band", "value").agg(F.count(F.lit(1)).alias("labels")).filter("labels > 1").drop("labels")
-    groups = placed.join(mixed, ["band", "value"]).select("band", "value", *(F.lit(0).alias(c) for c in ("i", "j", "block")), "node", "label")
+    groups = _blocks(placed, parts)
     text = nodes.select("node", "bands", "more").join(sets, "node")
     first_of = lambda c: F.slice(c, F.lit(1), F.col("band")).alias(c)
     rows = groups.join(text, "node").select("band", "value", "i", "j", "node", "label", "block", "set", "times", first_of("bands"), first_of("more"))

@@ -148,6 +148,27 @@ def test_weighted_links(spark):
     assert len(brute_classes(rows)) == 7  # by sets alone
 
 
+def test_blocks_of_large_buckets(spark, monkeypatch):
+    """Whatever the blocks are, every pair of different components meets in a group, and no task gets all."""
+    for size in (1_024, 3):
+        monkeypatch.setattr(near_duplicates, "BLOCK", size)
+        labels = [0] * 10 + [1] * 4 + [2, 3, 3, 4]
+        placed = spark.createDataFrame([(7, 5, i, 1, x) for i, x in enumerate(labels)], "band int, value long, node long, size long, label long")
+        parts = placed.groupBy("band", "value", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+        groups = defaultdict(list)
+        for r in near_duplicates._blocks(placed, parts).collect():
+            groups[r.i, r.j].append(r)
+        met = {frozenset((a.node, b.node)) for (i, j), v in groups.items() for a in v for b in v if (a.block, b.block) == (i, j) and a.label != b.label}
+        assert met == {frozenset((a, b)) for a in range(18) for b in range(18) if labels[a] != labels[b]}
+        assert (len(groups) > 1) == (size == 3)
+    rows = planted()
+    found = near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    out = defaultdict(list)
+    for r in found:
+        out[r["class"]].append(r.doc_id)
+    assert sorted(sorted(v, key=repr) for v in out.values()) == brute_classes(rows)
+
+
 def test_exact_similarity_and_its_estimate():
     rng = np.random.default_rng(3)
     for _ in range(5):
