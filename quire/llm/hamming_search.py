@@ -14,8 +14,8 @@ shards and queries to blocks of bounded size; each pair of a shard and a block i
 searched by itself, exactly, and a query's shard results are merged.
 
 Cases: a null vector has no code: it isn't indexed, and as a query has no result;
-null or NaN numbers and missing dimensions count as 0, further dimensions than the
-bits are left out; rows with a null id aren't queries and rank last; ties of
+null or NaN numbers and missing dimensions count as 0; a vector of more dimensions
+than the bits is an error, as its code would be that of a prefix; rows with a null id aren't queries and rank last; ties of
 distance go to the least id; repeated rows are found each; fewer rows than k are
 all returned; columns other than id and vector play no part; an empty table gives
 an empty table.
@@ -40,8 +40,9 @@ MIN_SHARDS = 16
 
 
 def code_of(vector: Column) -> Column:
-    """The code as a 64-bit number, dimension i at bit i."""
-    numbers = F.transform(F.slice(vector, 1, BITS), lambda x: (F.coalesce(x, F.lit(0)) > 0) & ~F.isnan(F.coalesce(x, F.lit(0))))
+    """The code as a 64-bit number, dimension i at bit i; an error for more dimensions than that."""
+    too_long = F.raise_error(F.concat(F.lit("a vector has "), F.size(vector).cast("string"), F.lit(f" dimensions, codes have {BITS} bits")))
+    numbers = F.transform(F.when(F.size(vector) > BITS, too_long.cast("array<double>")).otherwise(vector), lambda x: (F.coalesce(x, F.lit(0)) > 0) & ~F.isnan(F.coalesce(x, F.lit(0))))
     bits = F.transform(numbers, lambda on, i: F.when(on, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 

@@ -42,6 +42,13 @@ def test_search_as_brute_force(spark):
     assert hamming_search.top_k(few, few, 10).count() == 9
 
 
+def test_search_refuses_longer_vectors(spark):
+    """Vectors that differ beyond 64 dimensions only aren't at distance 0 from each other."""
+    df = spark.createDataFrame([(i, [1.0] * 64 + [float(i)]) for i in range(2)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="65 dimensions"):
+        hamming_search.top_k(df, df).collect()
+
+
 def test_search_ends_early():
     codes = np.sort(np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64))
     index = hamming_search.Index(codes)
