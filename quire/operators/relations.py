@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidArgument, Requires
 from ..pagespec import any_match, parse
 from .pages import with_total
+from .repair import walk
 
 #: Subtypes of annotations that the report has. Fixed values.
 REPORTED = ("FreeText", "Link", "Popup", "Square", "Text", "URI", "Widget", "FileAttachment")
@@ -104,15 +105,15 @@ def field_tree(nodes: DataFrame, depth: int = 16) -> DataFrame:
     """Fully qualified names of a tree of form nodes (doc_id, node_id, parent_id, name, is_field), root first.
 
     A recognised field is a leaf: what hangs below it is not walked. Levels are joined
-    one by one, as many as the tree is deep.
+    one by one, as many as the tree is deep; depth: levels that are planned at once.
     """
-    level = nodes.filter("parent_id is null").select("doc_id", "node_id", F.col("name").alias("fq_name"), "is_field")
-    out = level.filter("is_field")
-    for _ in range(depth):
+
+    def following(level: DataFrame, d: int) -> DataFrame:
         above = level.filter(~F.col("is_field")).select("doc_id", F.col("node_id").alias("parent_id"), F.col("fq_name").alias("prefix"))
-        level = nodes.join(above, ["doc_id", "parent_id"]).select("doc_id", "node_id", F.concat_ws(".", "prefix", "name").alias("fq_name"), "is_field")
-        out = out.unionByName(level.filter("is_field"))
-    return out
+        return nodes.join(above, ["doc_id", "parent_id"]).select("doc_id", "node_id", F.concat_ws(".", "prefix", "name").alias("fq_name"), "is_field")
+
+    first = nodes.filter("parent_id is null").select("doc_id", "node_id", F.col("name").alias("fq_name"), "is_field")
+    return walk(first, following, depth, nodes).filter("is_field")
 
 
 def dump_data_fields(fields: DataFrame) -> DataFrame:

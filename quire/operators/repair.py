@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import InvalidArgument
+
 
 def remap_links(links: DataFrame, chosen: DataFrame) -> DataFrame:
     """Explicit links after a selection: every copy of a page has its links, and each leads to the copy
@@ -53,25 +55,55 @@ def outline_chunks(rows: DataFrame, order: Sequence[str], doc: str = "doc_id", p
     return out.withColumn("chunk", F.sum("_new").over(by).cast("int")).drop("_new")
 
 
+def walk(first: DataFrame, following: Callable[[DataFrame, int], DataFrame], planned: int, nodes: DataFrame) -> DataFrame:
+    """first and every level after it, until one is empty: so many levels in one plan, and if there are more,
+    again so many, with the lineage cut in between. More levels than nodes are a cycle and an error.
+
+    following: the next level, of a level and the next one's number (first has 1).
+    """
+    out = level = first
+    d, most = 1, None
+    while True:
+        for _ in range(planned):
+            d += 1
+            level = following(level, d)
+            out = out.unionByName(level)
+        if following(level, d + 1).isEmpty():
+            return out
+        most = nodes.count() if most is None else most
+        if d >= most:
+            raise InvalidArgument("not a tree: its levels don't end")
+        out, level, planned = out.localCheckpoint(), level.localCheckpoint(), max(planned, 1)
+
+
 def tree_levels(nodes: DataFrame, depth: int = 16) -> DataFrame:
-    """node_id, level (from 1) and path of a tree (node_id, parent_id, title), level by level."""
-    level = nodes.filter("parent_id is null").select("node_id", F.lit(1).alias("level"), F.col("title").alias("path"))
-    out = level
-    for d in range(2, depth + 1):
+    """node_id, level (from 1) and path of a tree (node_id, parent_id, title), level by level; depth: levels that are planned at once."""
+
+    def following(level: DataFrame, d: int) -> DataFrame:
         above = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("above"))
-        level = nodes.join(above, "parent_id").select("node_id", F.lit(d).alias("level"), F.concat_ws("/", "above", "title").alias("path"))
-        out = out.unionByName(level)
-    return out
+        return nodes.join(above, "parent_id").select("node_id", F.lit(d).alias("level"), F.concat_ws("/", "above", "title").alias("path"))
+
+    first = nodes.filter("parent_id is null").select("node_id", F.lit(1).alias("level"), F.col("title").alias("path"))
+    return walk(first, following, depth - 1, nodes)
 
 
 def prune_outline(nodes: DataFrame, kept: DataFrame, depth: int = 16) -> DataFrame:
-    """Nodes that are kept or have a kept descendant: parents are followed up, level by level."""
-    alive = kept.select("node_id").distinct()
-    front = alive
-    for _ in range(depth - 1):
-        front = nodes.join(front, "node_id", "left_semi").filter("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct()
-        alive = alive.unionByName(front)
-    return nodes.join(alive.distinct(), "node_id", "left_semi")
+    """Nodes that are kept or have a kept descendant: parents are followed up, level by level, until none is new; depth: levels that are planned at once."""
+    alive = front = kept.select("node_id").distinct()
+    planned = depth - 1
+
+    def parents(front: DataFrame) -> DataFrame:
+        return nodes.join(front, "node_id", "left_semi").filter("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct()
+
+    while True:
+        for _ in range(planned):
+            front = parents(front)
+            alive = alive.unionByName(front)
+        front = parents(front).join(alive, "node_id", "left_anti")
+        if front.isEmpty():
+            return nodes.join(alive.distinct(), "node_id", "left_semi")
+        front = front.localCheckpoint()
+        alive = alive.unionByName(front).distinct().localCheckpoint()
 
 
 def rename_fields(fields: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quire.errors import InvalidArgument
 from quire.functions import text
 from quire.functions.dimensions import length, paper
-from quire.operators import content, geometry, pages, relations
+from quire.operators import content, geometry, pages, relations, repair
 
 
 def test_paper():
@@ -68,3 +68,17 @@ def test_selection_out_of_range_fails(spark):
     with pytest.raises(Exception, match="selects no page"):
         pages.move(df, "1", "after", "7").collect()
     assert [r.content for r in pages.move(df, "7", "after", "1").orderBy("page_no").collect()] == ["x", "y"]
+
+
+def test_trees_are_walked_to_their_end(spark):
+    """Nodes below the levels that are planned at once are there all the same; a cycle is an error."""
+    rows = [(1, i, i - 1 if i else None, f"n{i}", i == 10) for i in range(11)] + [(1, 20, 0, "leaf", True)]
+    nodes = spark.createDataFrame(rows, "doc_id long, node_id long, parent_id long, title string, is_field boolean").coalesce(1)
+    assert {(r.node_id, r.level, r.path.count("/")) for r in repair.tree_levels(nodes, 4).collect()} == {*((i, i + 1, i) for i in range(11)), (20, 2, 1)}
+    assert {r.node_id for r in repair.prune_outline(nodes, nodes.filter("node_id = 10"), 4).collect()} == set(range(11))
+    found = relations.field_tree(nodes.withColumnRenamed("title", "name"), 3).collect()
+    assert {r.fq_name for r in found} == {".".join(f"n{i}" for i in range(11)), "n0.leaf"}
+    again = nodes.union(nodes.filter("node_id = 1").selectExpr("doc_id", "node_id", "10L", "title", "false"))
+    with pytest.raises(InvalidArgument):
+        repair.tree_levels(again, 4)
+    assert repair.prune_outline(again, again.filter("node_id = 10"), 4).count() == 12
