@@ -92,7 +92,7 @@ class Codec:
             import sentencepiece
 
             sp = sentencepiece.SentencePieceProcessor(model_proto=self.model)
-            self.ready = sp, chunker(), splitter(self.pattern), speller(), {}, {}
+            self.ready = sp, chunker(self.pattern), splitter(self.pattern), speller(), {}, {}
         return self.ready
 
     def _learn(self, chunks: list[str], memo: dict[str, bytes], known: dict[str, bytes]) -> None:

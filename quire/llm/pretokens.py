@@ -12,8 +12,11 @@ import codecs
 import re
 from collections.abc import Callable
 
+import public_tokenizers
 import regex
 
+#: The pattern that chunks and short cuts are right for.
+KNOWN = public_tokenizers.PATTERN
 #: White_Space of Unicode: what \s means to the tokenizer libraries. Fixed values.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -24,16 +27,19 @@ MEMO = 400_000
 MEMO_CHARS = 64
 
 
-def chunker():
-    return re.compile(_CHUNK).findall
+def chunker(pattern: str) -> Callable[[str], list[str]]:
+    """Cuts a text into chunks; under another pattern than KNOWN a text is one chunk."""
+    return re.compile(_CHUNK).findall if pattern == KNOWN else lambda text: [text]
 
 
 def splitter(pattern: str) -> Callable[[str], list[str]]:
     """Cuts a chunk into its pre-tokens: findall of the pattern, with \\s and \\S as the
-    libraries read them. Letters after an optional space, and one comma, full stop or
-    such after them, need no search."""
+    libraries read them. Under the KNOWN pattern letters after an optional space, and one
+    comma, full stop or such after them, need no search."""
     exact = pattern.replace("[^\\s", f"[^{WHITE}").replace("\\S", f"[^{WHITE}]").replace("\\s", f"[{WHITE}]")
     search = regex.compile(exact).findall
+    if pattern != KNOWN:
+        return search
 
     def split(chunk: str) -> list[str]:
         at = chunk[:1] == " "

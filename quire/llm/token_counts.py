@@ -7,7 +7,7 @@ of initial symbols less the merges; no identifier is looked up.
 
 Cases: a null text counts as empty: no token and no byte; special strings inside
 texts count as one token each, as the library's default has it; empty texts have
-no token; very long texts are counted whole; repeated rows are counted each; a
+no token; texts and pre-tokens of any length are counted whole; repeated rows are counted each; a
 kept column whose name is that of an output column gives way to it; empty tables
 give empty tables.
 """
@@ -41,7 +41,7 @@ def read_merges(path: str) -> tuple[list[tuple[str, str]], list[str]]:
     return pairs, [t["content"] for t in spec.get("added_tokens", ())]
 
 
-#: Bits of a symbol's number, and of a position.
+#: Bits of a symbol's number; a position has as many, or more where a pre-token is longer than that.
 _BITS = 24
 
 
@@ -51,6 +51,8 @@ def merge_table(merges: Sequence[tuple[str, str]]) -> tuple[dict[str, int], dict
     for c in byte_letters():
         number[c] = len(number)
     table: dict[int, int] = {}
+    if 3 * len(merges) + len(number) > 1 << _BITS:
+        raise ValueError(f"{len(merges)} merges are too many")
     for r, (a, b) in enumerate(merges):
         pair = number.setdefault(a, len(number)) << _BITS | number.setdefault(b, len(number))
         table.setdefault(pair, r << _BITS | number.setdefault(a + b, len(number)))
@@ -67,17 +69,19 @@ def count_symbols(symbols: Sequence[int], table: dict[int, int]) -> int:
     before = list(range(-1, n - 1))
     find = table.get
     low = (1 << _BITS) - 1
-    heap = [m & ~low | i for i in range(n - 1) if (m := find(own[i] << _BITS | own[i + 1])) is not None]
+    wide = max(_BITS, n.bit_length())  # a heap entry is a rank and then a position
+    places = (1 << wide) - 1
+    heap = [m >> _BITS << wide | i for i in range(n - 1) if (m := find(own[i] << _BITS | own[i + 1])) is not None]
     heapify(heap)
     left = n
     while heap:
         top = heappop(heap)
-        i = top & low
+        i = top & places
         j = after[i]
         if j < 0 or own[i] < 0:
             continue
         m = find(own[i] << _BITS | own[j])
-        if m is None or m >> _BITS != top >> _BITS:
+        if m is None or m >> _BITS != top >> wide:
             continue  # one of the two has been merged since
         own[i] = m & low
         own[j] = -1
@@ -86,10 +90,10 @@ def count_symbols(symbols: Sequence[int], table: dict[int, int]) -> int:
         if k >= 0:
             before[k] = i
             if (m := find(own[i] << _BITS | own[k])) is not None:
-                heappush(heap, m & ~low | i)
+                heappush(heap, m >> _BITS << wide | i)
         h = before[i]
         if h >= 0 and (m := find(own[h] << _BITS | own[i])) is not None:
-            heappush(heap, m & ~low | h)
+            heappush(heap, m >> _BITS << wide | h)
     return left
 
 
@@ -109,7 +113,7 @@ class Counter:
     def open(self):
         if self.ready is None:
             special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-            self.ready = chunker(), splitter(self.pattern), self.bytes.__getitem__, {}, {}, special
+            self.ready = chunker(self.pattern), splitter(self.pattern), self.bytes.__getitem__, {}, {}, special
         return self.ready
 
     def _chunk(self, chunk: str) -> int:

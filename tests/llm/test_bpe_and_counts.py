@@ -40,6 +40,25 @@ def test_special_strings_and_long_pretokens():
         assert COUNTER.count(text) == len(TOKENIZER.encode(text, add_special_tokens=False).ids)
 
 
+def test_positions_beyond_a_symbols_bits(monkeypatch):
+    """A pre-token of more symbols than a symbol's number has values is counted whole."""
+    whole = token_counts.count_symbols([0] * 3_000, {0: 1, 1 << 24 | 1: 1 << 24 | 2})
+    assert whole == 3_000 // 4
+    monkeypatch.setattr(token_counts, "_BITS", 9)
+    assert token_counts.count_symbols([0] * 3_000, {0: 1, 1 << 9 | 1: 1 << 9 | 2}) == whole
+    with pytest.raises(ValueError):
+        token_counts.merge_table([("a", "b")] * 200)
+
+
+def test_other_patterns():
+    """Chunks and short cuts hold for one pattern only; others split whole texts."""
+    pattern = r"[ab]+|\S|\s+"
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=RANKS, special_tokens={})
+    codec = bpe.Codec(RANKS, pattern)
+    for text in ("abba there, and  abab!", "hello. abcab", ""):
+        assert ids(codec.encode(text)) == own.encode_ordinary(text)
+
+
 def test_ranks_must_be_whole():
     with pytest.raises(ValueError):
         bpe.piece_model({bytes([b]): b for b in range(255)})
