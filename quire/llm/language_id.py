@@ -6,20 +6,20 @@ follow-the-regularised-leader and elastic-net penalties; probabilities calibrate
 by a temperature on rows that the weights weren't trained on.
 
 Document frequencies count all training documents. Weights are trained on a
-sample of about MAX_PER_LANGUAGE documents of each language (a hash of the id
-decides), so what comes to the driver is bounded by that, the number of
-languages and the buckets.
+sample of about MAX_PER_LANGUAGE documents of each language (a hash of the id and
+text decides) and of at most the MAX_LANGUAGES most frequent languages, and has at most MAX_ENTRIES n-gram counts,
+so what comes to the driver is bounded by that and the buckets.
 
-Cases: a text that is null or has no letter is `und` with score 0; with no
+Cases: a text that is null or has no letter (a character that str.isalpha takes
+for one; numerals aren't) is `und` with score 0; with no
 training row every text is `und`; texts of any length count whole; rows whose
-language is null teach nothing; repeated rows are learned from and predicted
+language is null teach nothing; repeated rows are learned from once and predicted
 each; ties go to the language that sorts first; a kept column whose name is that
 of an output column gives way to it; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -28,12 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches, cut, unit_hash
+from .shared import bounded_batches, cut, unit_hash, within
 
 BUCKETS = 1 << 15
 MAX_PER_LANGUAGE = 600
+#: Languages that are learned; a column with more distinct values teaches its most frequent ones.
+MAX_LANGUAGES = 256
+#: N-gram counts of all sampled rows together.
+MAX_ENTRIES = 1 << 24
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
 
 
 def gram_counts(text: str) -> np.ndarray:
@@ -58,7 +61,7 @@ class Model:
         return weigh(gram_counts(text), self.idf)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not text or not _LETTER(text):
+        if not self.languages or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         at, x = self.features(text)
         z = (x @ self.weights[at] + self.bias) / self.temperature
@@ -121,14 +124,15 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     spark = df.sparkSession
     bounded_batches(spark)
     known = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ordered = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
+    sizes = {r["lang"]: r["n"] for r in ordered.limit(MAX_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
-    order = unit_hash("id", F.lit("language"))
-    share: Column = F.lit(0.0)
-    for lang in languages:
-        share = F.when(F.col("lang") == lang, F.lit(per_language / max(sizes[lang], per_language))).otherwise(share)
+    # the text is hashed too, so that rows that share an id aren't all drawn or all left out
+    order = unit_hash("id", "text", F.lit("language"))
+    shares = F.create_map(*(F.lit(x) for lang in languages for x in (lang, per_language / max(sizes[lang], per_language))))
+    share: Column = F.coalesce(shares[F.col("lang")], F.lit(0.0))
     marked = known.select("text", "lang", (order < share).alias("learn"), order.alias("o"))
 
     # one pass: document frequencies of every row, gram counts of the sampled rows
@@ -161,7 +165,8 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         dfs[r["at"]] = r["n"]
     idf = np.log((1 + dfs[BUCKETS]) / (1 + dfs[:BUCKETS])) + 1
     rows = []
-    for r in sorted(found.filter("lang is not null").collect(), key=lambda r: (r["o"], r["lang"], r["n"])):
+    sample = cut(found.filter("lang is not null").dropDuplicates(["o", "lang"]).withColumn("entries", F.size("at")))
+    for r in sorted(within(sample, "o", "entries", MAX_ENTRIES).collect(), key=lambda r: (r["o"], r["lang"], r["n"])):
         c = np.zeros(BUCKETS, np.int64)
         c[r["at"]] = r["n"]
         rows.append((*weigh(c, idf), languages.index(r["lang"])))

@@ -12,7 +12,8 @@ statistics, a few numbers each, come to the driver.
 
 Cases: a null text has no words; texts without words have zero statistics and
 fail the base rules; a text of any length is one row, whole; labels that are null
-or belong to no document are left out; with no labelled row the list is empty and
+or belong to no document are left out, and so are those of one document that
+contradict each other; of rows that share a doc_id the least text teaches; with no labelled row the list is empty and
 rejects nothing; repeated rows are judged each; extra columns stay as they are,
 unless they have a statistic's name, which then replaces them.
 """
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, unit_hash
+from .shared import agreed_labels, cut, labelled_texts, unit_hash
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Labelled rows that rules are learned from, about.
@@ -199,11 +200,11 @@ def verdict(rules: Sequence[Rule]) -> Column:
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = MAX_LABELLED) -> list[tuple[dict[str, int], bool]]:
     """Features of a bounded sample of labelled documents, in order of a hash of the id; bad where the label is 0."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).alias("label"))
+    known = agreed_labels(labels, label_col)
     n = known.count()
     order = unit_hash("doc_id", F.lit("rules"))
-    sample = cut(known.filter(order < most / max(n, most)).dropDuplicates(["doc_id"]))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    sample = cut(known.filter(order < most / max(n, most)))
+    rows = labelled_texts(docs, sample, "text")
     rows = with_statistics(rows).select(F.struct(*(c.alias(k) for k, c in features().items())).alias("f"), "label", order.alias("o"))
     found = rows.collect()
     found.sort(key=lambda r: (r["o"], tuple(r["f"]), r["label"]))

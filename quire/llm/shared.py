@@ -6,11 +6,13 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One batch of rows that goes to a Python worker at once, in bytes.
 BATCH_BYTES = 16 << 20
+#: Folders of local sessions that name none.
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +25,15 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; an own one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors see.
+
+    Where none is set a local session gets one of its own; on a cluster that is an error.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="quire-")
     return at.rstrip("/")
 
 
@@ -70,19 +76,44 @@ def _clean_all() -> None:
             return
 
 
-def unit_hash(*cols) -> F.Column:
+def unit_hash(*cols) -> Column:
     """A number from 0 to 1 that only the columns' values decide."""
     return (F.xxhash64(*cols) / F.lit(2.0**64)) + F.lit(0.5)
 
 
-def crc_of_id(col="doc_id") -> F.Column:
+def crc_of_id(col="doc_id") -> Column:
     """crc32 of the id as text; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
-def letters_only_name(df: DataFrame, stem: str) -> str:
-    """A column name that df doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while stem.lower() in taken:
-        stem = f"_{stem}"
-    return stem
+def within(df: DataFrame, order: str, size: str, limit: int) -> DataFrame:
+    """The rows that come first by order, as many whole ones as have no more than limit of size together.
+
+    For samples whose number of rows is bounded: the two columns come to the driver.
+    """
+    total, last = 0, None
+    for r in sorted(df.select(order, size).collect()):
+        total += r[1]
+        if total > limit:
+            break
+        last = r[0]
+    else:
+        return df
+    return df.filter(F.col(order) <= last) if last is not None else df.limit(0)
+
+
+def agreed_labels(labels: DataFrame, label_col: str) -> DataFrame:
+    """doc_id and label (an int) of each document whose labels are 0 or 1 and agree; contradicting ones teach nothing."""
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull())
+    found = known.groupBy("doc_id").agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("most"))
+    return found.filter("label = most").drop("most")
+
+
+def labelled_texts(docs: DataFrame, sample: DataFrame, text_col: str, *more: Column) -> DataFrame:
+    """doc_id, label, text and more columns: one row for each document of a bounded sample.
+
+    Of rows that share a doc_id, the one of the least text teaches, so a hot id is one row.
+    """
+    text = F.coalesce(docs[text_col], F.lit(""))
+    rows = docs.select("doc_id", F.struct(text.alias("text"), *more).alias("r")).join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("r").alias("r"), F.first("label").alias("label")).select("doc_id", "label", "r.*")

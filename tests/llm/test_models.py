@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 
 from quire.llm import ctw, language_id, quality, queries, toxicity
+from quire.llm.shared import agreed_labels, labelled_texts, within
 from tests.conftest import SMALL
 
 SF = SMALL.replace("0.001", "0.01")
@@ -59,6 +60,31 @@ def test_toxicity_held_out(spark, odd, none):
     assert toxicity.keep(none, net).count() == 0
 
 
+def test_contradictions_and_hot_ids(spark, monkeypatch):
+    """Contradicting labels teach nothing; rows that share a doc_id are one row; whole rows within the bound are taken."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b"), (3, None), (4, "d d d"), (5, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 1, 1), (2, 0, 0), (3, 0, 1), (4, None, 2), (9, 1, 1), (None, 1, 1)], "doc_id long, toxic int, quality int")
+    known = agreed_labels(labels, "toxic")
+    assert {(r.doc_id, r.label) for r in known.collect()} == {(1, 1), (3, 0), (9, 1)}
+    assert {(r.doc_id, r.label, r.text) for r in labelled_texts(docs, known, "text").collect()} == {(1, 1, "text 0"), (3, 0, "")}
+    assert sorted((f["n_words"], bad) for f, bad in quality.labelled_rows(docs, labels)) == [(0, False), (2, True)]
+    sizes = spark.createDataFrame([(i / 10, 10) for i in range(10)], "o double, n int")
+    assert within(sizes, "o", "n", 100).count() == 10 and within(sizes, "o", "n", 39).count() == 3 and within(sizes, "o", "n", 5).count() == 0
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, truth, langs: seen.append((len(texts), sorted(truth))))
+    toxicity.train(docs, labels)
+    assert seen == [(2, [0, 1])]
+
+
+def test_thresholds_have_rows_of_their_own(monkeypatch):
+    used = {}
+    monkeypatch.setattr(toxicity.Net, "train", lambda self, docs, truth: used.update(fit={d.tobytes() for d in docs}))
+    monkeypatch.setattr(toxicity.Net, "calibrate", lambda self, docs, truth, langs: used.update(own={d.tobytes() for d in docs}))
+    texts = [toxicity.word_hashes(" ".join(f"w{j}" for j in range(40) if i >> (j % 7) & 1 or j % 9 == i % 9), {}) for i in range(120)]
+    toxicity.fit(texts, np.arange(120) % 2, ["en"] * 120)
+    assert used["own"] and not used["own"] & used["fit"]
+
+
 def test_toxicity_finds_words():
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(300)]
@@ -84,7 +110,9 @@ def test_language_held_out(spark, odd, none):
     model = language_id.train(odd)
     out = language_id.predict(odd, model, keep=("text", "score")).collect()
     assert len(out) == odd.count()
-    assert all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.text or "")) for r in out)
+    assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or "")) for r in out)
+    numerals = spark.createDataFrame([(i, t) for i, t in enumerate(["²", "½ ①", "Ⅷ Ⅻ", "_ 12 ٣", "Ⅷ a", "ª", "語"])], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in language_id.predict(numerals, model).orderBy("doc_id").collect()] == [True] * 4 + [False] * 3
     nothing = language_id.train(none)
     assert {r.lang_pred for r in language_id.predict(odd, nothing).collect()} == {"und"}
 
