@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .pretokens import MEMO, MEMO_CHARS
-from .shared import bounded_batches, clean, cut
+from .shared import bounded_batches, clean, cut, hot_keys, spread_join
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -327,7 +327,8 @@ def _blocks(placed: DataFrame, parts: DataFrame) -> DataFrame:
     one = need(F.col("n"), F.col("s")) <= 1
     outer = F.when(one, 1).otherwise(need(F.col("n") - F.col("n_main"), F.col("s") - F.col("s_main")))
     inner = F.when(one, 0).otherwise(need(F.col("n_main"), F.col("s_main")))
-    dealt = placed.join(whole.select("band", "value", "main", outer.alias("outer"), inner.alias("inner")), ["band", "value"])
+    dealt = cut(whole.select("band", "value", "main", outer.alias("outer"), inner.alias("inner"), "n"))
+    dealt = spread_join(placed, dealt.drop("n"), ["band", "value"], hot_keys(dealt, ["band", "value"]))
     by = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
     is_main = (F.col("inner") > 0) & (F.col("label") == F.col("main"))
     dealt = dealt.withColumn("block", F.when(is_main, F.col("outer") + by(F.col("inner"))).otherwise(by(F.col("outer"))))
@@ -345,8 +346,10 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float = SIMILARITY, band
     every = nodes.select("node", "size", "bands", F.posexplode(F.concat("bands", "more")).alias("pos", "value"))
     every = every.filter((F.col("pos") < bands) | (F.col("value") != F.get("bands", F.col("pos") - bands)))
     every = every.select("node", "size", (F.col("pos") % bands).alias("band"), "value")
-    buckets = every.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("n > 1").drop("n")
-    members = cut(every.join(buckets, ["band", "value"]))
+    buckets = every.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("n > 1")
+    buckets = cut(buckets)
+    members = cut(spread_join(every, buckets.drop("n"), ["band", "value"], hot_keys(buckets, ["band", "value"])))
+    clean(buckets)
     if members.isEmpty():
         return None
     involved = cut(members.select("node").distinct().join(nodes.select("node", "digest", "sig"), "node"))
@@ -379,21 +382,21 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float = SIMILARITY, band
 def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """row, doc_id, digest, class (a number), class_id (its least doc_id), class_size, kept (of each class, the row of the least doc_id)."""
     signed = sign(docs, bands, rows)
-    nodes = cut(signed.groupBy("digest").agg(F.min("row").alias("node"), *(F.first(c).alias(c) for c in ("sig", "bands", "more", "size"))))
+    nodes = cut(signed.groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("sig", "bands", "more", "size"))))
     found = links(docs, nodes, threshold, bands, rows)
     of_node = nodes.select("digest", "node")
     if found is not None and not found.isEmpty():
-        of_node = of_node.join(components(found), "node", "left").select("digest", F.coalesce("label", "node").alias("class"))
+        of_node = cut(of_node.join(components(found), "node", "left").select("digest", F.coalesce("label", "node").alias("class")))
     else:
         of_node = of_node.withColumnRenamed("node", "class")
-    slim = cut(signed.select("row", "doc_id", "digest").join(of_node, "digest"))
+    slim = cut(spread_join(signed.select("row", "doc_id", "digest"), of_node, ["digest"], hot_keys(nodes, ["digest"])))
     clean(signed, nodes)
-    # the least row of the least doc_id, in two steps that combine before they are shuffled
-    least = slim.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    least = cut(least)
-    marked = slim.join(least, "class")
-    at = marked.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min("row").alias("first"))
-    return marked.join(at, "class").withColumn("kept", F.col("row") == F.col("first")).drop("first")
+    # the least row of the least doc_id; a null one is the largest
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    least = slim.groupBy("class").agg(first.alias("f"), F.count(F.lit(1)).alias("class_size"))
+    least = cut(least.select("class", F.col("f.doc_id").alias("class_id"), "class_size", F.col("f.row").alias("first")))
+    out = spread_join(slim, least, ["class"], hot_keys(least, ["class"], "class_size"))
+    return out.withColumn("kept", F.col("row") == F.col("first")).drop("first")
 
 
 def deduplicate(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

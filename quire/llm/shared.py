@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,27 @@ def crc_of_id(col="doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
+#: A key that more than one in HOT rows have, and more than LEAST_HOT, is hot: there are fewer than HOT such keys.
+HOT = 1_000
+LEAST_HOT = 1_000
+
+
+def hot_keys(counted: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame | None:
+    """The keys that are hot, of a written table with one row a key and its number of rows; None where none is."""
+    total, most = counted.agg(F.sum(n), F.max(n)).first()
+    bound = max((total or 0) / HOT, LEAST_HOT)
+    return counted.filter(F.col(n) > bound).select(*keys) if (most or 0) > bound else None
+
+
+def spread_join(rows: DataFrame, of_key: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataFrame:
+    """rows joined with of_key, which has one row a key; rows of hot keys aren't gathered, as their keys come to them."""
+    if hot is None:
+        return rows.join(of_key, list(keys))
+    few = F.broadcast(hot)
+    near = rows.join(F.broadcast(of_key.join(few, list(keys), "left_semi")), list(keys))
+    return near.unionByName(rows.join(few, list(keys), "left_anti").join(of_key, list(keys)))
+
+
 def within(df: DataFrame, order: str, size: str, limit: int) -> DataFrame:
     """The rows that come first by order, as many whole ones as have no more than limit of size together.
 

@@ -1,6 +1,6 @@
 """Operators 9 and 10, and the pipeline's stages, against brute force."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import hamming_search, near_duplicates, queries
+from quire.llm import hamming_search, near_duplicates, queries, shared
 from quire.llm.components import components
 from tests.conftest import SMALL
 
@@ -56,7 +56,9 @@ def test_search_ends_early():
     assert codes[places[far.argmin()]] == codes[7] and far.min() == 2 and len(places) < 50
 
 
-def test_components(spark):
+@pytest.mark.parametrize("least", [1_000, 5])
+def test_components(spark, monkeypatch, least):
+    monkeypatch.setattr(shared, "LEAST_HOT", least)  # with 5, hubs and large components are hot
     rng = np.random.default_rng(4)
     links = [(i, i + 1) for i in range(200)] + [(1_000, 1_000 + i) for i in range(1, 100)] + [(int(a), int(b)) for a, b in rng.integers(2_000, 2_300, (200, 2))] + [(1, 0), (5_000, 5_000)]
     up = {}
@@ -157,6 +159,7 @@ def test_weighted_links(spark):
 
 def test_blocks_of_large_buckets(spark, monkeypatch):
     """Whatever the blocks are, every pair of different components meets in a group, and no task gets all."""
+    monkeypatch.setattr(shared, "LEAST_HOT", 5)
     for size in (1_024, 3):
         monkeypatch.setattr(near_duplicates, "BLOCK", size)
         labels = [0] * 10 + [1] * 4 + [2, 3, 3, 4]
@@ -176,6 +179,48 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
     assert sorted(sorted(v, key=repr) for v in out.values()) == brute_classes(rows)
 
 
+def every_link(texts):
+    """Pairs of different texts whose Jaccard or probability Jaccard similarity of five-word shingles is 0.8 or more."""
+
+    def counted(t):
+        w = t.encode().split()
+        return Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else Counter()
+
+    own = [counted(t) for t in texts]
+    having = defaultdict(list)
+    for i, c in enumerate(own):
+        for g in c:
+            having[g].append(i)
+    common = Counter(pair for v in having.values() for pair in combinations(v, 2))
+    for (a, b), n in common.items():
+        x, y = own[a], own[b]
+        if n >= 0.8 * (len(x) + len(y) - n):
+            yield a, b
+        elif max(x.values()) > 1 or max(y.values()) > 1:
+            nx, ny, both = sum(x.values()), sum(y.values()), x.keys() & y.keys()
+            if sum(min(x[g] / nx, y[g] / ny) for g in both) >= 0.8:
+                if sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in x.keys() | y.keys()) for i in both) >= 0.8:
+                    yield a, b
+
+
+def test_link_recall(spark):
+    """Of all links, found by counting, those whose ends are in one class: the corpus, and pairs just within reach whose lines repeat unequally."""
+    df = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(21)
+    rows = []
+    for i in range(300):
+        words = [f"{i}-{w}" for w in range(int(rng.integers(60, 300)))]
+        other, line = list(words), [f"{i}f{k}" for k in range(12)]
+        for k in range(max(1, len(words) // 60)):
+            other[(k * 60 + i) % len(words)] = f"{i}new{k}"
+        rows += [(10_000 + 2 * i + k, " ".join(w + line * int(rng.integers(0, 40) if i % 2 else 0))) for k, w in enumerate((words, other))]
+    df = df.union(spark.createDataFrame(rows, df.schema))
+    texts = sorted({r.text or "" for r in df.collect()})
+    of = {r.text or "": r["class"] for r in df.join(near_duplicates.classes(df).select("doc_id", "class"), "doc_id").collect()}
+    found = [of[texts[a]] == of[texts[b]] for a, b in every_link(texts)]
+    assert len(found) > 200 and np.mean(found) >= 0.99
+
+
 def test_exact_similarity_and_its_estimate():
     rng = np.random.default_rng(3)
     for _ in range(5):
