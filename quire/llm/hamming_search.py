@@ -1,17 +1,17 @@
 """Operator 9: exact top-k search over binary codes by incremental multi-index hashing.
 
 A vector's code has one bit for each dimension, 1 where the number is above zero.
-Codes are cut into segments, and each segment has a table from its value to the
-codes that have it. A search looks up the values at radius 0, 1, 2, ... of the
-query's segments, segment by segment, and verifies the full distance of what it
-finds. Once segments have been searched to radii r_1, ..., r_m, every code within
-the sum of (r_i + 1), less one, has been found; a search ends when the kth verified
-distance is no more than that.
+Codes are cut into segments, about as wide as the number of codes has bits, and the
+index is one table: segment, value, code. Radius by radius the open queries are
+joined with it on the values at just that radius of their segments, and the full
+distance of what they meet is verified. A pair that meets in several segments or
+rounds counts where it meets first, which the two codes alone tell. Once m segments
+have been searched to radius r, every code within m * (r + 1) - 1 has been found; a
+query is done when its kth verified distance is no more than that.
 
 Distinct codes are searched, each with its k least ids, which is all that can be
-among a query's k nearest; equal queries are searched once. Codes are dealt out to
-shards and queries to blocks of bounded size; each pair of a shard and a block is
-searched by itself, exactly, and a query's shard results are merged.
+among a query's k nearest; equal queries are searched once. What is shuffled is the
+index and the probes of a round; values that many codes have are dealt out in blocks.
 
 Cases: a null vector has no code: it isn't indexed, and as a query has no result;
 null or NaN numbers and missing dimensions count as 0; a vector of more dimensions
@@ -24,19 +24,21 @@ an empty table.
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import clean, cut
 
 BITS = 64
-#: Codes of a shard and queries of a block, about; there are at least MIN_SHARDS shards.
-SHARD = 1 << 16
-BLOCK = 1 << 10
-MIN_SHARDS = 16
+#: Segments are no narrower than this, and there are at least two.
+LEAST_WIDTH = 8
+#: Codes of one segment value that are met together; more are dealt out in blocks.
+BLOCK = 1 << 12
+#: Values with several blocks that are broadcast; more are joined by shuffling.
+MAX_BROADCAST = 1_000_000
 
 
 def code_of(vector: Column) -> Column:
@@ -47,63 +49,89 @@ def code_of(vector: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
-class Index:
-    """The tables of the segments over distinct codes."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        # segments about as wide as the number of codes has bits, so that a table's slots hold about one code
-        segments = max(2, round(BITS / max(4.0, math.log2(max(len(codes), 2)))))
-        edges = [BITS * i // segments for i in range(segments + 1)]
-        self.segments = []
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            value = ((codes >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
-            order = np.argsort(value, kind="stable")
-            start = np.searchsorted(value[order], np.arange((1 << (hi - lo)) + 1))
-            self.segments.append((lo, hi - lo, order, start))
-        self.masks: dict[tuple[int, int], np.ndarray] = {}
-
-    def mask(self, width: int, radius: int) -> np.ndarray:
-        """All numbers of that width with so many bits."""
-        if (width, radius) not in self.masks:
-            self.masks[width, radius] = np.array([sum(1 << b for b in c) for c in combinations(range(width), radius)], np.int64)
-        return self.masks[width, radius]
-
-    def search(self, query: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and distances of all codes that are no farther than the kth nearest."""
-        q = np.uint64(query)
-        seen = np.zeros(len(self.codes), bool)
-        places, distances = [], []
-        within = np.zeros(BITS + 1, np.int64)  # how many have been found at each distance
-        covered = -1
-        for radius in range(max(w for _, w, _, _ in self.segments) + 1):
-            for lo, width, order, start in self.segments:
-                if radius <= width:
-                    value = (query >> lo & ((1 << width) - 1)) ^ self.mask(width, radius)
-                    a, b = start[value], start[value + 1]
-                    n = b - a
-                    total = int(n.sum())
-                    if total:
-                        at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
-                        found = order[at]
-                        found = found[~seen[found]]
-                        seen[found] = True
-                        d = np.bitwise_count(self.codes[found] ^ q).astype(np.int64)
-                        places.append(found)
-                        distances.append(d)
-                        within += np.bincount(d, minlength=BITS + 1)
-                covered += 1
-                if within[: min(covered, BITS) + 1].sum() >= k:
-                    return _first(places, distances, k)
-        return _first(places, distances, k)
-
-
-def _first(places: list[np.ndarray], distances: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    p, d = np.concatenate(places), np.concatenate(distances)
-    last = np.partition(d, k - 1)[k - 1] if len(d) > k else BITS
-    return p[d <= last], d[d <= last]
+def segments(codes: int) -> list[tuple[int, int]]:
+    """The first bit and the width of each segment for so many codes."""
+    n = max(2, round(BITS / max(LEAST_WIDTH, math.log2(max(codes, 2)))))
+    edges = [BITS * i // n for i in range(n + 1)]
+    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
+def _value(code: Column, lo: int, width: int) -> Column:
+    return F.shiftrightunsigned(code, lo).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _by_segment(rows: DataFrame, code: str, cuts: list[tuple[int, int]]) -> DataFrame:
+    """rows (a column code) once for each segment, with seg and value."""
+    parts = F.array(*(F.struct(F.lit(s).alias("seg"), _value(F.col(code), lo, w).alias("value")) for s, (lo, w) in enumerate(cuts)))
+    return rows.select(code, F.inline(parts))
+
+
+def _masks(spark, cuts: list[tuple[int, int]]) -> Iterator[DataFrame]:
+    """For radius 0, 1, 2, ...: seg and every mask of so many bits in that segment's width."""
+    start = F.array(*(F.struct(F.lit(s).alias("seg"), F.lit(w).alias("width"), F.lit(0).alias("next"), F.lit(0).cast("long").alias("mask")) for s, (_, w) in enumerate(cuts)))
+    now = spark.range(1).select(F.inline(start))
+    while True:
+        yield now.select("seg", "mask")
+        bit = F.explode(F.sequence(F.col("next"), F.col("width") - 1))
+        now = now.filter("next < width").select("seg", "width", "mask", bit.alias("bit"))
+        now = now.select("seg", "width", (F.col("bit") + 1).alias("next"), F.col("mask").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("mask"))
+
+
+def _index(codes: DataFrame, cuts: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame | None]:
+    """seg, value, block and code: written; and seg, value, blocks of the values that have several."""
+    entries = _by_segment(codes, "code", cuts)
+    sizes = entries.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    large = cut(sizes.select("seg", "value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    n = large.count()
+    if not n:
+        return cut(entries.select("seg", "value", F.lit(0).alias("block"), "code")), None
+    large = F.broadcast(large) if n <= MAX_BROADCAST else large
+    dealt = entries.join(large, ["seg", "value"], "left").withColumn("block", F.pmod(F.xxhash64("code"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    return cut(dealt.select("seg", "value", "block", "code")), large
+
+
+def _met(open_: DataFrame, masks: DataFrame, radius: int, index: DataFrame, large: DataFrame | None, cuts: list[tuple[int, int]]) -> DataFrame:
+    """query, code and distance of what open queries (query, far: only up to this distance) meet first at this radius."""
+    probes = _by_segment(open_.select("query"), "query", cuts).join(F.broadcast(masks), "seg")
+    probes = probes.select("query", "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    if large is None:
+        probes = probes.withColumn("block", F.lit(0))
+    else:
+        every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+        probes = probes.join(large, ["seg", "value"], "left").select("query", "seg", "value", every.alias("block"))
+    pairs = probes.join(index, ["seg", "value", "block"]).withColumn("x", F.col("query").bitwiseXOR(F.col("code")))
+    apart = F.array(*(F.bit_count(_value(F.col("x"), lo, w)) for lo, w in cuts))
+    first = (F.array_min(apart) == radius) & (F.array_position(apart, F.lit(radius)) == F.col("seg") + 1)
+    return pairs.filter(first).select("query", "code", F.bit_count("x").alias("distance"))
+
+
+def nearest_codes(codes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """query, code, distance: of the distinct codes those no farther than the kth nearest of each distinct query."""
+    n = codes.count()
+    cuts = segments(n)
+    index, large = _index(codes, cuts)
+    of_query = Window.partitionBy("query")
+    none = F.lit(None)
+    open_, held, done = wanted.select("query", none.cast("int").alias("far")), None, []
+    for radius, masks in enumerate(_masks(codes.sparkSession, cuts)):
+        found = _met(open_, masks, radius, index, large, cuts)
+        if held is not None:
+            # what is farther than the kth so far can't be among the first k
+            found = found.join(open_, "query").filter(F.col("distance") <= F.coalesce("far", F.lit(BITS))).drop("far").unionByName(held)
+        # a row without a code stands for each open query
+        found = found.unionByName(open_.select("query", none.cast("long").alias("code"), none.cast("int").alias("distance")))
+        found = found.withColumn("i", F.rank().over(of_query.orderBy(F.col("distance").asc_nulls_last()))).filter((F.col("i") <= k) | F.col("code").isNull()).drop("i")
+        found = found.withColumn("n", F.count("code").over(of_query)).withColumn("far", F.max("distance").over(of_query))
+        covered = len(cuts) * (radius + 1) - 1
+        last = radius >= max(w for _, w in cuts)
+        found = cut(found.withColumn("whole", (F.col("n") >= k) & (F.col("far") <= covered) | (F.col("n") >= n) | F.lit(last)))
+        done.append(found.filter("whole and code is not null").select("query", "code", "distance"))
+        left = found.filter("not whole")
+        held = left.filter("code is not null").select("query", "code", "distance")
+        open_ = left.filter("code is null").select("query", F.when(F.col("n") >= k, F.col("far")).alias("far"))
+        if open_.isEmpty():
+            clean(index)
+            return reduce(DataFrame.unionByName, done)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -111,32 +139,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     coded = cut(rows.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), code_of(F.col(vector_col)).alias("code")))
     asked = cut(queries.filter(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("query_id"), code_of(F.col(vector_col)).alias("query")))
     order = Window.partitionBy("code").orderBy(F.col("id").asc_nulls_last())
-    least = coded.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k).drop("i")
-    held = cut(least)
-    codes = held.select("code").distinct()
-    wanted = cut(asked.select("query").distinct())
-    n_codes, n_queries = codes.count(), wanted.count()
-    shards, blocks = max(MIN_SHARDS, -(-n_codes // SHARD)), max(1, -(-n_queries // BLOCK))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = codes.select("code", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), numbers(blocks).alias("block"))
-    right = wanted.select("query", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"), numbers(shards).alias("shard"))
-
-    def run(key, one, two):
-        import pyarrow as pa
-
-        index = Index(np.sort(one.column("code").to_numpy().astype(np.int64)).view(np.uint64))
-        q, c, d = [], [], []
-        for query in two.column("query").to_pylist():
-            places, far = index.search(query & (1 << 64) - 1, k)
-            q.append(np.full(len(places), query, np.int64))
-            c.append(index.codes[places].view(np.int64))
-            d.append(far.astype(np.int32))
-        made = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((q, np.int64), (c, np.int64), (d, np.int32))]
-        return pa.table([pa.array(x) for x in made], names=["query", "code", "distance"])
-
-    found = right.groupBy("shard", "block").cogroup(left.groupBy("shard", "block")).applyInArrow(lambda key, r, lft: run(key, lft, r), "query long, code long, distance int")
+    held = cut(coded.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k).drop("i"))
+    near = nearest_codes(held.select("code").distinct(), asked.select("query").distinct(), k)
     # of a query's codes, those up to the kth nearest: more than k only where distances tie
-    near = found.withColumn("i", F.rank().over(Window.partitionBy("query").orderBy("distance"))).filter(F.col("i") <= k).drop("i")
     ranked = near.join(held, "code").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", F.col("id").asc_nulls_last())))
     ranked = cut(ranked.filter(F.col("rank") <= k).select("query", "rank", F.col("id").alias("neighbour"), "distance"))
     return asked.join(ranked, "query").select("query_id", "rank", F.col("neighbour").alias(id_col), "distance")

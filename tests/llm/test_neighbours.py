@@ -49,11 +49,28 @@ def test_search_refuses_longer_vectors(spark):
         hamming_search.top_k(df, df).collect()
 
 
-def test_search_ends_early():
-    codes = np.sort(np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64))
-    index = hamming_search.Index(codes)
-    places, far = index.search(int(codes[7]) ^ 5, 1)
-    assert codes[places[far.argmin()]] == codes[7] and far.min() == 2 and len(places) < 50
+def test_search_ends_early(spark, monkeypatch):
+    """A near neighbour is found after few probes; blocks of a value that many codes have lose nothing."""
+    codes = np.random.default_rng(1).integers(0, 2**63, 20_000)
+    codes[:3_000] = codes[:3_000] >> 40 << 40 | np.arange(3_000)  # the highest segments of many are alike
+    codes[:3_000] |= codes[0] >> 40 << 40
+    df = spark.createDataFrame([(int(c),) for c in codes], "code long").distinct()
+    asked = [int(codes[7]) ^ 5, int(codes[9_000]) ^ 3]
+    seen, met = [], hamming_search._met
+
+    def watched(open_, masks, radius, *more):
+        found = met(open_, masks, radius, *more)
+        seen.append((radius, found.count()))
+        return found
+
+    monkeypatch.setattr(hamming_search, "_met", watched)
+    for block in (1 << 12, 100):
+        monkeypatch.setattr(hamming_search, "BLOCK", block)
+        got = hamming_search.nearest_codes(df, spark.createDataFrame([(q,) for q in asked], "query long"), 1).collect()
+        for q in asked:
+            want = min(bin(q ^ int(c)).count("1") for c in codes)
+            assert {(r.code, r.distance) for r in got if r.query == q} == {(int(c), want) for c in codes if bin(q ^ int(c)).count("1") == want}
+    assert {r for r, _ in seen} == {0} and max(n for _, n in seen) < 10_000
 
 
 @pytest.mark.parametrize("least", [1_000, 5])
