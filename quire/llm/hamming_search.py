@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from .shared import clean, cut
 
 BITS = 64
-#: Segments are no narrower than this, and there are at least two.
+#: Segments are no narrower than the one and, as there are LEAST_SEGMENTS, no wider than 16 bits, so the masks of a radius are few.
 LEAST_WIDTH = 8
+LEAST_SEGMENTS = 4
 #: Codes of one segment value that are met together; more are dealt out in blocks.
 BLOCK = 1 << 12
 #: Values with several blocks that are broadcast; more are joined by shuffling.
@@ -51,7 +52,7 @@ def code_of(vector: Column) -> Column:
 
 def segments(codes: int) -> list[tuple[int, int]]:
     """The first bit and the width of each segment for so many codes."""
-    n = max(2, round(BITS / max(LEAST_WIDTH, math.log2(max(codes, 2)))))
+    n = max(LEAST_SEGMENTS, round(BITS / max(LEAST_WIDTH, math.log2(max(codes, 2)))))
     edges = [BITS * i // n for i in range(n + 1)]
     return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
 
@@ -99,7 +100,7 @@ def _met(open_: DataFrame, masks: DataFrame, radius: int, index: DataFrame, larg
     else:
         every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
         probes = probes.join(large, ["seg", "value"], "left").select("query", "seg", "value", every.alias("block"))
-    pairs = probes.join(index, ["seg", "value", "block"]).withColumn("x", F.col("query").bitwiseXOR(F.col("code")))
+    pairs = probes.join(index.hint("merge"), ["seg", "value", "block"])  # the index grows with the data: never broadcast.withColumn("x", F.col("query").bitwiseXOR(F.col("code")))
     apart = F.array(*(F.bit_count(_value(F.col("x"), lo, w)) for lo, w in cuts))
     first = (F.array_min(apart) == radius) & (F.array_position(apart, F.lit(radius)) == F.col("seg") + 1)
     return pairs.filter(first).select("query", "code", F.bit_count("x").alias("distance"))
@@ -142,6 +143,6 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     held = cut(coded.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k).drop("i"))
     near = nearest_codes(held.select("code").distinct(), asked.select("query").distinct(), k)
     # of a query's codes, those up to the kth nearest: more than k only where distances tie
-    ranked = near.join(held, "code").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", F.col("id").asc_nulls_last())))
+    ranked = near.join(held.hint("merge"), "code").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", F.col("id").asc_nulls_last())))
     ranked = cut(ranked.filter(F.col("rank") <= k).select("query", "rank", F.col("id").alias("neighbour"), "distance"))
     return asked.join(ranked, "query").select("query_id", "rank", F.col("neighbour").alias(id_col), "distance")
