@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
+from ..lineage import cut
 
 
 def remap_links(links: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def walk(first: DataFrame, following: Callable[[DataFrame, int], DataFrame], pla
         most = nodes.count() if most is None else most
         if d >= most:
             raise InvalidArgument("not a tree: its levels don't end")
-        out, level, planned = out.localCheckpoint(), level.localCheckpoint(), max(planned, 1)
+        out, level, planned = cut(out), cut(level), max(planned, 1)
 
 
 def tree_levels(nodes: DataFrame, depth: int = 16) -> DataFrame:
@@ -102,8 +103,8 @@ def prune_outline(nodes: DataFrame, kept: DataFrame, depth: int = 16) -> DataFra
         front = parents(front).join(alive, "node_id", "left_anti")
         if front.isEmpty():
             return nodes.join(alive.distinct(), "node_id", "left_semi")
-        front = front.localCheckpoint()
-        alive = alive.unionByName(front).distinct().localCheckpoint()
+        front = cut(front)
+        alive = cut(alive.unionByName(front).distinct())
 
 
 def rename_fields(fields: DataFrame) -> DataFrame:
