@@ -100,7 +100,8 @@ def _met(open_: DataFrame, masks: DataFrame, radius: int, index: DataFrame, larg
     else:
         every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
         probes = probes.join(large, ["seg", "value"], "left").select("query", "seg", "value", every.alias("block"))
-    pairs = probes.join(index.hint("merge"), ["seg", "value", "block"])  # the index grows with the data: never broadcast.withColumn("x", F.col("query").bitwiseXOR(F.col("code")))
+    # the index grows with the data and is never broadcast
+    pairs = probes.join(index.hint("merge"), ["seg", "value", "block"]).withColumn("x", F.col("query").bitwiseXOR(F.col("code")))
     apart = F.array(*(F.bit_count(_value(F.col("x"), lo, w)) for lo, w in cuts))
     first = (F.array_min(apart) == radius) & (F.array_position(apart, F.lit(radius)) == F.col("seg") + 1)
     return pairs.filter(first).select("query", "code", F.bit_count("x").alias("distance"))
