@@ -18,20 +18,22 @@ def xml_encode(text: Column) -> Column:
     """Entities for the five special characters, numbers for DEL and beyond ASCII; other control characters go."""
     for plain, entity in ENTITIES:
         text = F.replace(text, F.lit(plain), F.lit(entity))
-    plain = ~text.rlike(r"[^\x00-\x7E]")
-    coded = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(r"[^\x00-\x7E]"), F.concat(F.lit("&#"), F.ascii(c).cast("string"), F.lit(";"))).otherwise(c)), "")
-    return drop_nonprinting(F.when(plain, text).otherwise(coded))
+    others = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^\x00-\x7E]"), F.lit(0)))
+    coded = F.aggregate(others, text, lambda t, c: F.replace(t, c, F.concat(F.lit("&#"), F.ascii(c).cast("string"), F.lit(";"))))
+    return drop_nonprinting(coded)
 
 
 def xml_decode(text: Column) -> Column:
-    """The inverse: numbers and the five entities, the ampersand last."""
-    number = F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,7});"), F.lit(1))
-    text = F.when(F.size(number) == 0, text).otherwise(
-        F.aggregate(F.array_distinct(number), text, lambda t, n: F.replace(t, F.concat(F.lit("&#"), n, F.lit(";")), _character(n)))
-    )
-    for plain, entity in reversed(ENTITIES):
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+    """The inverse, in one scan from the left, so that nothing is decoded twice."""
+    parts = F.regexp_extract_all(text, F.lit(r"&#[0-9]{1,7};|&(?:amp|lt|gt|quot|apos);|[^&]+|&"), F.lit(0))
+
+    def plain(part: Column) -> Column:
+        out = F.when(part.rlike(r"^&#[0-9]{1,7};$"), _character(F.regexp_extract(part, "[0-9]+", 0)))
+        for sign, entity in ENTITIES:
+            out = out.when(part == entity, F.lit(sign))
+        return out.otherwise(part)
+
+    return F.when(F.instr(text, "&") == 0, text).otherwise(F.array_join(F.transform(parts, plain), ""))
 
 
 def decode_all(df):
@@ -53,10 +55,16 @@ def _character(number: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """Whole numbers without a fraction, with thousands separators; others to four places without trailing zeros."""
-    whole = F.format_number(x, 0)
-    part = F.regexp_replace(F.regexp_replace(F.format_number(x, 4), r"0+$", ""), r"\.$", "")
-    return F.when(x == F.round(x), whole).otherwise(part)
+    """As few digits as tell the number apart, with thousands separators; whole numbers have no fraction."""
+    digits = F.abs(x).cast("string").cast("decimal(38,18)").cast("string")
+    fraction = F.regexp_replace(F.substring_index(digits, ".", -1), "0+$", "")
+    whole = F.format_number(F.substring_index(digits, ".", 1).cast("decimal(20,0)"), 0)
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), whole, F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), fraction)))
+
+
+def short_number(x: Column) -> Column:
+    """To four places, without trailing zeros and separators."""
+    return F.regexp_replace(F.regexp_replace(F.round(x.cast("decimal(38,18)"), 4).cast("decimal(38,4)").cast("string"), r"0+$", ""), r"\.$", "")
 
 
 def rectangle_text(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -65,8 +73,13 @@ def rectangle_text(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 def compact_json(text: Column) -> Column:
-    """Runs of white space between tokens become one space."""
-    return F.regexp_replace(text, r"\s+", " ")
+    """Innermost arrays, then innermost objects, on one line: one space for each run of white space in them, none at their ends."""
+    for start, end in ("[]", "{}"):
+        simple = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\{start}[^\{start}\{end}]*\{end}"), F.lit(0)))
+        line = lambda m: F.trim(F.regexp_replace(F.substring(m, 2, 1 << 30), r"\s+", " "))
+        flat = lambda m: F.concat(F.lit(start), F.trim(F.regexp_replace(line(m), rf"\{end}$", "")), F.lit(end))  # noqa: E731, B023
+        text = F.aggregate(simple, text, lambda t, m: F.replace(t, m, flat(m)))  # noqa: B023
+    return text
 
 
 def hex_id(data: Column) -> Column:

@@ -3,22 +3,115 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
+from ..functions.dimensions import lengths
 from ..functions.text import drop_nonprinting, split_escaped
 from ..pagespec import any_match, parse
 from .pages import with_total
 
+# executors need no copy of the package: what runs there is pickled by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def replace(pages: DataFrame, spec: str, column: str = "content") -> DataFrame:
+
+#: The characters that content streams read as white space, and those that end a token. Fixed values.
+_WHITE = "\0\t\n\f\r "
+_ENDS = "()<>[]{}/%"
+
+
+def tokens(text: str) -> list[str]:
+    """The tokens of a content stream: strings with nested brackets, hex strings, arrays' and dictionaries' marks, names, numbers, operators.
+
+    Comments go. An inline image's data, up to its EI, is one token, as it stands.
+    """
+    out, i, n = [], 0, len(text)
+    while i < n:
+        c = text[i]
+        start = i
+        if c in _WHITE:
+            i += 1
+            continue
+        if c == "%":
+            while i < n and text[i] not in "\r\n":
+                i += 1
+            continue
+        if c == "(":
+            depth = 0
+            while i < n:
+                depth += {"(": 1, ")": -1}.get(text[i], 0)
+                i += 2 if text[i] == "\\" else 1
+                if not depth:
+                    break
+        elif text[i : i + 2] in ("<<", ">>"):
+            i += 2
+        elif c == "<":
+            i = text.find(">", i) + 1 or n
+        elif c in "[]{})>":
+            i += 1
+        else:
+            i += 1
+            while i < n and text[i] not in _WHITE and text[i] not in _ENDS:
+                i += 1
+        out.append(text[start:i])
+        if out[-1] == "ID":
+            end = re.compile(r"\sEI(?=[\0\t\n\f\r ]|$)").search(text, i)
+            out.append(text[i + 1 : end.start() if end else n])
+            i = end.start() if end else n
+    return out
+
+
+def normalized(text: str) -> str:
+    """One operator with its operands a line; arrays and dictionaries with spaces inside their marks."""
+    lines, line, depth = [], [], 0
+    own = iter(tokens(text))
+    for t in own:
+        line.append(t)
+        depth += {"[": 1, "<<": 1, "]": -1, ">>": -1}.get(t, 0)
+        if t == "BI" and not depth:
+            # an inline image is one instruction
+            for u in own:
+                line.append(u)
+                if u == "EI":
+                    break
+            lines.append(" ".join(line))
+            line = []
+        elif depth <= 0 and t not in ("true", "false", "null", "]", ">>") and (t[0].isalpha() or t[0] in "'\""):
+            lines.append(" ".join(line))
+            line, depth = [], 0
+    return "\n".join([*lines, *([" ".join(line)] if line else [])])
+
+
+def _rewritten(pages: DataFrame, column: str, hit: Column, change) -> DataFrame:
+    """pages with change(text) where hit is true and the content isn't null: an Arrow step on the bare column."""
+    rows = pages.withColumn("_hit", F.coalesce(hit & F.col(column).isNotNull(), F.lit(False))).drop("n_pages")
+    schema = rows.drop("_hit").schema
+    at, names = rows.columns.index(column), rows.drop("_hit").columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            *own, marks = batch.columns
+            own[at] = pa.array([change(t) if m else t for t, m in zip(own[at].to_pylist(), marks.to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(own, names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def replace(pages: DataFrame, spec: str, column: str = "content", normalize: bool = False) -> DataFrame:
     """`pages/from/to/count`: the last character but digits is the delimiter; count 0 or none: all.
 
-    Back references are written \\1. A count is a chain of single replacements of
-    what is left, on the rows that have a match.
+    Back references are written \\1; an empty from leaves the text as it is. With
+    normalize, content is brought to one operator a line before and after, as the
+    operation of that name on the command line has it. Without that and without a
+    count the JVM's expressions do the work; else the pattern is compiled in an
+    Arrow step, so that anchors and look-around see the whole text.
     """
     m = re.fullmatch(r"(.*?)(\D)(\d*)", spec, re.S)
     if not m:
@@ -27,28 +120,25 @@ def replace(pages: DataFrame, spec: str, column: str = "content") -> DataFrame:
     if len(parts) != 3:
         raise InvalidArgument(f"pages, from and to: {spec!r}")
     where, old, new = parts
+    count = int(m[3] or 0)
     pages = with_total(pages)
-    if not old:
+    hit = any_match(parse(where or "-"), F.col("page_no"), F.col("n_pages"))
+    if not old and not normalize:
         return pages.drop("n_pages")
-    java = re.sub(r"\\(\d)", r"$\1", new.replace("$", "\\$"))
-    count = int(m[3] or 0)
-    text = F.col(column)
-    if count == 0:
-        changed = F.regexp_replace(text, old, java)
-    else:
-        # head: what has been handled, tail: what hasn't
-        state = F.struct(F.lit("").alias("head"), text.alias("tail"))
+    if not normalize and not count:
+        java = re.sub(r"\\(\d)", r"$\1", new.replace("$", "\\$"))
+        return pages.withColumn(column, F.when(hit, F.regexp_replace(column, old, java)).otherwise(F.col(column))).drop("n_pages")
+    try:
+        pattern = re.compile(old)
+    except re.error as e:
+        raise InvalidArgument(f"not a pattern: {old!r}: {e}") from None
 
-        def once(s: Column, _: Column) -> Column:
-            at = F.regexp_instr(s["tail"], F.lit(old))
-            hit = F.regexp_substr(s["tail"], F.lit(old))
-            head = F.concat(s["head"], F.substr(s["tail"], F.lit(1), at - 1), F.regexp_replace(hit, old, java))
-            done = (at == 0) | hit.isNull()
-            return F.struct(F.when(done, s["head"]).otherwise(head).alias("head"), F.when(done, s["tail"]).otherwise(F.substr(s["tail"], at + F.length(hit))).alias("tail"))
+    def change(text: str) -> str:
+        text = normalized(text) if normalize else text
+        text = pattern.sub(new, text, count=count) if old else text
+        return normalized(text) if normalize else text
 
-        changed = F.aggregate(F.sequence(F.lit(1), F.lit(count)), state, once, lambda s: F.concat(s["head"], s["tail"]))
-    hit = any_match(parse(where), F.col("page_no"), F.col("n_pages"))
-    return pages.withColumn(column, F.when(hit, changed).otherwise(text)).drop("n_pages")
+    return _rewritten(pages, column, hit, change)
 
 
 def inject(pages: DataFrame, rules: Sequence[tuple[str, str, str]], column: str = "content") -> DataFrame:
@@ -69,17 +159,11 @@ def inject(pages: DataFrame, rules: Sequence[tuple[str, str, str]], column: str
     return pages.withColumn(column, out).drop("n_pages")
 
 
-def normalize(pages: DataFrame, specs: str = "-", column: str = "content") -> DataFrame:
-    """One operator a line: operands and their operator are tokens between white space.
-
-    Strings in brackets keep their white space. One regular expression splits tokens,
-    one puts a line end after each operator, a token that starts with a letter or quote.
-    """
+def normalize(pages: DataFrame, specs: str | Sequence[str] = "-", column: str = "content") -> DataFrame:
+    """One operator with its operands a line on the selected pages; null content stays null."""
     pages = with_total(pages)
-    tokens = F.regexp_extract_all(F.col(column), F.lit(r"\((?:\\.|[^()\\])*\)|\[(?:\((?:\\.|[^()\\])*\)|[^\]])*\]|[^\s\[\]()]+"), F.lit(0))
-    lines = F.array_join(F.transform(tokens, lambda t: F.concat(t, F.when(t.rlike(r"^[A-Za-z'\"][A-Za-z0-9*]*$"), F.lit("\n")).otherwise(F.lit(" ")))), "")
-    hit = any_match(parse(specs), F.col("page_no"), F.col("n_pages"))
-    return pages.withColumn(column, F.when(hit, F.rtrim(lines, F.lit(" \n"))).otherwise(F.col(column))).drop("n_pages")
+    chosen = parse(specs) if isinstance(specs, str) else [s for x in specs or ["-"] for s in parse(x)]
+    return _rewritten(pages, column, any_match(chosen, F.col("page_no"), F.col("n_pages")), normalized)
 
 
 def dump_text(pages: DataFrame, column: str = "content") -> DataFrame:
@@ -109,7 +193,7 @@ VARIABLES = {
     "source_mediabox": "source_mediabox",
     "source_filesize": "source_filesize",
 }
-_NUMBERS = {"page", "total", "source_page"}
+_NUMBERS = {"page", "total", "source_page", "source_rotation", "source_width", "source_height", "source_filesize"}
 
 
 def template(text: str, columns: Sequence[str]) -> Column:
@@ -161,20 +245,86 @@ def _formatted(value: Column, spec: str) -> Column:
     raise InvalidArgument(f"no such format: {spec!r}")
 
 
-def add_text(pages: DataFrame, rules: Sequence[tuple[str, str, str]], size: float = 12.0) -> DataFrame:
-    """(pages, template, position) in order: one row for each text of a page: rule, text, x, y.
+def text_rule(word: str) -> tuple[str, str, dict[str, str]]:
+    """`<pages>/text/(key=value, ...)`: pages, text and options. The delimiter is what stands before the options, no letter or digit."""
+    word = word.strip()
+    options: dict[str, str] = {}
+    if word.endswith(")"):
+        depth, at = 0, len(word)
+        while at > 0:
+            at -= 1
+            depth += {")": 1, "(": -1}.get(word[at], 0)
+            if not depth:
+                break
+        if not depth:
+            for part in re.findall(r"""(?:[^,"']|"[^"]*"|'[^']*')+""", word[at + 1 : -1]):
+                key, eq, value = part.partition("=")
+                if not eq or not key.strip():
+                    raise InvalidArgument(f"not an option: {part!r}")
+                options[key.strip()] = value.strip().strip("'\"")
+            word = word[:at].strip()
+    if not word or word[-1].isalnum() or word[-1] in "()":
+        raise InvalidArgument(f"no delimiter at the end of {word!r}")
+    first = word.index(word[-1])
+    if first == len(word) - 1:
+        raise InvalidArgument(f"only one delimiter in {word!r}")
+    return word[:first].strip() or "-", word[first + 1 : -1], options
+
 
-    Positions are `top-left` to `bottom-right` with `mid` and `center`. The width of
-    a text depends on a font, so align says which of its ends stands at x.
+#: Options of a text. Fixed names.
+TEXT_OPTIONS = ("position", "x", "y", "offset-x", "offset-y", "rotate", "align", "font", "size", "color")
+
+
+def _colour(text: str) -> list[float]:
+    """One number is grey, three are red, green and blue, four have opacity."""
+    try:
+        parts = [float(x) for x in re.split(r"[ ,]+", text.strip())]
+    except ValueError:
+        raise InvalidArgument(f"not a colour: {text!r}") from None
+    if len(parts) not in (1, 3, 4):
+        raise InvalidArgument(f"1, 3 or 4 numbers make a colour: {text!r}")
+    return parts * 3 if len(parts) == 1 else parts
+
+
+def add_text(pages: DataFrame, rules: Sequence[str | tuple[str, str, str]], size: float = 12.0, styled: bool = False) -> DataFrame:
+    """Rules in order, each `<pages>/text/(options)` or (pages, template, position): one row for each text of a page: rule, text, x, y, align.
+
+    Positions are `top-left` to `bottom-right` with `mid` and `center`, or x and y,
+    and offsets add to them. The width of a text depends on a font, so align says
+    which of its ends stands at x. With styled: font, size, color and rotate, too.
     """
     pages = with_total(pages)
-    made = []
-    for i, (where, text, position) in enumerate(rules):
-        words = set(position.split("-"))
+    made, qualifier = [], None
+    for i, rule in enumerate(rules):
+        if isinstance(rule, str):
+            if rule.lower() in ("even", "odd"):
+                qualifier = rule.lower()
+                continue
+            where, text, options = text_rule(rule)
+        else:
+            where, text, options = rule[0], rule[1], {"position": rule[2]}
+        wrong = set(options) - set(TEXT_OPTIONS)
+        if wrong:
+            raise InvalidArgument(f"no such options: {sorted(wrong)}")
+        words = set(options.get("position", "center").split("-"))
+        points = float(options.get("size", size))
         w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-        x = F.lit(0.0) if "left" in words else w if "right" in words else w / 2
-        y = h - size if "top" in words else F.lit(0.0) if "bottom" in words else h / 2 - size / 2
-        align = "left" if "left" in words else "right" if "right" in words else "center"
+        if {"x", "y"} & set(options):
+            x, y = lengths(options.get("x", ""), w), lengths(options.get("y", ""), h)
+            words = {"left", "bottom"}
+        else:
+            x = F.lit(0.0) if "left" in words else w if "right" in words else w / 2
+            y = h - points if "top" in words else F.lit(0.0) if "bottom" in words else h / 2 - points / 2
+        x, y = x + lengths(options.get("offset-x", ""), w), y + lengths(options.get("offset-y", ""), h)
+        align = options.get("align", "left" if "left" in words else "right" if "right" in words else "center")
         hit = any_match(parse(where or "-"), F.col("page_no"), F.col("n_pages"))
-        made.append(F.when(hit, F.struct(F.lit(i).alias("rule"), template(text, pages.columns).alias("text"), x.alias("x"), y.alias("y"), F.lit(align).alias("align"))))
+        if qualifier:
+            hit, qualifier = hit & (F.col("page_no") % 2 == (0 if qualifier == "even" else 1)), None
+        style = []
+        if styled:
+            colour = F.array(*(F.lit(v) for v in _colour(options.get("color", "0"))))
+            style = [F.lit(options.get("font", "Helvetica")).alias("font"), F.lit(points).alias("size"), colour.alias("color"), F.lit(float(options.get("rotate", 0))).alias("rotate")]
+        made.append(F.when(hit, F.struct(F.lit(i).alias("rule"), template(text, pages.columns).alias("text"), x.alias("x"), y.alias("y"), F.lit(align).alias("align"), *style)))
+    if qualifier:
+        raise InvalidArgument(f"no rule after {qualifier!r}")
     return pages.select("doc_id", "page_no", F.inline(F.array_compact(F.array(*made))))

@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
-from ..functions.dimensions import length, paper
+from ..functions.dimensions import length, lengths, paper
 from ..pagespec import PageSpec, any_match, parse
 from .pages import renumber, with_total
 
 BOX = ("x0", "y0", "x1", "y1")
 MAX_PIECES = 10_000
+#: Pages of an overlay, which is broadcast.
+MAX_OVERLAY = 100_000
 
 
 def _split_rule(text: str) -> tuple[list[PageSpec], str]:
@@ -29,11 +31,14 @@ def _split_rule(text: str) -> tuple[list[PageSpec], str]:
     return parse(m[1] or "-"), m[2].strip()
 
 
-def _last_match(rules: Sequence[tuple[list[PageSpec], Column]], otherwise: Column, page: Column, total: Column) -> Column:
+def _hits(specs: list[PageSpec]) -> Column:
+    return any_match(specs, F.col("page_no"), F.col("n_pages"))
+
+
+def _last_match(rules: Sequence[tuple[Column, Column]], otherwise: Column) -> Column:
     """The value of the last rule that selects the page."""
     out = None
-    for specs, value in reversed(rules):
-        hit = any_match(specs, page, total)
+    for hit, value in reversed(rules):
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return otherwise if out is None else out.otherwise(otherwise)
 
@@ -69,9 +74,9 @@ def crop(pages: DataFrame, rules: Sequence[str], preview: bool = False) -> DataF
     for text in rules:
         specs, rule = _split_rule(text)
         left, top, right, bottom = margins(rule, w, h)
-        made.append((specs, F.struct((F.col("x0") + left).alias("x0"), (F.col("y0") + bottom).alias("y0"), (F.col("x1") - right).alias("x1"), (F.col("y1") - top).alias("y1"))))
+        made.append((_hits(specs), F.struct((F.col("x0") + left).alias("x0"), (F.col("y0") + bottom).alias("y0"), (F.col("x1") - right).alias("x1"), (F.col("y1") - top).alias("y1"))))
     own = F.struct(*BOX)
-    out = pages.withColumn("_box", _last_match(made, own, F.col("page_no"), F.col("n_pages")))
+    out = pages.withColumn("_box", _last_match(made, own))
     fits = (F.col("_box.x1") > F.col("_box.x0")) & (F.col("_box.y1") > F.col("_box.y0"))
     out = out.withColumn("_box", F.when(fits, F.col("_box")).otherwise(own))
     for c in BOX:
@@ -99,7 +104,7 @@ def pieces(text: str, whole: Column) -> list[tuple[Column, bool]]:
         if not 1 <= n <= MAX_PIECES:
             raise InvalidArgument(f"1 to {MAX_PIECES} pieces, not {n}")
         return [(whole / n, True)] * n
-    if ":" in text:
+    if ":" in text and "," not in text:
         ratios = [float(x) for x in text.split(":")]
         return [(whole * (r / sum(ratios)), True) for r in ratios]
     sizes, fills = [], 0
@@ -114,29 +119,47 @@ def pieces(text: str, whole: Column) -> list[tuple[Column, bool]]:
     return [(rest if s is None else s, keep) for s, keep in sizes]
 
 
+def _chop_rules(words: Sequence[str]) -> list[tuple[Column, str, str]]:
+    """Which pages, cols or rows, and sizes, of `1-10cols2`, `evenrows(1:2)` or `odd`, `4-endcols3`; two halves where no size is given."""
+    out, only = [], None
+    for word in words:
+        if word.lower() in ("even", "odd") and only is None:
+            only = word.lower()
+            continue
+        m = re.fullmatch(r"(.*?)(cols|rows)(.*)", word.strip(), re.S)
+        if not m:
+            raise InvalidArgument(f"cols or rows are missing: {word!r}")
+        sizes = m[3].strip()
+        sizes = sizes[1:-1] if sizes.startswith("(") and sizes.endswith(")") else sizes
+        hit = _hits(parse(m[1].strip() or "-"))
+        if only is not None:
+            hit = hit & (F.col("page_no") % 2 == (0 if only == "even" else 1))
+        out.append((hit, m[2], sizes or "2"))
+        only = None
+    if only is not None:
+        raise InvalidArgument(f"no rule after {only!r}")
+    return out
+
+
 def chop(pages: DataFrame, rules: Sequence[str]) -> DataFrame:
-    """`pages(cols ...)` or `pages(rows ...)`: pages cut into pieces, columns from the left, rows from the top.
+    """`<pages>cols<sizes>` or `<pages>rows<sizes>`: pages cut into pieces, columns from the left, rows from the top.
 
     Adds piece, and origin_x and origin_y of the piece in the page; boxes start at 0.
-    Pages that no rule selects pass as they are.
+    Of several rules for a page the last counts; pages that no rule selects pass as they are.
     """
     pages = with_total(pages)
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     made = []
-    for text in rules:
-        specs, rule = _split_rule(text)
-        kind, _, sizes = rule.partition(" ")
-        if kind not in ("cols", "rows"):
-            raise InvalidArgument(f"cols or rows, not {kind!r}")
+    for hit, kind, sizes in _chop_rules(rules):
         at, parts = F.lit(0.0), []
         for i, (size, keep) in enumerate(pieces(sizes, w if kind == "cols" else h)):
             if keep:
                 x, y = (F.col("x0") + at, F.col("y0")) if kind == "cols" else (F.col("x0"), F.col("y1") - at - size)
                 parts.append(F.struct(F.lit(i + 1).alias("piece"), x.alias("ox"), y.alias("oy"), (size if kind == "cols" else w).alias("w"), (h if kind == "cols" else size).alias("h")))
             at = at + size
-        made.append((specs, F.array(*parts)))
+        made.append((hit, F.array(*parts)))
     whole = F.array(F.struct(F.lit(0).alias("piece"), F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"), F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("h")))
-    out = pages.withColumn("_p", F.explode(_last_match(made, whole, F.col("page_no"), F.col("n_pages"))))
+    out = pages.withColumn("_p", F.explode(_last_match(made, whole)))
     cut = F.col("_p.piece") > 0
     out = out.withColumn("piece", F.col("_p.piece")).withColumn("origin_x", F.col("_p.ox")).withColumn("origin_y", F.col("_p.oy"))
     out = out.withColumn("x1", F.when(cut, F.col("_p.w")).otherwise(F.col("x1"))).withColumn("y1", F.when(cut, F.col("_p.h")).otherwise(F.col("y1")))
@@ -168,7 +191,7 @@ def anchor(text: str) -> tuple[Column, Column]:
     x0, y0, x1, y1 = (F.col(c) for c in BOX)
     if "," in text:
         x, y = text.split(",")
-        return x0 + length(x, x1 - x0), y0 + length(y, y1 - y0)
+        return x0 + lengths(x, x1 - x0), y0 + lengths(y, y1 - y0)
     words = set(text.split("-"))
     x = x0 if "left" in words else x1 if "right" in words else (x0 + x1) / 2
     y = y0 if "bottom" in words else y1 if "top" in words else (y0 + y1) / 2
@@ -185,7 +208,7 @@ def placement(ops: str) -> Matrix:
         x, y = anchor(where or "center")
         if name == "shift":
             dx, dy = arg.split(",")
-            step = shift_by(length(dx, w), length(dy, h))
+            step = shift_by(lengths(dx, w), lengths(dy, h))
         elif name == "scale":
             k, zero = F.lit(float(arg)), F.lit(0.0)
             step = about((k, zero, zero, k, zero, zero), x, y)
@@ -207,25 +230,31 @@ def bounds(m: Matrix, corners: Sequence[Column]) -> tuple[Column, Column, Column
     return F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)
 
 
+MATRIX = ("m_a", "m_b", "m_c", "m_d", "m_e", "m_f")
+
+
 def place(pages: DataFrame, rules: Sequence[str]) -> DataFrame:
-    """`pages(operations)`: adds the matrix m_a to m_f of each page and the box that its content then has."""
+    """`pages(operations)`: adds the matrix m_a to m_f of each page and the box that its content then has.
+
+    Rules add up: what a rule has placed, the next one for the page places again.
+    """
     pages = with_total(pages)
-    made = []
+    named = lambda values: F.struct(*(v.alias(n) for n, v in zip(MATRIX, values, strict=True)))
+    out = pages.withColumn("_m", named([F.lit(x) for x in (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)]))
+    now = tuple(F.col(f"_m.{n}") for n in MATRIX)
     for text in rules:
         specs, ops = _split_rule(text)
-        m = placement(ops)
-        box = bounds(m, [F.col(c) for c in BOX])
-        made.append((specs, F.struct(*(v.alias(n) for n, v in zip(("m_a", "m_b", "m_c", "m_d", "m_e", "m_f", "bx0", "by0", "bx1", "by1"), (*m, *box), strict=True)))))
-    none = F.struct(*(v.alias(n) for n, v in zip(("m_a", "m_b", "m_c", "m_d", "m_e", "m_f", "bx0", "by0", "bx1", "by1"), (*(F.lit(x) for x in (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)), *(F.col(c) for c in BOX)), strict=True)))
-    out = pages.withColumn("_m", _last_match(made, none, F.col("page_no"), F.col("n_pages")))
-    return out.select(*(c for c in pages.columns if c != "n_pages"), "_m.*")
+        out = out.withColumn("_m", F.when(_hits(specs), named(multiply(now, placement(ops)))).otherwise(F.col("_m")))
+    box = bounds(now, [F.col(c) for c in BOX])
+    own = [c for c in pages.columns if c != "n_pages"]
+    return out.select(*own, "_m.*", *(v.alias(f"b{c}") for c, v in zip(BOX, box, strict=True)))
 
 
 def place_annots(annots: DataFrame, placed: DataFrame) -> DataFrame:
     """Annotations of placed pages: ax0 to ay1 become the box around the moved rectangle, and each point of
     quads (an array of x, y, x, y, ...) is moved; their drawn appearance no longer fits and goes."""
-    m = tuple(F.col(c) for c in ("m_a", "m_b", "m_c", "m_d", "m_e", "m_f"))
-    out = annots.join(placed.select("doc_id", "page_no", *("m_a", "m_b", "m_c", "m_d", "m_e", "m_f")), ["doc_id", "page_no"])
+    m = tuple(F.col(c) for c in MATRIX)
+    out = annots.join(placed.select("doc_id", "page_no", *MATRIX), ["doc_id", "page_no"])
     box = bounds(m, [F.col(c) for c in ("ax0", "ay0", "ax1", "ay1")])
     out = out.withColumns(dict(zip(("_0", "_1", "_2", "_3"), box, strict=True)))
     if "quads" in annots.columns:
@@ -235,21 +264,20 @@ def place_annots(annots: DataFrame, placed: DataFrame) -> DataFrame:
         out = out.withColumn("quads", moved)
     for i, c in enumerate(("ax0", "ay0", "ax1", "ay1")):
         out = out.withColumn(c, F.col(f"_{i}")).drop(f"_{i}")
-    return out.drop("appearance", "m_a", "m_b", "m_c", "m_d", "m_e", "m_f")
+    return out.drop("appearance", *MATRIX)
 
 
 def overlay(pages: DataFrame, over: DataFrame, multi: bool = False, on_top: bool = True) -> DataFrame:
     """Layout of an overlay's page on every page, fitted to the page's box and centred.
 
-    over: over_page (from 1, without gaps), ow, oh: one document, which is small. multi:
-    its page i on page i, the last one on all further pages; else its first page. Adds
-    over_page, z_order, fit (the scale), dx and dy.
+    over: over_page (from 1, without gaps), ow, oh: one document of at most MAX_OVERLAY
+    pages; none at all is an error. multi: its page i on page i, the last one on all
+    further pages; else its first page. Adds over_page, z_order, fit (the scale), dx and dy.
     """
-    last = over.agg(F.max("over_page").alias("n_over"))
-    if multi:
-        out = pages.join(F.broadcast(last), how="cross").withColumn("over_page", F.least(F.col("page_no"), F.col("n_over"))).drop("n_over").join(F.broadcast(over), "over_page")
-    else:
-        out = pages.join(F.broadcast(over.filter("over_page = 1")), how="cross")
+    n = over.count()
+    if not 1 <= n <= MAX_OVERLAY:
+        raise InvalidArgument(f"an overlay of 1 to {MAX_OVERLAY} pages, not {n}")
+    out = pages.withColumn("over_page", F.least(F.col("page_no"), F.lit(n)) if multi else F.lit(1)).join(F.broadcast(over), "over_page")
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     out = out.withColumn("fit", F.least(w / F.col("ow"), h / F.col("oh"))).withColumn("z_order", F.lit(1 if on_top else -1))
     return out.withColumn("dx", F.col("x0") + (w - F.col("ow") * F.col("fit")) / 2).withColumn("dy", F.col("y0") + (h - F.col("oh") * F.col("fit")) / 2)

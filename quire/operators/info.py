@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import rectangle_text, xml_decode, xml_encode
+from ..functions.text import number_text, rectangle_text, xml_decode, xml_encode
 
 #: What a record of each stanza kind may hold, in order. Fixed names.
 SECTIONS = {"Info": ("Key", "Value"), "Bookmark": ("Title", "Level", "PageNumber"), "PageMedia": ("Number", "Rotation", "Rect", "Dimensions", "CropRect", "TrimRect", "BleedRect"), "PageLabel": ("NewIndex", "Start", "Prefix", "NumStyle")}
@@ -30,9 +30,31 @@ def outline_lines(outlines: DataFrame, escape: bool = True) -> DataFrame:
 
 
 def page_media_lines(pages: DataFrame) -> DataFrame:
-    box = rectangle_text(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")))
-    lines = F.array(F.lit("PageMediaBegin"), F.concat(F.lit("PageMediaNumber: "), F.col("page_no").cast("string")), F.concat(F.lit("PageMediaRotation: "), F.coalesce(F.col("rotation"), F.lit(0)).cast("string")), F.concat(F.lit("PageMediaRect: "), box))
-    return pages.select("doc_id", F.lit(5).alias("section"), F.col("page_no").alias("seq"), F.posexplode(lines).alias("line_no", "line"))
+    """Number, rotation, box and size of each page; crop, trim and bleed boxes (crop_x0 to bleed_y1) where they differ from the box that stands in for them."""
+    corner = lambda kind: [F.col(f"{kind}{c}").cast("double") for c in ("x0", "y0", "x1", "y1")]
+    said = lambda name, value: F.concat(F.lit(f"PageMedia{name}: "), value)
+    x0, y0, x1, y1 = media = corner("")
+    lines = [F.lit("PageMediaBegin"), said("Number", F.col("page_no").cast("string")), said("Rotation", F.coalesce(F.col("rotation"), F.lit(0)).cast("string"))]
+    lines += [said("Rect", rectangle_text(*media)), said("Dimensions", F.concat_ws(" ", number_text(F.abs(x1 - x0)), number_text(F.abs(y1 - y0))))]
+    own = F.array(*media)
+    stand_in = own
+    for name in ("crop", "trim", "bleed"):
+        if {f"{name}_{c}" for c in ("x0", "y0", "x1", "y1")} <= set(pages.columns):
+            box = corner(f"{name}_")
+            given = box[0].isNotNull()
+            lines.append(F.when(given & (F.array(*box) != stand_in), said(f"{name.title()}Rect", rectangle_text(*box))))
+            stand_in = F.when(given, F.array(*box)).otherwise(own) if name == "crop" else stand_in
+    return pages.select("doc_id", F.lit(5).alias("section"), F.col("page_no").alias("seq"), F.posexplode(F.array_compact(F.array(*lines))).alias("line_no", "line"))
+
+
+def document_lines(documents: DataFrame, extra: bool = False) -> DataFrame:
+    """PdfID0 and PdfID1; before all else, with extra, File, PDF version and Encrypted."""
+    said = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c).cast("string")) if c in documents.columns else F.lit(None).cast("string")
+    parts = [(2, [said("PdfID0", "id0"), said("PdfID1", "id1")])]
+    if extra:
+        parts.append((0, [said("File", "path"), said("PDF version", "version"), said("Encrypted", "encrypted")]))
+    rows = F.flatten(F.array(*(F.transform(F.array_compact(F.array(*lines)), lambda x, i: F.struct(F.lit(n).alias("section"), F.lit(1).alias("seq"), (i + 0).alias("line_no"), x.alias("line"))) for n, lines in parts)))  # noqa: B023
+    return documents.select("doc_id", F.inline(rows))
 
 
 def page_label_lines(labels: DataFrame) -> DataFrame:
@@ -41,9 +63,11 @@ def page_label_lines(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.lit(6).alias("section"), F.col("new_index").alias("seq"), F.posexplode(lines).alias("line_no", "line"))
 
 
-def dump_data(docinfo: DataFrame | None = None, pages: DataFrame | None = None, outlines: DataFrame | None = None, labels: DataFrame | None = None, escape: bool = True) -> DataFrame:
-    """doc_id, section, seq, line_no, line: sort by these to print. Number of pages: section 3."""
+def dump_data(docinfo: DataFrame | None = None, pages: DataFrame | None = None, outlines: DataFrame | None = None, labels: DataFrame | None = None, escape: bool = True, documents: DataFrame | None = None, extra: bool = False) -> DataFrame:
+    """doc_id, section, seq, line_no, line: sort by these to print. Sections: 0 the file, 1 Info, 2 ids, 3 number of pages, 4 bookmarks, 5 page media, 6 page labels."""
     parts = []
+    if documents is not None:
+        parts.append(document_lines(documents, extra))
     if docinfo is not None:
         parts.append(docinfo_lines(docinfo, escape))
     if pages is not None:
@@ -67,6 +91,36 @@ def dump_json(docinfo: DataFrame, key: str = "key", value: str = "value") -> Dat
     return docinfo.groupBy("doc_id").agg(F.to_json(rows).alias("info"))
 
 
+def dump_whole_json(docinfo: DataFrame | None = None, pages: DataFrame | None = None, outlines: DataFrame | None = None, labels: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """doc_id and all its metadata as one JSON object; what a document hasn't is left out."""
+
+    def listed(rows: DataFrame, order: str, name: str, **fields) -> DataFrame:
+        one = F.struct(F.col(order).alias("_o"), F.struct(*(v.alias(k) for k, v in fields.items())).alias("r"))
+        return rows.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["r"]).alias(name))
+
+    parts = []
+    if docinfo is not None:
+        parts.append(listed(docinfo.filter("value is not null"), "key", "Info", Key=F.col("key"), Value=F.col("value")))
+    if documents is not None:
+        ids = [F.col(c) for c in ("id0", "id1") if c in documents.columns]
+        if ids:
+            parts.append(documents.select("doc_id", F.array_compact(F.array(*ids)).alias("PdfID")))
+    if pages is not None:
+        parts.append(pages.groupBy("doc_id").agg(F.max("page_no").alias("NumberOfPages")))
+        if {"x0", "rotation"} <= set(pages.columns):
+            media = F.array(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")))
+            size = F.array(number_text(F.abs(F.col("x1") - F.col("x0"))), number_text(F.abs(F.col("y1") - F.col("y0"))))
+            parts.append(listed(pages, "page_no", "PageMedia", PageNumber=F.col("page_no"), Rotation=F.coalesce("rotation", F.lit(0)), MediaRect=media, Dimensions=size))
+    if outlines is not None:
+        parts.append(listed(outlines, "seq", "Bookmarks", Title=F.col("title"), Level=F.col("level"), PageNumber=F.col("page_no")))
+    if labels is not None:
+        parts.append(listed(labels, "new_index", "PageLabels", NewIndex=F.col("new_index"), Start=F.col("start"), Prefix=F.col("prefix"), NumStyle=F.col("num_style")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "doc_id", "full_outer")
+    return out.select("doc_id", F.to_json(F.struct(*(c for c in out.columns if c != "doc_id"))).alias("info"))
+
+
 def read_stanzas(lines: DataFrame, decode: bool = True) -> DataFrame:
     """doc_id, kind, record, field, value of stanza lines (doc_id, line_no, line).
 
@@ -121,8 +175,13 @@ def roman(column: str):
     return out
 
 
-def skip_jumps(outlines: DataFrame) -> DataFrame:
-    """Without bookmarks that are more than one level below the last one kept: a fold over each document's list."""
+def skip_jumps(outlines: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Without bookmarks that are more than one level below the last one kept, whose level is below 1, or whose page is beyond
+    the last (totals: doc_id, n_pages); what is skipped is no parent either: a fold over each document's list."""
+    outlines = outlines.filter("level >= 1")
+    if totals is not None:
+        names = outlines.columns
+        outlines = outlines.join(totals.select("doc_id", F.col("n_pages").alias("_n")), "doc_id", "left").filter("_n is null or page_no is null or page_no <= _n").select(*names)
     rows = F.sort_array(F.collect_list(F.struct("seq", "level")))
     start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("kept"))
 
@@ -144,8 +203,8 @@ def records(stanzas: DataFrame, kind: str) -> DataFrame:
     return own.groupBy("doc_id", "record").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in SECTIONS[kind]))
 
 
-def updates(stanzas: DataFrame) -> dict[str, DataFrame]:
-    """docinfo, outlines, page_labels, page_media and ids that the stanzas set. Numbers may have separators."""
+def updates(stanzas: DataFrame, totals: DataFrame | None = None) -> dict[str, DataFrame]:
+    """docinfo, outlines, page_labels, page_media and ids that the stanzas set. Numbers may have separators. totals: doc_id, n_pages."""
     whole = lambda c: F.expr(f"try_cast(replace({c}, ',', '') as int)")
     marks = records(stanzas, "Bookmark").select("doc_id", F.col("record").alias("seq"), F.col("Title").alias("title"), whole("Level").alias("level"), whole("PageNumber").alias("page_no"))
     labels = records(stanzas, "PageLabel").select("doc_id", whole("NewIndex").alias("new_index"), F.coalesce(whole("Start"), F.lit(1)).alias("start"), F.col("Prefix").alias("prefix"), F.col("NumStyle").alias("num_style"))
@@ -153,7 +212,7 @@ def updates(stanzas: DataFrame) -> dict[str, DataFrame]:
     corners = [F.expr(f"try_cast(replace(try_element_at(r, {i}), ',', '') as double)").alias(f"new_{c}") for i, c in enumerate(("x0", "y0", "x1", "y1"), 1)]
     return {
         "docinfo": records(stanzas, "Info").select("doc_id", F.col("Key").alias("key"), F.col("Value").alias("value")),
-        "outlines": skip_jumps(marks),
+        "outlines": skip_jumps(marks, totals),
         "page_labels": labels.filter((F.col("new_index") >= 1) & F.col("num_style").isin(*STYLES)),
         "page_media": media.select("doc_id", "page_no", "new_rotation", *corners),
         "ids": stanzas.filter("kind = 'Document' and field = 'PdfID0'").select("doc_id", F.col("value").alias("id0")),
@@ -172,13 +231,15 @@ def set_media(pages: DataFrame, media: DataFrame) -> DataFrame:
 def bookmark_tree(outlines: DataFrame, total: str = "n_pages") -> DataFrame:
     """outlines (doc_id, seq, level, page_no) with parent_seq: the last bookmark before it that is one level up.
 
-    Bookmarks beyond the last page are left out.
+    Bookmarks beyond the last page are left out. A bookmark stands once under its level,
+    as a parent, and once under the one above, as a child, so one window finds all parents.
     """
     out = outlines.filter(F.col("page_no") <= F.col(total)) if total in outlines.columns else outlines
-    by = Window.partitionBy("doc_id").orderBy("seq")
-    seen = F.array_compact(F.collect_list(F.struct("level", "seq")).over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    up = F.aggregate(seen, F.lit(None).cast("int"), lambda at, b: F.when(b["level"] == F.col("level") - 1, b["seq"].cast("int")).otherwise(at))
-    return out.withColumn("parent_seq", up)
+    parents = out.select("doc_id", "seq", F.col("level").cast("int").alias("_at"), F.col("seq").cast("int").alias("_up"))
+    children = out.withColumn("_at", F.col("level").cast("int") - 1).withColumn("_child", F.lit(True))
+    by = Window.partitionBy("doc_id", "_at").orderBy("seq")
+    found = children.unionByName(parents, allowMissingColumns=True).withColumn("parent_seq", F.last("_up", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    return found.filter("_child").drop("_at", "_up", "_child")
 
 
 def unpivot(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

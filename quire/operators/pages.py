@@ -133,10 +133,15 @@ def burst(pages: DataFrame, pattern: str = "pg_%04d.pdf") -> DataFrame:
         raise InvalidArgument(f"the pattern must have a %: {pattern!r}")
     sizes = pages.groupBy("doc_id").agg(F.max("page_no").cast("long").alias("n"))
     part = F.lit(0)
+    # bounds are values of the driver, so that every task deals documents out alike
     if isinstance(pages.schema["doc_id"].dataType, NumericType):
-        # bounds are numbers of the driver, so that every task deals documents out alike
         bounds = sizes.agg(F.percentile_approx("doc_id", [k / RANGES for k in range(1, RANGES)], 10_000).alias("b")).first()["b"] or []
-        part = F.size(F.filter(F.array(*(F.lit(x) for x in sorted(set(bounds)))), lambda x: x < F.col("doc_id"))) if bounds else part
+    else:
+        # about RANGES ids that their hashes choose
+        n = sizes.count()
+        bounds = [r["doc_id"] for r in sizes.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(n // RANGES, 1))) == 0).select("doc_id").limit(4 * RANGES).collect()]
+    if bounds:
+        part = F.size(F.filter(F.array(*(F.lit(x) for x in sorted({x for x in bounds if x is not None}))), lambda x: x < F.col("doc_id")))
     parts = sizes.withColumn("part", part)
     before = parts.groupBy("part").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
     within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -178,12 +183,16 @@ def insert(pages: DataFrame, count: int, where: str, target: str, size: tuple[Co
     page, total = F.col("page_no"), F.col("n_pages")
     boxed = [c for c in ("width", "height") if c in pages.columns]
     targets = pages.filter(any_match(_specs(target), page, total))
-    keys = targets.select("doc_id", page.alias("at"), *boxed).withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1)
+    keys = targets.select("doc_id", page.alias("at"), *boxed)
     if model and boxed:
-        models = pages.filter(any_match(_specs(model), page, total)).select("doc_id", *(F.col(c).alias(f"model_{c}") for c in boxed), "page_no")
-        models = models.withColumn("m", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no")) - 1).withColumn("n_models", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).drop("page_no")
-        keys = keys.join(models, "doc_id").filter(F.col("m") == F.col("ordinal") % F.col("n_models"))
-        keys = keys.select("doc_id", "at", *(F.col(f"model_{c}").alias(c) for c in boxed))
+        # the model pages, in turn: a document's list of them travels with its pages
+        hit = any_match(_specs(model), page, total)
+        listed = F.sort_array(F.collect_list(F.when(hit, F.struct(page.alias("p"), *boxed))).over(Window.partitionBy("doc_id")))
+        chosen = pages.withColumn("_models", listed).filter(any_match(_specs(target), page, total))
+        at = (F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no")) - 1) % F.size("_models")
+        none = F.raise_error(F.lit(f"{model!r} selects no page")).cast("int")
+        chosen = chosen.withColumn("_m", F.get("_models", F.when(F.size("_models") == 0, none).otherwise(at)))
+        keys = chosen.select("doc_id", page.alias("at"), *(F.col(f"_m.{c}").alias(c) for c in boxed))
     elif size and boxed:
         keys = keys.withColumn("width", size[0] if isinstance(size[0], Column) else F.lit(float(size[0]))).withColumn("height", size[1] if isinstance(size[1], Column) else F.lit(float(size[1])))
     blank = keys.select("doc_id", "at", *boxed, F.explode(F.sequence(F.lit(1), F.lit(count))).alias("copy"))

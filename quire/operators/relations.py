@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, Requires
+from ..functions.text import short_number, xml_encode
 from ..pagespec import any_match, parse
 from .pages import with_total
 from .repair import walk
@@ -17,6 +18,19 @@ from .repair import walk
 REPORTED = ("FreeText", "Link", "Popup", "Square", "Text", "URI", "Widget", "FileAttachment")
 
 
+def resolve(links: DataFrame, dests: DataFrame, name: str = "action_dest") -> DataFrame:
+    """links with page and fit type of the named destination; null where the name is unknown. Of several of one name the last counts."""
+    seq = F.col("seq") if "seq" in dests.columns else F.lit(0)
+    fit = F.col("fit_type") if "fit_type" in dests.columns else F.lit(None).cast("string")
+    known = dests.groupBy("doc_id", F.col("name").alias(name)).agg(F.max_by(F.struct(F.col("page_no").alias("dest_page"), fit.alias("dest_fit")), seq).alias("_d"))
+    return links.join(known, ["doc_id", name], "left").select(*links.columns, "_d.*")
+
+
+def of_subtype(annots: DataFrame, *kinds: str) -> DataFrame:
+    """The annotations of these subtypes."""
+    return annots.filter(F.col("subtype").isin(*kinds))
+
+
 def links_of(pages: DataFrame, html: str = "html") -> DataFrame:
     """doc_id, page_no, annot_idx, subtype and uri of every link in a page's markup."""
     found = F.regexp_extract_all(F.col(html), F.lit('href="([^"]*)"'), F.lit(1))
@@ -32,16 +46,29 @@ def dump_annots(annots: DataFrame, dests: DataFrame | None = None) -> DataFrame:
     return annots.select("doc_id", "page_no", "annot_idx", F.to_json(F.struct(*keys)).alias("record"))
 
 
-def dump_data_annots(annots: DataFrame) -> DataFrame:
-    """Reported subtypes only, without JavaScript; a report's lines, descending, the page number last."""
+def dump_data_annots(annots: DataFrame, pages: DataFrame | None = None, documents: DataFrame | None = None, escape: bool = True) -> DataFrame:
+    """A report's blocks, in order of page_no and annot_idx: of the reported subtypes, without JavaScript, the subtype and the box
+    (ax0 to ay1), lines descending, and the page number last.
+
+    With pages, the first block of each document (page_no 0) is its number of pages and,
+    if documents has it, the base of its addresses (uri_base).
+    """
     rows = annots.filter(F.col("subtype").isin(*REPORTED))
     if "action_type" in rows.columns:
         rows = rows.filter(F.coalesce(F.col("action_type"), F.lit("")) != "JavaScript")
-    lines = [F.concat(F.lit("AnnotSubtype: "), "subtype")]
-    if "uri" in rows.columns:
-        lines.append(F.concat(F.lit("AnnotActionURI: "), "uri"))
+    say = xml_encode if escape else lambda c: c
+    lines = [F.concat(F.lit("AnnotSubtype: "), say(F.col("subtype")))]
+    if "ax0" in rows.columns:
+        lines.append(F.concat(F.lit("AnnotRect: "), F.concat_ws(" ", *(short_number(F.col(c)) for c in ("ax0", "ay0", "ax1", "ay1")))))
     own = F.array_append(F.sort_array(F.array_compact(F.array(*lines)), asc=False), F.concat(F.lit("AnnotPageNumber: "), F.col("page_no").cast("string")))
-    return rows.select("doc_id", "page_no", "annot_idx", F.array_join(own, "\n").alias("block"))
+    out = rows.select("doc_id", "page_no", "annot_idx", F.array_join(own, "\n").alias("block"))
+    if pages is None:
+        return out
+    head = pages.groupBy("doc_id").agg(F.concat(F.lit("NumberOfPages: "), F.max("page_no").cast("string")).alias("block"))
+    if documents is not None and "uri_base" in documents.columns:
+        head = head.join(documents.select("doc_id", "uri_base"), "doc_id", "left")
+        head = head.select("doc_id", F.concat_ws("\n", "block", F.concat(F.lit("PdfUriBase: "), say(F.col("uri_base")))).alias("block"))
+    return head.select("doc_id", F.lit(0).alias("page_no"), F.lit(0).alias("annot_idx"), "block").unionByName(out)
 
 
 def _selector(text: str) -> tuple[str, str | None]:
@@ -95,10 +122,10 @@ def delete_annots(annots: DataFrame, specs: str, pages: DataFrame) -> DataFrame:
 
 
 def dump_dests(dests: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """doc_id, name, value (JSON) and error: null, or why a destination can't be read."""
+    """doc_id, name, value (JSON) and error: null, or why a destination can't be read; in order of the names."""
     ok = F.col("page_no").isNotNull() & F.col("name").isNotNull()
     value = F.to_json(F.struct("page_no", *(c for c in ("fit_type",) if c in dests.columns)))
-    return dests.select("doc_id", "name", F.when(ok, value).alias("value"), F.when(~ok, F.lit("no page")).alias("error"))
+    return dests.select("doc_id", "name", F.when(ok, value).alias("value"), F.when(~ok, F.lit("no page")).alias("error")).orderBy("doc_id", "name")
 
 
 def field_tree(nodes: DataFrame, depth: int = 16) -> DataFrame:
@@ -116,11 +143,33 @@ def field_tree(nodes: DataFrame, depth: int = 16) -> DataFrame:
     return walk(first, following, depth, nodes).filter("is_field")
 
 
-def dump_data_fields(fields: DataFrame) -> DataFrame:
-    """Type, name, flags, value, default and justification of each field as a block of lines."""
-    said = {"FieldType": "type", "FieldName": "fq_name", "FieldNameAlt": "name_alt", "FieldFlags": "flags", "FieldValue": "value", "FieldValueDefault": "value_default", "FieldJustification": "justification"}
-    lines = [F.concat(F.lit(f"{k}: "), F.col(c).cast("string")) for k, c in said.items() if c in fields.columns]
-    return fields.select("doc_id", "fq_name", F.array_join(F.array_compact(F.array(*lines)), "\n").alias("block"))
+def dump_data_fields(fields: DataFrame, escape: bool = True, extra: bool = False) -> DataFrame:
+    """Type, name, flags, value, default, justification and options of each field as a block of lines; all but the type are left out where they are empty.
+
+    Buttons of all kinds are `Button`; a checkbox or radio group without a value is Off;
+    a number is a place in Left, Center and Right. options: an array of texts or of
+    structs of what is exported and what is shown. seq, the place in the form's tree from
+    its root, depth first, stays as it is: sort by it to print. extra: the kind of button, too.
+    """
+    have = set(fields.columns)
+    say = xml_encode if escape else lambda c: c
+    text = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
+    kind = F.coalesce(text("type"), F.lit(""))
+    button = F.lower(kind).isin("checkbox", "radio", "radiobuttongroup", "pushbutton", "button")
+    value = F.coalesce(text("value"), F.when(button & ~F.lower(kind).isin("pushbutton", "button"), F.lit("Off")))
+    place = text("justification")
+    side = F.when(place.isNull() | (place == "0"), F.lit("Left")).when(place == "1", F.lit("Center")).when(place == "2", F.lit("Right")).when(place.isin("Left", "Center", "Right"), place).otherwise(F.lit("Left"))
+    said = [("FieldSubType", kind)] if extra else []
+    said += [("FieldName", text("fq_name")), ("FieldNameAlt", text("name_alt")), ("FieldFlags", F.coalesce(text("flags"), F.lit("0"))), ("FieldValue", value), ("FieldValueDefault", text("value_default")), ("FieldJustification", side)]
+    first = F.concat(F.lit("FieldType: "), say(F.when(button, F.lit("Button")).otherwise(kind)))
+    lines = F.array(first, *(F.when(c != "", F.concat(F.lit(f"{k}: "), say(c))) for k, c in said))
+    if "options" in have:
+        pairs = "struct" in dict(fields.dtypes)["options"]
+        plain = lambda name, c: F.concat(F.lit(f"{name}: "), say(c))
+        listed = F.transform("options", lambda o: F.array(plain("FieldStateOption", o["export"]), plain("FieldStateOptionDisplay", o["display"])) if pairs else F.array(plain("FieldStateOption", o)))
+        lines = F.concat(lines, F.coalesce(F.flatten(listed), F.array().cast("array<string>")))
+    order = ["seq"] if "seq" in have else []
+    return fields.select("doc_id", *order, "fq_name", F.array_join(F.array_compact(lines), "\n").alias("block"))
 
 
 def fill_form(fields: DataFrame, values: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,3 +115,93 @@ def rename_fields(fields: DataFrame) -> DataFrame:
 def first_widgets(widgets: DataFrame, key: str = "fq_name", order: Sequence[str] = ("page_no", "annot_idx")) -> DataFrame:
     """The form's index: of each field the first widget in page order."""
     return widgets.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", key).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def kept_bookmarks(outlines: DataFrame) -> DataFrame:
+    """outlines (doc_id, seq, level, page_no) without those that lead nowhere, unless one below them leads somewhere: one fold per document, from the end."""
+    rows = F.reverse(F.sort_array(F.collect_list(F.struct("seq", "level", F.col("page_no").isNotNull().alias("leads")))))
+    start = F.struct(F.lit(0).alias("under"), F.array().cast("array<bigint>").alias("kept"))
+
+    def step(acc, b):
+        # under: the level of the last one kept; what comes before it and is above that is its parent
+        keep = b["leads"] | (b["level"] < acc["under"])
+        under = F.when(keep, b["level"].cast("int")).otherwise(acc["under"])
+        return F.struct(under.alias("under"), F.when(keep, F.array_append(acc["kept"], b["seq"].cast("bigint"))).otherwise(acc["kept"]).alias("kept"))
+
+    kept = outlines.groupBy("doc_id").agg(F.aggregate(rows, start, step, lambda acc: acc["kept"]).alias("kept"))
+    return outlines.join(kept.select("doc_id", F.explode("kept").alias("seq")), ["doc_id", "seq"], "left_semi")
+
+
+def turned(frame: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Points x, y of XYZ destinations on pages that a selection has turned or scaled; frame has out_page, chosen angle, scale, width and height."""
+    if not {"x", "y", "fit_type"} <= set(frame.columns) or not {"angle", "scale", "width", "height"} <= set(chosen.columns):
+        return frame
+    at = chosen.select("doc_id", "out_page", F.col("angle").alias("_angle"), F.col("scale").alias("_scale"), (F.col("width") / F.col("scale")).alias("_w"), (F.col("height") / F.col("scale")).alias("_h"))
+    names = frame.columns
+    out = frame.join(at, ["doc_id", "out_page"], "left")
+    x, y = turn_point("x", "y", "_w", "_h", "_angle")
+    moved = (F.col("fit_type") == "XYZ") & ((F.pmod(F.col("_angle"), F.lit(360)) != 0) | (F.col("_scale") != 1))
+    return out.withColumns({"x": F.when(moved, x * F.col("_scale")).otherwise(F.col("x")), "y": F.when(moved, y * F.col("_scale")).otherwise(F.col("y"))}).select(*names)
+
+
+#: What becomes of an action when its page is copied. Fixed names.
+ACTIONS = {"remap": ("GoTo",), "copy": ("GoToR", "Launch", "URI", "Sound"), "copy_and_warn": ("JavaScript", "SubmitForm", "ResetForm", "ImportData")}
+
+
+def dispatch(annots: DataFrame) -> DataFrame:
+    """annots with handling: remap, copy, or copy_and_warn, which unknown actions have, too; null without an action."""
+    kind = F.col("action_type")
+    out = F.when(kind.isNull(), F.lit(None).cast("string"))
+    for how, kinds in ACTIONS.items():
+        out = out.when(kind.isin(*kinds), F.lit(how))
+    return annots.withColumn("handling", out.otherwise(F.lit("copy_and_warn")))
+
+
+def follow(relations: Mapping[str, DataFrame], chosen: DataFrame, new_document: bool) -> dict[str, DataFrame]:
+    """The relations that refer to pages, after these have moved.
+
+    chosen: doc_id, src_page, out_page, instance_num. annots go with every copy of their
+    page; a target_page leads to the copy of the same instance, or is null and broken. In
+    a new document (a selection) destinations and bookmarks whose page is gone go, names
+    of destinations and fields tell copies apart, and labels of pages aren't taken over;
+    in place, destinations and bookmarks stay and lose their page.
+    """
+    out = dict(relations)
+    if "annots" in out:
+        own = out["annots"]
+        names = own.columns
+        at = chosen.select("doc_id", F.col("src_page").alias("page_no"), "out_page", "instance_num")
+        moved = own.join(at, ["doc_id", "page_no"])
+        if "target_page" in names:
+            to = chosen.select("doc_id", F.col("src_page").alias("target_page"), "instance_num", F.col("out_page").alias("_target"))
+            moved = moved.join(to, ["doc_id", "target_page", "instance_num"], "left").withColumn("broken", F.col("target_page").isNotNull() & F.col("_target").isNull()).withColumn("target_page", F.col("_target"))
+        if new_document and "action_dest" in names:
+            several = chosen.groupBy("doc_id").agg((F.max("instance_num") > 0).alias("_repeats"))
+            moved = moved.join(several, "doc_id").withColumn("action_dest", F.when(F.col("_repeats") & F.col("action_dest").isNotNull(), F.concat_ws("-", F.col("instance_num").cast("string"), "action_dest")).otherwise(F.col("action_dest")))
+        kept = [c for c in names if c != "page_no"] + (["broken"] if "target_page" in names and "broken" not in names else [])
+        out["annots"] = moved.select("doc_id", F.col("out_page").alias("page_no"), *(c for c in kept if c != "doc_id"))
+    if "dests" in out:
+        own = out["dests"]
+        if new_document:
+            moved = turned(rename_dests(own, chosen), chosen)
+            out["dests"] = moved.withColumn("page_no", F.col("out_page")).withColumn("name", F.col("new_name")).select(*own.columns)
+        else:
+            out["dests"] = _at_first(own, chosen)
+    if "outlines" in out:
+        moved = _at_first(out["outlines"], chosen)
+        out["outlines"] = kept_bookmarks(moved) if new_document else moved
+    if "fields" in out and "page_no" in out["fields"].columns:
+        own = out["fields"]
+        at = chosen.select("doc_id", F.col("src_page").alias("page_no"), "out_page", "instance_num")
+        moved = own.join(at, ["doc_id", "page_no"])
+        moved = rename_fields(moved) if new_document else moved
+        out["fields"] = moved.withColumn("page_no", F.col("out_page")).select(*own.columns)
+    if new_document:
+        out.pop("page_labels", None)
+    return out
+
+
+def _at_first(frame: DataFrame, chosen: DataFrame) -> DataFrame:
+    """frame with page_no of the page's first copy; null where there is none."""
+    first = chosen.filter("instance_num = 0").select("doc_id", F.col("src_page").alias("page_no"), "out_page")
+    return frame.join(first, ["doc_id", "page_no"], "left").withColumn("page_no", F.col("out_page")).select(*frame.columns)

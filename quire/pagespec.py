@@ -132,7 +132,7 @@ def parse_one(text: str, handles: Mapping[str, object] | None = None) -> PageSpe
     if handles and s[:1].isalpha() and s[:1].upper() in handles and not re.match(r"(?i)(end|even|east|r\d|rend|right)", s):
         handle, s = s[0].upper(), s[1:]
     elif s[:1] == "_":
-        s = s[1:]
+        handle, s = ("_" if handles and "_" in handles else None), s[1:]
     s = s.lower()
     (a, b), rest = _range(s)
     mods, tilde, omit = rest.partition("~")

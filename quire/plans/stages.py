@@ -6,6 +6,7 @@ of one stage each stay apart, because the second counts pages after the first.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -15,6 +16,11 @@ from pyspark.sql import functions as F
 
 from ..errors import DuplicateArgument, InvalidCommand, MissingArgument
 from ..registry import OPERATIONS, Bundle, call
+from ..sources.bundles import file_arguments
+
+#: Operations whose words name inputs, and options that count in the last stage only.
+OPERANDS = ("stamp", "multistamp", "background", "multibackground", "fill_form", "update_info", "update_info_utf8")
+IDS = ("keep_first_id", "keep_final_id")
 
 #: Options by the number of values that follow; -1: any number. Fixed names.
 OPTIONS = {
@@ -80,8 +86,8 @@ def _stage(words: Sequence[str], first: bool) -> Stage:
             out.inputs.append(name)
         else:
             out.inputs.append(w)
-    if not first and not out.inputs:
-        out.inputs = ["_"]
+    if not first and not {"_", "-"} & set(out.inputs):
+        out.inputs.insert(0, "_")  # what the stage before has made comes first
     by_place = []
     for g in given:  # by handle, then by place
         handle, eq, word = g.partition("=")
@@ -101,7 +107,7 @@ def _stage(words: Sequence[str], first: bool) -> Stage:
         name = options.pop(0).lower()
         if name not in OPTIONS:
             raise InvalidCommand(f"{name!r} can't follow an option")
-        if name in out.options:
+        if name in out.options and OPTIONS[name] == 1:
             raise DuplicateArgument(f"{name} is given twice")
         if OPTIONS[name] == 1:
             if not options:
@@ -111,7 +117,7 @@ def _stage(words: Sequence[str], first: bool) -> Stage:
             values = []
             while options and options[0].lower() not in OPTIONS:
                 values.append(options.pop(0))
-            out.options[name] = values
+            out.options[name] = [*out.options.get(name, ()), *values]
         else:
             out.options[name] = True
     return out
@@ -143,6 +149,10 @@ def with_options(bundle: Bundle, options: Mapping[str, Any]) -> Bundle:
     for option, column in (("drop_xmp", "xmp"), ("drop_xfa", "xfa")):
         if options.get(option) and "documents" in frames and column in frames["documents"].columns:
             frames["documents"] = frames["documents"].withColumn(column, F.lit(None).cast("string"))
+    plan = encryption(options)
+    if plan is not None and frames:
+        spark = next(iter(frames.values())).sparkSession
+        frames["encryption_plan"] = spark.createDataFrame([(plan["method"], plan["permissions"], plan["metadata"])], "method string, permissions array<string>, metadata boolean")
     for option, pick in (("keep_first_id", F.min_by), ("keep_final_id", F.max_by)):
         if options.get(option) and "documents" in frames and {"input_idx", "id0"} <= set(frames["documents"].columns):
             own = frames["documents"]
@@ -151,6 +161,8 @@ def with_options(bundle: Bundle, options: Mapping[str, Any]) -> Bundle:
     if options.get("flatten"):
         frames.pop("annots", None)
         frames.pop("fields", None)
+    if options.get("need_appearances") and "fields" not in frames:
+        logging.getLogger("quire").warning("need_appearances: these documents have no form")
     if options.get("need_appearances") and "documents" in frames:
         frames["documents"] = frames["documents"].withColumn("need_appearances", F.lit(True))
     if options.get("sign_key") is not None or options.get("sign_cert") is not None:
@@ -159,29 +171,52 @@ def with_options(bundle: Bundle, options: Mapping[str, Any]) -> Bundle:
         from ..errors import Requires
 
         raise Requires("sign", "a signing library")
-    encryption(options)
     return Bundle(frames, bundle.report)
 
 
+def writer_options(options: Mapping[str, Any]) -> dict[str, Any]:
+    """How a bundle is to be written: compress and uncompress choose the codec, linearize puts pages in order; both codecs are an error."""
+    if options.get("compress") and options.get("uncompress"):
+        raise InvalidCommand("compress or uncompress, not both")
+    out: dict[str, Any] = {}
+    if options.get("compress") or options.get("uncompress"):
+        out["compression"] = "zstd" if options.get("compress") else "none"
+    if options.get("linearize"):
+        out["ordered"] = True
+    return out
+
+
 def run(stages: Sequence[Stage], inputs: Mapping[str, Bundle], sink=None) -> Bundle:
-    """Run parsed stages over named bundles; sink(bundle, path) writes where a stage has an output."""
+    """Run parsed stages over named bundles; sink(bundle, path, **writer_options) writes where a stage has an output.
+
+    Words of fill_form, update_info and overlays that name an input stand for it. Ids are kept as the last stage says.
+    """
     now: Bundle | None = None
+    last = {k: v for k, v in stages[-1].options.items() if k in IDS} if stages else {}
     for i, s in enumerate(stages):
         names = s.inputs or (["_"] if i else [])
         given = [now if n == "_" else inputs.get(n) for n in names]
         if not given or any(g is None for g in given):
             raise MissingArgument(f"inputs of {s.operation}: {names}")
         bundle = given[0]
+        args = file_arguments(s.args)
+        args = [args] if isinstance(args, dict) else list(args)
+        if s.operation in OPERANDS:
+            args = [inputs.get(a, a) if isinstance(a, str) else a for a in args]
+            if any(isinstance(a, str) for a in args):
+                raise MissingArgument(f"an input named {[a for a in args if isinstance(a, str)]}")
+        if s.options.get("verbose"):
+            logging.getLogger("quire").info("%s %s", s.operation, s.args)
         if len(given) > 1 and s.operation in ("cat", "shuffle"):
             bundle, marks = merge(given, s)
-            now = call(s.operation, bundle, *s.args, handles=marks)
+            now = call(s.operation, bundle, *args, handles=marks)
         elif s.operation == "filter":
             now = bundle
         else:
-            now = call(s.operation, bundle, *s.args)
-        now = with_options(now, s.options)
+            now = call(s.operation, bundle, *args)
+        now = with_options(now, {k: v for k, v in s.options.items() if k not in IDS} | last)
         if "output" in s.options and sink is not None:
-            sink(now, s.options["output"])
+            sink(now, s.options["output"], **writer_options(s.options))
     if now is None:
         raise InvalidCommand("no stage")
     return now
@@ -189,7 +224,11 @@ def run(stages: Sequence[Stage], inputs: Mapping[str, Bundle], sink=None) -> Bun
 
 def merge(given: Sequence[Bundle], stage: Stage) -> tuple[Bundle, dict[str, str]]:
     """The inputs of one command as one set: the nth documents of all inputs go together (set_id)."""
-    marks = {h: n for h, n in stage.handles.items()} or {chr(65 + i): n for i, n in enumerate(stage.inputs)}
+    marks = dict(stage.handles) or {chr(65 + i): n for i, n in enumerate(stage.inputs)}
+    free = iter(c for c in map(chr, range(90, 64, -1)) if c not in marks)
+    for n in stage.inputs:
+        if n not in marks.values():
+            marks["_" if n == "_" else next(free)] = n
     of = {n: h for h, n in marks.items()}
     out = None
     for name, b in zip(stage.inputs, given, strict=True):

@@ -48,20 +48,20 @@ def _six(df: DataFrame, *names: str) -> DataFrame:
 _RN = "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {}) AS INTEGER)"
 
 
-@query(f"WITH {C} SELECT doc_id, {_RN.format('p DESC')} AS page_no, p AS src_page, role FROM (SELECT *, page_no AS p FROM c WHERE n >= 2 AND page_no >= 2 AND page_no % 2 = 0)")
+@query(f"WITH {C} SELECT doc_id, {_RN.format('p DESC')} AS page_no, p AS src_page, role FROM (SELECT *, page_no AS p FROM c WHERE page_no % 2 = 0)")
 def pg_cat_reverse(spark, d):
-    out = pages.cat(conversation_pages(spark, d), ["end-2even"], strict=False)
+    out = pages.cat(conversation_pages(spark, d), ["end-1even"])
     return out.select("doc_id", "page_no", "src_page", "role")
 
 
-@query(f"WITH {C} SELECT doc_id, {_RN.format('page_no')} AS page_no, page_no AS src_page, role, content FROM c WHERE n >= 2 AND page_no >= 2 AND page_no % 2 = 0 AND page_no <> n")
+@query(f"WITH {C} SELECT doc_id, {_RN.format('page_no')} AS page_no, page_no AS src_page, role, content FROM c WHERE page_no % 2 = 0 AND page_no <> n")
 def pg_cat_even_omit(spark, d):
-    return pages.cat(conversation_pages(spark, d), ["2-endeven~r1"], strict=False).select("doc_id", "page_no", "src_page", "role", "content")
+    return pages.cat(conversation_pages(spark, d), ["1-endeven~r1"]).select("doc_id", "page_no", "src_page", "role", "content")
 
 
-@query(f"WITH {C} SELECT doc_id, {_RN.format('page_no')} AS page_no, page_no AS src_page, content FROM c WHERE page_no BETWEEN 1 AND 3 AND n >= 3")
+@query(f"WITH {C} SELECT doc_id, {_RN.format('page_no')} AS page_no, page_no AS src_page, content FROM c WHERE page_no % 2 = 1 AND page_no <> 3")
 def pg_cat_range(spark, d):
-    return pages.cat(conversation_pages(spark, d), ["1-3"], strict=False).select("doc_id", "page_no", "src_page", "content")
+    return pages.cat(conversation_pages(spark, d), ["1-endodd~3"]).select("doc_id", "page_no", "src_page", "content")
 
 
 @query(f"""WITH {C}, p AS (SELECT doc_id, page_no, n, role, 0 AS s, page_no AS pos FROM c UNION ALL SELECT doc_id, page_no, n, role, 1, n - page_no FROM c UNION ALL SELECT doc_id, page_no, n, role, 2, 0 FROM c WHERE page_no = 1),
@@ -127,12 +127,11 @@ def pg_insert_blank(spark, d):
 
 
 @query(f"""WITH {L}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) - 1 AS o FROM l),
-    m AS (SELECT doc_id, page_no - 1 AS m, width, height, least(n, 2) AS k FROM l WHERE page_no <= 2 AND n >= 2),
+    m AS (SELECT doc_id, page_no - 1 AS m, width, height, least(n, 2) AS k FROM l WHERE page_no <= 2),
     p AS (SELECT doc_id, page_no AS pos, 1 AS side, width, height, false AS is_blank FROM l UNION ALL SELECT t.doc_id, t.page_no, 0, m.width, m.height, true FROM t JOIN m ON t.doc_id = m.doc_id AND m.m = t.o % m.k)
-    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, side) AS INTEGER) AS page_no, width, height, is_blank FROM p WHERE doc_id IN (SELECT doc_id FROM l WHERE n >= 2)""")
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, side) AS INTEGER) AS page_no, width, height, is_blank FROM p""")
 def pg_insert_model(spark, d):
-    rows = pages.with_total(lineitem_pages(spark, d)).filter("n_pages >= 2").drop("n_pages")
-    return pages.insert(rows, 1, "before", "1-end", model="1-2").select("doc_id", "page_no", "width", "height", "is_blank")
+    return pages.insert(lineitem_pages(spark, d), 1, "before", "1-end", model="1-2").select("doc_id", "page_no", "width", "height", "is_blank")
 
 
 @query(f"WITH {C} SELECT doc_id, page_no, printf('pg_%06d.pdf', row_number() OVER (ORDER BY doc_id, page_no)) AS file_name FROM c")
@@ -179,14 +178,14 @@ def geo_fit_group(spark, d):
 @query(f"""WITH {L}, p AS (SELECT l.*, k FROM l, range(1, 4) r(k))
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no, k) AS INTEGER) AS page_no, page_no AS src_page, CAST(k AS INTEGER) AS piece, round((k - 1) * (width / 3), 6) AS origin_x, round(width / 3, 6) AS x1, round(height, 6) AS y1 FROM p""")
 def geo_chop_cols(spark, d):
-    return _six(geometry.chop(lineitem_pages(spark, d), ["(cols 3)"]).select("doc_id", "page_no", "src_page", "piece", "origin_x", "x1", "y1"), "origin_x", "x1", "y1")
+    return _six(geometry.chop(lineitem_pages(spark, d), ["cols3"]).select("doc_id", "page_no", "src_page", "piece", "origin_x", "x1", "y1"), "origin_x", "x1", "y1")
 
 
 @query(f"""WITH {L}, p AS (SELECT l.*, k, 1.0 AS a, height * CAST(0.25 AS DOUBLE) AS b, (height - (1.0 + height * CAST(0.25 AS DOUBLE))) / 1 AS f FROM l, range(0, 3) r(k) WHERE page_no % 2 = 1 AND k <> 1 OR page_no % 2 = 0 AND k = 0)
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no, k) AS INTEGER) AS page_no, CAST(CASE WHEN page_no % 2 = 0 THEN 0 ELSE k + 1 END AS INTEGER) AS piece,
            round(CASE WHEN page_no % 2 = 0 THEN 0.0 WHEN k = 0 THEN height - a ELSE height - a - b - f END, 6) + 0.0 AS origin_y, round(CASE WHEN page_no % 2 = 0 THEN height WHEN k = 0 THEN a ELSE f END, 6) AS y1 FROM p""")
 def geo_chop_fill(spark, d):
-    return _six(geometry.chop(lineitem_pages(spark, d), ["odd(rows 1,25%d,fill)"]).select("doc_id", "page_no", "piece", "origin_y", "y1"), "origin_y", "y1")
+    return _six(geometry.chop(lineitem_pages(spark, d), ["oddrows(1,25%d,fill)"]).select("doc_id", "page_no", "piece", "origin_y", "y1"), "origin_y", "y1")
 
 
 _PLACE = "m_a", "m_b", "m_c", "m_d", "m_e", "m_f"
@@ -205,6 +204,12 @@ def geo_place_aabb(spark, d):
     return _six(geometry.place(lineitem_pages(spark, d), ["(spin=30:0,0)"]).select("doc_id", "page_no", *names), *names)
 
 
+@query(f"""WITH {L}, m AS (SELECT *, page_no % 2 = 0 AS e FROM l)
+    SELECT doc_id, page_no, CAST(CASE WHEN e THEN 2 ELSE 1 END AS DOUBLE) AS m_a, CAST(CASE WHEN e THEN 20 ELSE 10 END AS DOUBLE) AS m_e FROM m""")
+def geo_place_rules_add_up(spark, d):
+    return _six(geometry.place(lineitem_pages(spark, d), ["(shift=10,0)", "even(scale=2:0,0)"]).select("doc_id", "page_no", "m_a", "m_e"), "m_a", "m_e")
+
+
 def _over(spark, d, n: int) -> DataFrame:
     return _read(spark, d, "region").filter(f"r_regionkey < {n}").select((F.col("r_regionkey") + 1).cast("int").alias("over_page"), (F.lit(100.0) + 10 * F.col("r_regionkey")).alias("ow"), F.lit(210.0).alias("oh"))
 
@@ -298,9 +303,31 @@ def info_page_labels(spark, d):
     return info.label_pages(rows, labels).select("doc_id", "page_no", "label")
 
 
-@query(f"""WITH {L} SELECT doc_id, page_no, CASE WHEN width = round(width) THEN format('{{:,}}', CAST(width AS BIGINT)) ELSE rtrim(rtrim(format('{{:,.4f}}', width), '0'), '.') END AS w FROM l""")
+@query(f"""WITH {L} SELECT doc_id, page_no, format('{{:,}}', CAST(floor(height) AS BIGINT)) || CASE WHEN height = floor(height) THEN '' ELSE regexp_extract(CAST(height AS VARCHAR), '[.][0-9]+$') END AS h FROM l""")
 def info_number_text(spark, d):
-    return lineitem_pages(spark, d).select("doc_id", "page_no", T.number_text(F.col("width")).alias("w"))
+    return lineitem_pages(spark, d).select("doc_id", "page_no", T.number_text(F.col("height")).alias("h"))
+
+
+_LINES = """doc_id, CAST(section AS INTEGER) AS section, CAST(seq AS INTEGER) AS seq, CAST(line_no AS INTEGER) AS line_no, line"""
+
+
+@query(f"""WITH {L}, s AS (SELECT 2 AS section, 1 AS seq, k AS line_no, o_orderkey AS doc_id, 'PdfID' || k || ': ' || md5(CAST(o_orderkey + k AS VARCHAR)) AS line FROM orders, range(0, 2) r(k)
+        UNION ALL SELECT 3, 1, 0, doc_id, 'NumberOfPages: ' || n FROM (SELECT DISTINCT doc_id, n FROM l)
+        UNION ALL SELECT 4, page_no, k, doc_id, CASE k WHEN 0 THEN 'BookmarkBegin' WHEN 1 THEN 'BookmarkTitle: &lt;' || line || '&gt;' WHEN 2 THEN 'BookmarkLevel: 1' ELSE 'BookmarkPageNumber: ' || page_no END FROM l, range(0, 4) r(k)
+        UNION ALL SELECT 5, page_no, k, doc_id, CASE k WHEN 0 THEN 'PageMediaBegin' WHEN 1 THEN 'PageMediaNumber: ' || page_no WHEN 2 THEN 'PageMediaRotation: ' || rotation
+            WHEN 3 THEN 'PageMediaRect: 0 0 ' || CAST(width AS INTEGER) || ' ' || CAST(2 * line AS INTEGER) WHEN 4 THEN 'PageMediaDimensions: ' || CAST(width AS INTEGER) || ' ' || CAST(2 * line AS INTEGER) ELSE 'PageMediaCropRect: 1 0 ' || CAST(width AS INTEGER) || ' ' || CAST(2 * line AS INTEGER) END
+            FROM l, range(0, 6) r(k) WHERE k < 5 OR page_no = 1
+        UNION ALL SELECT 6, 1, k, doc_id, CASE k WHEN 0 THEN 'PageLabelBegin' WHEN 1 THEN 'PageLabelNewIndex: 1' WHEN 2 THEN 'PageLabelStart: 3' ELSE 'PageLabelNumStyle: NoNumber' END FROM (SELECT DISTINCT doc_id FROM l), range(0, 4) r(k))
+    SELECT {_LINES} FROM s""")
+def info_dump_data(spark, d):
+    rows = lineitem_pages(spark, d).withColumn("y1", (2 * F.col("line")).cast("double"))
+    first = F.col("page_no") == 1
+    rows = rows.withColumns({f"crop_{c}": F.when(first, F.col(c) + (1 if c == "x0" else 0)).otherwise(F.col(c)) for c in geometry.BOX})
+    ids = _read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("id0"), F.md5((F.col("o_orderkey") + 1).cast("string").cast("binary")).alias("id1"))
+    marks = rows.select("doc_id", F.col("page_no").alias("seq"), F.concat(F.lit("<"), F.col("line").cast("string"), F.lit(">")).alias("title"), F.lit(1).alias("level"), "page_no")
+    labels = rows.select("doc_id").distinct().select("doc_id", F.lit(1).alias("new_index"), F.lit(3).alias("start"), F.lit("").alias("prefix"), F.lit("NoNumber").alias("num_style"))
+    out = stages.run(stages.parse(["in", "dump_data"]), {"in": Bundle({"documents": ids, "pages": rows, "outlines": marks, "page_labels": labels})}).report
+    return out.select("doc_id", "section", "seq", "line_no", "line")
 
 
 # ---- annotations, destinations, links
@@ -317,15 +344,18 @@ def an_dump_links(spark, d):
     return _annots(spark, d)
 
 
-@query(f"WITH {_HREF} SELECT doc_id, CAST(1 AS INTEGER) AS page_no, annot_idx, 'AnnotSubtype: Link' || chr(10) || 'AnnotActionURI: ' || uri || chr(10) || 'AnnotPageNumber: 1' AS block FROM x")
+@query(f"WITH {_HREF} SELECT doc_id, CAST(1 AS INTEGER) AS page_no, annot_idx, 'AnnotSubtype: Link' || chr(10) || 'AnnotRect: 0 ' || annot_idx || ' 10.5 ' || (annot_idx + 8) || chr(10) || 'AnnotPageNumber: 1' AS block FROM x UNION ALL SELECT page_id, 0, 0, 'NumberOfPages: 1' FROM pages")
 def an_report(spark, d):
-    return relations.dump_data_annots(_annots(spark, d))
+    at = F.col("annot_idx").cast("double")
+    annots = _annots(spark, d).withColumns({"ax0": F.lit(0.0), "ay0": at, "ax1": F.lit(10.5), "ay1": at + 8})
+    own = _read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page_no"))
+    return stages.run(stages.parse(["in", "dump_data_annots"]), {"in": Bundle({"annots": annots, "pages": own})}).report
 
 
 @query("SELECT event_id AS doc_id, event_type AS subtype, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'click'")
 def an_filter_subtype(spark, d):
-    rows = _read(spark, d, "events").filter("event_type = 'click'")
-    return rows.select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("subtype"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    rows = _read(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("subtype"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return relations.of_subtype(rows, "click")
 
 
 def _event_annots(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -350,20 +380,29 @@ def an_delete(spark, d):
     return relations.delete_annots(rows, "even,end", at).select("doc_id", "page_no", "subtype")
 
 
-@query("SELECT l_orderkey AS doc_id, l_linenumber AS line, p_name AS name, l_partkey AS page_no FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 25")
+@query("""WITH d AS (SELECT p_size AS doc_id, p_brand AS name, max(p_partkey) AS dest_page FROM part GROUP BY ALL)
+    SELECT p_size AS doc_id, p_partkey AS link, dest_page FROM part p LEFT JOIN d ON p.p_size = d.doc_id AND d.name = CASE WHEN p_partkey % 3 = 0 THEN 'none' ELSE p_brand END""")
 def dest_resolve(spark, d):
-    names = _read(spark, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
-    rows = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line"), "l_partkey")
-    return rows.join(names, "l_partkey", "left").select("doc_id", "line", "name", F.col("l_partkey").alias("page_no"))
+    rows = _read(spark, d, "part").select(F.col("p_size").alias("doc_id"), F.col("p_partkey").alias("page_no"), F.col("p_brand").alias("name"), F.col("p_partkey").alias("seq"))
+    links = rows.select("doc_id", F.col("page_no").alias("link"), F.when(F.col("page_no") % 3 == 0, "none").otherwise(F.col("name")).alias("action_dest"))
+    return relations.resolve(links, rows).select("doc_id", "link", "dest_page")
+
 
+@query("SELECT p_size AS doc_id, p_partkey AS link, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'remap' WHEN 2 THEN 'copy' ELSE 'copy_and_warn' END AS handling FROM part")
+def an_dispatch(spark, d):
+    at = F.col("p_partkey") % 4
+    kind = F.when(at == 1, "GoTo").when(at == 2, "URI").when(at == 3, F.when(F.col("p_size") % 2 == 0, "JavaScript").otherwise("Unheard"))
+    rows = _read(spark, d, "part").select(F.col("p_size").alias("doc_id"), F.col("p_partkey").alias("link"), kind.alias("action_type"))
+    return repair.dispatch(rows).select("doc_id", "link", "handling")
 
-_TWICE = f"""{C}, p AS (SELECT doc_id, page_no, n, 0 AS s FROM c UNION ALL SELECT doc_id, page_no, n, 1 FROM c WHERE page_no <= 2 AND n >= 2),
+
+_TWICE = f"""{C}, p AS (SELECT doc_id, page_no, n, 0 AS s FROM c UNION ALL SELECT doc_id, page_no, n, 1 FROM c WHERE page_no = 1 OR page_no = n AND n > 1),
     o AS (SELECT doc_id, page_no AS src_page, {_RN.format('s, page_no')} AS out_page, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY s) - 1 AS INTEGER) AS instance_num FROM p)"""
 
 
 def _twice(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = conversation_pages(spark, d)
-    return rows, pages.plan(pages.documents_of(rows), pages._specs(["1-end", "1-2"]), strict=False)
+    return rows, pages.plan(pages.documents_of(rows), pages._specs(["1-end", "1", "end~1"]))
 
 
 @query(f"""WITH {_TWICE}, r AS (SELECT doc_id, max(instance_num) > 0 AS r FROM o GROUP BY doc_id)
@@ -382,6 +421,50 @@ def link_broken_report(spark, d):
     return repair.remap_links(links, chosen).select("doc_id", "out_page", "target_page", "out_target", "broken")
 
 
+def _followed(spark, d, *words: str) -> Bundle:
+    """A command over documents whose every page has a link to the next page, a destination, a bookmark and a field."""
+    rows = pages.with_total(conversation_pages(spark, d))
+    name = lambda x: F.concat(F.lit(x), F.col("page_no").cast("string"))
+    bundle = Bundle({
+        "pages": rows.drop("n_pages"),
+        "annots": rows.select("doc_id", "page_no", F.lit(0).alias("annot_idx"), F.when(F.col("page_no") < F.col("n_pages"), F.col("page_no") + 1).otherwise(1).alias("target_page")),
+        "dests": rows.select("doc_id", name("d").alias("name"), "page_no"),
+        "outlines": rows.select("doc_id", F.col("page_no").alias("seq"), (2 - F.col("page_no") % 2).alias("level"), "page_no"),
+        "fields": rows.select("doc_id", name("f").alias("fq_name"), "page_no"),
+    })
+    return stages.run(stages.parse(["in", *words]), {"in": bundle})
+
+
+def _referring(out: Bundle) -> DataFrame:
+    """Everything that refers to pages, in one shape."""
+    return (
+        out["annots"].select("doc_id", F.lit("link").alias("kind"), "page_no", F.coalesce(F.col("target_page").cast("string"), F.lit("broken")).alias("value"))
+        .unionByName(out["dests"].select("doc_id", F.lit("dest").alias("kind"), "page_no", F.col("name").alias("value")))
+        .unionByName(out["outlines"].select("doc_id", F.lit("mark").alias("kind"), "page_no", F.col("seq").cast("string").alias("value")))
+        .unionByName(out["fields"].select("doc_id", F.lit("field").alias("kind"), "page_no", F.col("fq_name").alias("value")))
+    )
+
+
+@query(f"""WITH {C}, p AS (SELECT doc_id, page_no, n, 0 AS s FROM c WHERE page_no % 2 = 0 OR page_no = n UNION ALL SELECT doc_id, page_no, n, 1 FROM c WHERE page_no = n),
+    o AS (SELECT doc_id, page_no AS src, n, {_RN.format('s, page_no')} AS out_page, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY s) - 1 AS INTEGER) AS i FROM p)
+    SELECT a.doc_id, 'link' AS kind, a.out_page AS page_no, coalesce(CAST(b.out_page AS VARCHAR), 'broken') AS value FROM o a LEFT JOIN o b ON b.doc_id = a.doc_id AND b.i = a.i AND b.src = CASE WHEN a.src < a.n THEN a.src + 1 ELSE 1 END
+    UNION ALL SELECT doc_id, 'dest', out_page, i || '-d' || src FROM o
+    UNION ALL SELECT doc_id, 'mark', out_page, CAST(src AS VARCHAR) FROM o WHERE i = 0
+    UNION ALL SELECT c.doc_id, 'mark', NULL, CAST(c.page_no AS VARCHAR) FROM c WHERE page_no % 2 = 1 AND page_no <> n
+    UNION ALL SELECT doc_id, 'field', out_page, 'f' || src || CASE WHEN i > 0 THEN '_' || i ELSE '' END FROM o""")
+def repair_after_cat(spark, d):
+    return _referring(_followed(spark, d, "cat", "1-endeven~end", "end", "end"))
+
+
+@query(f"""WITH {C}, o AS (SELECT doc_id, page_no AS src, n, {_RN.format('page_no')} AS out_page FROM c WHERE page_no <> 2)
+    SELECT a.doc_id, 'link' AS kind, a.out_page AS page_no, coalesce(CAST(b.out_page AS VARCHAR), 'broken') AS value FROM o a LEFT JOIN o b ON b.doc_id = a.doc_id AND b.src = CASE WHEN a.src < a.n THEN a.src + 1 ELSE 1 END
+    UNION ALL SELECT c.doc_id, 'dest', out_page, 'd' || page_no FROM c LEFT JOIN o ON o.doc_id = c.doc_id AND src = page_no
+    UNION ALL SELECT c.doc_id, 'mark', out_page, CAST(page_no AS VARCHAR) FROM c LEFT JOIN o ON o.doc_id = c.doc_id AND src = page_no
+    UNION ALL SELECT doc_id, 'field', out_page, 'f' || src FROM o""")
+def repair_after_delete(spark, d):
+    return _referring(_followed(spark, d, "delete", "2"))
+
+
 @query("SELECT p_name AS name, last_value(p_partkey) OVER (PARTITION BY p_name ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS page_no FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey DESC) = 1")
 def dest_last_wins(spark, d):
     rows = _read(spark, d, "part").select(F.lit(1).alias("doc_id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("page_no"))
@@ -459,9 +542,12 @@ def form_fqn(spark, d):
     return relations.field_tree(nodes, depth=2).select("node_id", "fq_name")
 
 
-@query("SELECT o_orderkey AS doc_id, o_orderpriority AS fq_name, 'FieldType: Text' || chr(10) || 'FieldName: ' || o_orderpriority || chr(10) || 'FieldValue: ' || o_orderstatus AS block FROM orders")
+@query("SELECT o_orderkey AS doc_id, o_orderpriority || ' <é>' AS fq_name, 'FieldType: Text' || chr(10) || 'FieldName: ' || o_orderpriority || ' &lt;&#233;&gt;' || chr(10) || 'FieldFlags: 0' || chr(10) || 'FieldValue: ' || o_orderstatus || chr(10) || 'FieldJustification: Center' || chr(10) || 'FieldStateOption: a' || chr(10) || 'FieldStateOptionDisplay: A' AS block FROM orders")
 def form_dump(spark, d):
-    return relations.dump_data_fields(_read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("fq_name"), F.lit("Text").alias("type"), F.col("o_orderstatus").alias("value")))
+    name = F.concat("o_orderpriority", F.lit(" <é>"))
+    options = F.array(F.struct(F.lit("a").alias("export"), F.lit("A").alias("display")))
+    fields = _read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), name.alias("fq_name"), F.lit("Text").alias("type"), F.col("o_orderstatus").alias("value"), F.lit(1).alias("justification"), options.alias("options"))
+    return stages.run(stages.parse(["in", "dump_data_fields"]), {"in": Bundle({"fields": fields})}).report
 
 
 @query("""SELECT o_orderkey AS doc_id, '%FDF-1.2' || chr(10) || '1 0 obj' || chr(10) || '<<' || chr(10) || '/FDF' || chr(10) || '<<' || chr(10) || '/Fields [' || chr(10) || '<<' || chr(10) || '/T (' || o_orderpriority || ')' || chr(10) || '/V (' || o_orderstatus || ')' || chr(10) || '>>' || chr(10) || ']' || chr(10)
@@ -506,6 +592,11 @@ def txt_replace_count(spark, d):
     return content.replace(conversation_pages(spark, d), "-/e/E/2").select("doc_id", "page_no", "content")
 
 
+@query("SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page_no, regexp_replace(text, '^(.)', '<\\1>') AS content FROM conversations")
+def txt_replace_anchored(spark, d):
+    return content.replace(conversation_pages(spark, d), r"-/^(.)/<\1>/2").select("doc_id", "page_no", "content")
+
+
 @query("""SELECT doc_id, regexp_replace(list_aggregate(list_transform(string_split(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;'), ''),
     lambda ch: CASE WHEN unicode(ch) > 126 THEN '&#' || unicode(ch) || ';' ELSE ch END), 'string_agg', ''), '[\\x00-\\x09\\x0B\\x0C\\x0E-\\x1F]', '', 'g') AS text FROM documents""")
 def txt_xml_encode(spark, d):
@@ -555,12 +646,12 @@ def txt_normalize(spark, d):
 # ---- several stages
 
 
-@query(f"""WITH {L}, a AS (SELECT doc_id, {_RN.format('page_no DESC')} AS page_no, rotation, width, height FROM l WHERE n >= 2 AND page_no >= 2)
+@query(f"""WITH {L}, a AS (SELECT doc_id, {_RN.format('page_no DESC')} AS page_no, rotation, width, height FROM l)
     SELECT doc_id, page_no, CAST(CASE WHEN page_no % 2 = 0 THEN (rotation + 90) % 360 ELSE rotation END AS INTEGER) AS rotation, round(x, 6) + 0.0 AS x0, round(x1, 6) + 0.0 AS x1 FROM
     (SELECT *, CASE WHEN width - 1 > 1 AND height - 1 > 1 THEN 1.0 ELSE 0.0 END AS x, CASE WHEN width - 1 > 1 AND height - 1 > 1 THEN width - 1 ELSE width END AS x1 FROM a)""")
 def pipe_cat_rotate_crop(spark, d):
-    rows = pages.with_total(lineitem_pages(spark, d)).filter("n_pages >= 2").drop("n_pages")
-    out = stages.run(stages.parse(["in", "cat", "end-2", "---", "rotate", "evenright", "---", "crop", "(1)"]), {"in": Bundle({"pages": rows})})
+    rows = lineitem_pages(spark, d)
+    out = stages.run(stages.parse(["in", "cat", "end-1", "---", "rotate", "evenright", "---", "crop", "(1)"]), {"in": Bundle({"pages": rows})})
     return _six(out["pages"].select("doc_id", "page_no", "rotation", "x0", "x1"), "x0", "x1")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import InvalidArgument, InvalidCommand, MissingArgument
-from .operators import content, geometry, info, pages, relations
+from .operators import content, geometry, info, pages, relations, repair
 
 
 @dataclass(frozen=True)
@@ -65,15 +65,42 @@ def _on_pages(name: str, f: Callable[..., DataFrame], usage: str, *, many: bool
     operation(name, usage, ("pages",))(run)
 
 
-_on_pages("delete", pages.delete, "delete <specs>")
 _on_pages("rotate", pages.rotate, "rotate <specs>")
 _on_pages("crop", geometry.crop, "crop <pages(margins|paper)>...")
-_on_pages("chop", geometry.chop, "chop <pages(cols|rows sizes)>...")
+_on_pages("chop", geometry.chop, "chop <pages>cols|rows<sizes>...")
 _on_pages("place", geometry.place, "place <pages(shift=|scale=|spin=)>...")
 _on_pages("burst", pages.burst, "burst [pattern]", many=False)
 _on_pages("filter", pages.identity, "filter", many=False)
-_on_pages("replace", content.replace, "replace <pages/from/to/count>", many=False)
-_on_pages("normalize", content.normalize, "normalize [specs]", many=False)
+_on_pages("normalize", content.normalize, "normalize [specs]")
+
+
+@operation("replace", "replace <pages/from/to/count>...", ("pages",))
+def _replace(bundle: Bundle, *specs: str) -> Bundle:
+    """Regular expressions replaced in normalised content."""
+    own = bundle["pages"]
+    for spec in specs:
+        own = content.replace(own, spec, normalize=True)
+    return bundle.with_(pages=own)
+
+
+def _moved(bundle: Bundle, change: Callable[[DataFrame], DataFrame], new_document: bool = False) -> Bundle:
+    """Pages changed, and what refers to them brought after. Sets of several inputs change pages only."""
+    own = bundle["pages"]
+    others = {k: f for k, f in bundle.relations.items() if k in ("annots", "dests", "outlines", "fields", "page_labels")}
+    if "set_id" in own.columns or not others:
+        return bundle.with_(pages=change(own))
+    out = change(own.withColumn("_src", F.col("page_no")))
+    copies = F.col("instance_num") if "instance_num" in out.columns else F.lit(0)
+    more = [c for c in ("angle", "scale", "width", "height") if c in out.columns]
+    chosen = out.filter("_src is not null").select("doc_id", F.col("_src").alias("src_page"), F.col("page_no").alias("out_page"), copies.alias("instance_num"), *more)
+    frames = {k: f for k, f in bundle.relations.items() if k not in others} | repair.follow(others, chosen, new_document)
+    return replace(bundle, relations={**frames, "pages": out.drop("_src")})
+
+
+@operation("delete", "delete <specs>", ("pages", "order"))
+def _delete(bundle: Bundle, *specs: str) -> Bundle:
+    """The pages that no spec selects."""
+    return _moved(bundle, lambda own: pages.delete(own, list(specs)))
 
 
 @operation("cat", "cat [specs]", ("pages", "order"))
@@ -81,7 +108,7 @@ def _cat(bundle: Bundle, *specs: str, handles: Mapping[str, object] | None = Non
     """Ordered concatenation of selections; pages may repeat."""
     own = bundle["pages"]
     by = ("set_id",) if "set_id" in own.columns else ("doc_id",)
-    return bundle.with_(pages=pages.cat(own, list(specs) or ["-"], by, handles))
+    return _moved(bundle, lambda own: pages.cat(own, list(specs) or ["-"], by, handles), True)
 
 
 @operation("shuffle", "shuffle [specs]", ("pages", "order"))
@@ -89,7 +116,7 @@ def _shuffle(bundle: Bundle, *specs: str, handles: Mapping[str, object] | None =
     """One page of each selection in turn."""
     own = bundle["pages"]
     by = ("set_id",) if "set_id" in own.columns else ("doc_id",)
-    return bundle.with_(pages=pages.shuffle(own, list(specs) or sorted(handles or {"": 0}), by, handles))
+    return _moved(bundle, lambda own: pages.shuffle(own, list(specs) or sorted(handles or {"": 0}), by, handles), True)
 
 
 @operation("move", "move <source> before|after <target>", ("pages", "order"))
@@ -97,7 +124,7 @@ def _move(bundle: Bundle, *args: str) -> Bundle:
     """Pages cut out and put before or after others."""
     if len(args) != 3:
         raise MissingArgument("move <source> before|after <target>")
-    return bundle.with_(pages=pages.move(bundle["pages"], *args))
+    return _moved(bundle, lambda own: pages.move(own, *args))
 
 
 @operation("insert", "insert [N][(paper|w,h|model=spec)] [before|after range]", ("pages", "order"))
@@ -121,11 +148,16 @@ def _insert(bundle: Bundle, *args: str) -> Bundle:
             else:
                 size = paper(m[2])
     where = words.pop(0) if words and words[0] in ("before", "after") else "after"
-    return bundle.with_(pages=pages.insert(bundle["pages"], count, where, " ".join(words) or "end", size, model))
+    return _moved(bundle, lambda own: pages.insert(own, count, where, " ".join(words) or "end", size, model))
 
 
 def _overlay(name: str) -> None:
-    def run(bundle: Bundle, over: DataFrame) -> Bundle:
+    def run(bundle: Bundle, over: DataFrame | Bundle) -> Bundle:
+        if isinstance(over, Bundle):
+            own = over["pages"]
+            if own.select("doc_id").distinct().limit(2).count() > 1:
+                raise InvalidArgument("an overlay is one document")
+            over = own.select(F.col("page_no").alias("over_page"), (F.col("x1") - F.col("x0")).alias("ow"), (F.col("y1") - F.col("y0")).alias("oh"))
         return bundle.with_(overlays=geometry.overlay(bundle["pages"], over, "multi" in name, "stamp" in name))
 
     run.__doc__ = "Layout of another document's pages over or under these."
@@ -136,10 +168,10 @@ for _name in ("stamp", "multistamp", "background", "multibackground"):
     _overlay(_name)
 
 
-@operation("add_text", "add_text <pages/text/position>...", ("content",))
-def _add_text(bundle: Bundle, *rules: tuple[str, str, str]) -> Bundle:
+@operation("add_text", "add_text <pages>/<text>/(options)...", ("content",))
+def _add_text(bundle: Bundle, *rules: str | tuple[str, str, str]) -> Bundle:
     """Templated texts at places of pages."""
-    return bundle.with_(texts=content.add_text(bundle["pages"], rules))
+    return bundle.with_(texts=content.add_text(bundle["pages"], rules, styled=any(isinstance(r, str) for r in rules)))
 
 
 @operation("inject", "inject <pages> head|tail <code>...", ("content",))
@@ -165,16 +197,18 @@ def _dump_data(name: str, escape: bool) -> None:
     def run(bundle: Bundle, *args: str) -> Bundle:
         get = bundle.relations.get
         if args == ("json",):
-            return bundle.reported(info.dump_json(bundle["docinfo"]))
-        return bundle.reported(info.dump_data(get("docinfo"), get("pages"), get("outlines"), get("page_labels"), escape))
+            return bundle.reported(info.dump_whole_json(get("docinfo"), get("pages"), get("outlines"), get("page_labels"), get("documents")))
+        return bundle.reported(info.dump_data(get("docinfo"), get("pages"), get("outlines"), get("page_labels"), escape, get("documents"), args == ("extra",)))
 
     run.__doc__ = "Metadata as stanza lines, or as JSON."
     operation(name, f"{name} [json]", ("info",))(run)
 
 
 def _update_info(name: str, decode: bool) -> None:
-    def run(bundle: Bundle, lines: DataFrame) -> Bundle:
-        new = info.updates(info.read_stanzas(lines, decode))
+    def run(bundle: Bundle, lines: DataFrame | Bundle) -> Bundle:
+        lines = lines["lines"] if isinstance(lines, Bundle) else lines
+        totals = bundle["pages"].groupBy("doc_id").agg(F.max("page_no").alias("n_pages")) if "pages" in bundle.relations else None
+        new = info.updates(info.read_stanzas(lines, decode), totals)
         frames = dict(bundle.relations)
         if "docinfo" in frames:
             frames["docinfo"] = info.update_docinfo(frames["docinfo"], new["docinfo"])
@@ -203,10 +237,10 @@ def _report(name: str, make: Callable[[Bundle], DataFrame], description: str) ->
 for _suffix, _plain in (("", True), ("_utf8", False)):
     _dump_data(f"dump_data{_suffix}", _plain)
     _update_info(f"update_info{_suffix}", _plain)
-    _report(f"dump_data_fields{_suffix}", lambda b: relations.dump_data_fields(b["fields"]), "Form fields as stanzas.")
+    _report(f"dump_data_fields{_suffix}", lambda b, escape=_plain: relations.dump_data_fields(b["fields"], escape), "Form fields as stanzas.")
 _report("generate_fdf", lambda b: relations.generate_fdf(b["fields"]), "Field values as FDF.")
 _report("dump_annots", lambda b: relations.dump_annots(b["annots"], b.relations.get("dests")), "Annotations as JSON records.")
-_report("dump_data_annots", lambda b: relations.dump_data_annots(b["annots"]), "Annotations as report lines.")
+_report("dump_data_annots", lambda b: relations.dump_data_annots(b["annots"], b.relations.get("pages"), b.relations.get("documents")), "Annotations as report lines.")
 _report("dump_dests", lambda b: relations.dump_dests(b["dests"]), "Named destinations.")
 _report("dump_layers", lambda b: relations.dump_layers(b["layers"], b["layer_off"]), "Layers and their default states.")
 _report("dump_text", lambda b: content.dump_text(b["pages"]), "Text of all pages.")
@@ -217,8 +251,13 @@ _report("optimize_images", lambda b: relations.optimize_images(b), "Recompressed
 
 
 @operation("fill_form", "fill_form <values>", ("forms",))
-def _fill_form(bundle: Bundle, values: DataFrame) -> Bundle:
+def _fill_form(bundle: Bundle, values: DataFrame | Bundle) -> Bundle:
     """Field values by fully qualified name."""
+    if isinstance(values, Bundle):
+        from .sources.bundles import fdf_values, xfdf_values
+
+        own = values.relations
+        values = fdf_values(own["fdf"]) if "fdf" in own else xfdf_values(own["xfdf"]) if "xfdf" in own else values["values"]
     return bundle.with_(fields=relations.fill_form(bundle["fields"], values))
 
 

@@ -24,9 +24,13 @@ def read(spark: SparkSession, path: str) -> Bundle:
     return Bundle(found)
 
 
-def write(bundle: Bundle, path: str) -> None:
+def write(bundle: Bundle, path: str, compression: str | None = None, ordered: bool = False) -> None:
+    """Every relation as a table; ordered: pages by document and number within each file."""
     for name, frame in bundle.relations.items():
-        frame.write.mode("overwrite").parquet(f"{path}/{name}")
+        if ordered and name == "pages":
+            frame = frame.repartition("doc_id").sortWithinPartitions("doc_id", "page_no")
+        writer = frame.write.mode("overwrite")
+        (writer.option("compression", compression) if compression else writer).parquet(f"{path}/{name}")
 
 
 def stanza_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -44,9 +48,34 @@ def fdf_values(text: DataFrame) -> DataFrame:
 
 
 def xfdf_values(text: DataFrame) -> DataFrame:
-    """doc_id, fq_name, value of XFDF text (doc_id, xfdf): flat fields."""
-    names, values = F.expr("xpath(xfdf, '//*[local-name()=\"field\"]/@name')"), F.expr("xpath(xfdf, '//*[local-name()=\"field\"]/*[local-name()=\"value\"]/text()')")
-    return text.select("doc_id", F.posexplode(F.arrays_zip(names.alias("n"), values.alias("v"))).alias("seq", "p")).select("doc_id", "seq", F.col("p.n").alias("fq_name"), F.col("p.v").alias("value"))
+    """doc_id, seq, fq_name, value of XFDF text (doc_id, xfdf): names of nested fields joined by dots; a field without a value is
+    left out, an empty value is an empty text. Each file is parsed once, in an Arrow step; what isn't XML fails the job."""
+
+    def run(batches):
+        import xml.etree.ElementTree as ET
+
+        import pyarrow as pa
+
+        def found(root):
+            stack = [(root, ())]
+            while stack:
+                node, above = stack.pop()
+                own = above
+                if node.tag.rsplit("}", 1)[-1] == "field":
+                    own = (*above, node.get("name", ""))
+                    for child in node:
+                        if child.tag.rsplit("}", 1)[-1] == "value":
+                            yield ".".join(own), "".join(child.itertext())
+                            break
+                stack += [(child, own) for child in reversed(node)]
+
+        for batch in batches:
+            rows = [(doc, i, *pair) for doc, xml in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if xml for i, pair in enumerate(found(ET.fromstring(xml)))]
+            types = (batch.schema.field(0).type, pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "seq", "fq_name", "value"])
+
+    kind = text.schema["doc_id"].dataType.simpleString()
+    return text.select("doc_id", "xfdf").mapInArrow(run, f"doc_id {kind}, seq int, fq_name string, value string")
 
 
 def write_each(pages: DataFrame, path: str, name: str = "file_name") -> None:

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from quire import api, queries, registry
@@ -43,7 +44,7 @@ def test_entry(spark):
 
 
 def test_normalize(spark):
-    df = spark.createDataFrame([(1, 1, "q 1 0 0 1 5 5 cm (a (b c) Tj\n[(x y) 3] TJ Q", 1)], "doc_id long, page_no int, content string, n_pages int")
+    df = spark.createDataFrame([(1, 1, "q 1 0 0 1 5 5 cm (a (b) c) Tj\n[(x y) 3] TJ Q", 1)], "doc_id long, page_no int, content string, n_pages int")
     out = registry.call("normalize", Bundle({"pages": df}))["pages"].first().content
     assert out.split("\n")[0] == "q" and out.split("\n")[-1] == "Q" and "1 0 0 1 5 5 cm" in out.split("\n")
 
@@ -115,6 +116,51 @@ def test_form_data_round_trip(spark):
     assert [(r.fq_name, r.value) for r in bundles.xfdf_values(x).orderBy("seq").collect()] == [("a", "1"), ("b", "2")]
 
 
+def test_nested_form_data(spark):
+    """Names of nested fields are joined, parents without a value have none, and an empty value shifts nothing."""
+    xml = '<xfdf><fields><field name="a"><field name="b"><value>1</value></field><field name="c"/></field><field name="d"><value></value></field><field name="e"><value>2</value></field></fields></xfdf>'
+    x = spark.createDataFrame([(1, xml), (2, None)], "doc_id long, xfdf string")
+    assert [(r.doc_id, r.fq_name, r.value) for r in bundles.xfdf_values(x).orderBy("seq").collect()] == [(1, "a.b", "1"), (1, "d", ""), (1, "e", "2")]
+
+
+def test_operands_on_the_command_line(spark, tmp_path):
+    pages = spark.createDataFrame([(1, i, 0, 0.0, 0.0, 100.0, 200.0) for i in (1, 2, 3)], "doc_id long, page_no int, rotation int, x0 double, y0 double, x1 double, y1 double").withColumn("content", F.lit("a b"))
+    fields = spark.createDataFrame([(1, "n", "old"), (1, "m", "old")], "doc_id long, fq_name string, value string")
+    b = Bundle({"pages": pages, "fields": fields, "docinfo": spark.createDataFrame([(1, "Title", "t")], "doc_id long, key string, value string")})
+    x = Bundle({"xfdf": spark.createDataFrame([(1, '<xfdf><fields><field name="n"><value>new</value></field></fields></xfdf>')], "doc_id long, xfdf string")})
+    lines = Bundle({"lines": spark.createDataFrame([(1, i, v) for i, v in enumerate(["InfoBegin", "InfoKey: Title", "InfoValue: other"])], "doc_id long, line_no int, line string")})
+    inputs = {"in": b, "over": Bundle({"pages": pages.filter("page_no < 3")}), "x": x, "lines": lines}
+    run = lambda *words: stages.run(stages.parse(words), inputs)
+    assert {(r.page_no, r.over_page, r.z_order) for r in run("in", "multistamp", "over")["overlays"].collect()} == {(1, 1, 1), (2, 2, 1), (3, 2, 1)}
+    assert {(r.page_no, r.over_page, r.z_order) for r in run("in", "background", "over")["overlays"].collect()} == {(i, 1, -1) for i in (1, 2, 3)}
+    assert {(r.fq_name, r.value) for r in run("in", "fill_form", "x")["fields"].collect()} == {("n", "new"), ("m", "old")}
+    assert run("in", "update_info", "lines")["docinfo"].first().value == "other"
+    text = run("in", "add_text", "odd", "-|p{page}|(position=top-left, offset-x=1in, size=10, color=1 0 0)")["texts"].orderBy("page_no").collect()
+    assert [(r.page_no, r.text, r.x, r.y, r.align, r.size, r.color) for r in text] == [(i, f"p{i}", 72.0, 190.0, "left", 10.0, [1.0, 0.0, 0.0]) for i in (1, 3)]
+    assert run("in", "replace", "1/a/x/", "-/b/y/")["pages"].orderBy("page_no").first().content == "x\ny"
+    (tmp_path / "w.json").write_text('["1-2"]')
+    assert run("in", "delete", f"@{tmp_path}/w.json")["pages"].count() == 1
+    for words in (("in", "stamp", "nowhere"), ("in", "add_text", "no delimiter")):
+        with pytest.raises((MissingArgument, InvalidArgument)):
+            run(*words)
+    whole = run("in", "dump_data", "json").report.first().info
+    assert '"Info":[{"Key":"Title","Value":"t"}]' in whole and '"NumberOfPages":3' in whole and '"Dimensions":["100","200"]' in whole
+
+
+def test_later_stages_keep_the_pipeline(spark):
+    s = stages.parse(["A=x", "cat", "A1", "---", "B=y", "cat", "_1-2", "B", "compress", "compress", "allow", "Printing", "allow", "FillIn"])
+    assert s[1].inputs == ["_", "y"] and s[1].options["allow"] == ["Printing", "FillIn"]
+    assert stages.writer_options(s[1].options) == {"compression": "zstd"} and stages.writer_options({"linearize": True}) == {"ordered": True}
+    with pytest.raises(InvalidCommand):
+        stages.writer_options({"compress": True, "uncompress": True})
+    pages = spark.createDataFrame([(1, 1), (1, 2)], "doc_id long, page_no int")
+    ids = spark.createDataFrame([(1, 0, "a")], "doc_id long, input_idx int, id0 string")
+    out = stages.run(stages.parse(["in", "filter", "keep_first_id", "---", "filter", "user_pw", "x"]), {"in": Bundle({"pages": pages, "documents": ids})})
+    assert "output_ids" not in out.relations and out["encryption_plan"].first().method == "encrypt_aes128"
+    two = stages.run(stages.parse(["in", "filter", "---", "B=more", "cat", "B1", "_2"]), {"in": Bundle({"pages": pages}), "more": Bundle({"pages": pages})})["pages"]
+    assert two.count() == 2
+
+
 def test_attach_grammar(spark):
     pages = spark.createDataFrame([(1, 1, 0.0, 0.0, 100.0, 200.0), (1, 2, 0.0, 0.0, 100.0, 200.0)], "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double")
     out = registry.call("attach_files", Bundle({"pages": pages}), "a", "b", "to_page", "1", "c", "relation", "Data")["attached"]
@@ -165,5 +211,5 @@ def test_passwords():
 def test_empty_and_null_pages(spark):
     none = bundles.lineitem_pages(spark, SMALL).limit(0)
     b = Bundle({"pages": none})
-    for call in (("delete", "1"), ("cat", "-"), ("shuffle", "1-end"), ("rotate", "left"), ("crop", "(1)"), ("chop", "(cols 2)"), ("place", "(shift=1,1)"), ("move", "1", "after", "end"), ("insert", "2", "after", "1"), ("burst",)):
+    for call in (("delete", "1"), ("cat", "-"), ("shuffle", "1-end"), ("rotate", "left"), ("crop", "(1)"), ("chop", "cols2"), ("place", "(shift=1,1)"), ("move", "1", "after", "end"), ("insert", "2", "after", "1"), ("burst",)):
         assert registry.call(call[0], b, *call[1:])["pages"].count() == 0
