@@ -1,17 +1,21 @@
 """Operator 9: exact top-k search over binary codes by incremental multi-index hashing.
 
 A vector's code has one bit for each dimension, 1 where the number is above zero.
-Codes are cut into segments, about as wide as the number of codes has bits, and the
-index is one table: segment, value, code. Radius by radius the open queries are
-joined with it on the values at just that radius of their segments, and the full
-distance of what they meet is verified. A pair that meets in several segments or
-rounds counts where it meets first, which the two codes alone tell. Once m segments
-have been searched to radius r, every code within m * (r + 1) - 1 has been found; a
-query is done when its kth verified distance is no more than that.
+Codes are cut into segments, about as wide as the number of codes has bits. The index
+is one table: segment, the value's first bits (its group), code. Radius by radius, an
+open query goes to the groups whose bits differ from its own in no more places than
+the radius; there a table of the other bits, made for the group's codes, is looked up
+at just what is left of the radius, and the full distance of what is found is verified.
+A pair that meets in several segments or rounds counts where it meets first, which the
+two codes alone tell. Once m segments have been searched to radius r, every code within
+m * (r + 1) - 1 has been found; a query is done when its kth verified distance is no
+more than that.
 
 Distinct codes are searched, each with its k least ids, which is all that can be
-among a query's k nearest; equal queries are searched once. What is shuffled is the
-index and the probes of a round; values that many codes have are dealt out in blocks.
+among a query's k nearest; equal queries are searched once. What is shuffled in a round
+is the index, an entry for each segment of a code, and the open queries' visits; groups
+that many codes have are dealt out in blocks. No code meets a query that it isn't a
+candidate of.
 
 Cases: a null vector has no code: it isn't indexed, and as a query has no result;
 null or NaN numbers and missing dimensions count as 0; a vector of more dimensions
@@ -24,22 +28,22 @@ an empty table.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import clean, cut
 
 BITS = 64
-#: Segments are no narrower than the one and, as there are LEAST_SEGMENTS, no wider than 16 bits, so the masks of a radius are few.
+#: Segments are no narrower than the one and, as there are LEAST_SEGMENTS, no wider than 16 bits.
 LEAST_WIDTH = 8
 LEAST_SEGMENTS = 4
-#: Codes of one segment value that are met together; more are dealt out in blocks.
-BLOCK = 1 << 12
-#: Values with several blocks that are broadcast; more are joined by shuffling.
-MAX_BROADCAST = 1_000_000
+#: Codes of a group, about, and at most of one of its blocks; a segment has at least 2 ** LEAST_PREFIX groups.
+BLOCK = 1 << 16
+LEAST_PREFIX = 3
 
 
 def code_of(vector: Column) -> Column:
@@ -57,69 +61,88 @@ def segments(codes: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
-def _value(code: Column, lo: int, width: int) -> Column:
-    return F.shiftrightunsigned(code, lo).bitwiseAND(F.lit((1 << width) - 1))
+def prefix_bits(codes: int) -> int:
+    """How many bits of a segment's value name its group."""
+    return min(max(LEAST_PREFIX, math.ceil(math.log2(max(codes / BLOCK, 1)))), LEAST_WIDTH)
 
 
-def _by_segment(rows: DataFrame, code: str, cuts: list[tuple[int, int]]) -> DataFrame:
-    """rows (a column code) once for each segment, with seg and value."""
-    parts = F.array(*(F.struct(F.lit(s).alias("seg"), _value(F.col(code), lo, w).alias("value")) for s, (lo, w) in enumerate(cuts)))
-    return rows.select(code, F.inline(parts))
+def masks(width: int, radius: int) -> np.ndarray:
+    """All numbers of that width with so many bits."""
+    return np.array([sum(1 << b for b in c) for c in combinations(range(width), radius)], np.int64)
 
 
-def _masks(spark, cuts: list[tuple[int, int]]) -> Iterator[DataFrame]:
-    """For radius 0, 1, 2, ...: seg and every mask of so many bits in that segment's width."""
-    start = F.array(*(F.struct(F.lit(s).alias("seg"), F.lit(w).alias("width"), F.lit(0).alias("next"), F.lit(0).cast("long").alias("mask")) for s, (_, w) in enumerate(cuts)))
-    now = spark.range(1).select(F.inline(start))
-    while True:
-        yield now.select("seg", "mask")
-        bit = F.explode(F.sequence(F.col("next"), F.col("width") - 1))
-        now = now.filter("next < width").select("seg", "width", "mask", bit.alias("bit"))
-        now = now.select("seg", "width", (F.col("bit") + 1).alias("next"), F.col("mask").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("mask"))
+def _in_groups(rows: DataFrame, code: str, cuts: list[tuple[int, int]], prefix: int, radius: int | None) -> DataFrame:
+    """rows once for each segment, with seg, group and, for a radius, every group that is no farther: left is what remains of it."""
+    made = []
+    for s, (lo, w) in enumerate(cuts):
+        own = F.shiftrightunsigned(F.col(code), lo + w - prefix).bitwiseAND(F.lit((1 << prefix) - 1)).cast("int")
+        near = [(0, 0)] if radius is None else [(int(x), radius - j) for j in range(min(radius, prefix) + 1) if radius - j <= w - prefix for x in masks(prefix, j)]
+        made += [F.struct(F.lit(s).alias("seg"), own.bitwiseXOR(F.lit(x)).alias("group"), F.lit(left).alias("left")) for x, left in near]
+    return rows.select("*", F.inline(F.array(*made)))
 
 
-def _index(codes: DataFrame, cuts: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame | None]:
-    """seg, value, block and code: written; and seg, value, blocks of the values that have several."""
-    entries = _by_segment(codes, "code", cuts)
-    sizes = entries.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
-    large = cut(sizes.select("seg", "value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    n = large.count()
-    if not n:
-        return cut(entries.select("seg", "value", F.lit(0).alias("block"), "code")), None
-    large = F.broadcast(large) if n <= MAX_BROADCAST else large
-    dealt = entries.join(large, ["seg", "value"], "left").withColumn("block", F.pmod(F.xxhash64("code"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    return cut(dealt.select("seg", "value", "block", "code")), large
+def _index(codes: DataFrame, cuts: list[tuple[int, int]], prefix: int) -> tuple[DataFrame, DataFrame]:
+    """seg, group, block and code: written; and seg, group, blocks, at most a row for each group: bounded."""
+    entries = _in_groups(codes, "code", cuts, prefix, None).drop("left")
+    sizes = cut(entries.groupBy("seg", "group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    dealt = entries.join(F.broadcast(sizes), ["seg", "group"])
+    return cut(dealt.select("seg", "group", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int").alias("block"), "code")), sizes
 
 
-def _met(open_: DataFrame, masks: DataFrame, radius: int, index: DataFrame, large: DataFrame | None, cuts: list[tuple[int, int]]) -> DataFrame:
+def _met(open_: DataFrame, radius: int, index: DataFrame, sizes: DataFrame, cuts: list[tuple[int, int]], prefix: int, k: int) -> DataFrame:
     """query, code and distance of what open queries (query, far: only up to this distance) meet first at this radius."""
-    probes = _by_segment(open_.select("query"), "query", cuts).join(F.broadcast(masks), "seg")
-    probes = probes.select("query", "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-    if large is None:
-        probes = probes.withColumn("block", F.lit(0))
-    else:
-        every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-        probes = probes.join(large, ["seg", "value"], "left").select("query", "seg", "value", every.alias("block"))
-    # the index grows with the data and is never broadcast
-    pairs = probes.join(index.hint("merge"), ["seg", "value", "block"]).withColumn("x", F.col("query").bitwiseXOR(F.col("code")))
-    apart = F.array(*(F.bit_count(_value(F.col("x"), lo, w)) for lo, w in cuts))
-    first = (F.array_min(apart) == radius) & (F.array_position(apart, F.lit(radius)) == F.col("seg") + 1)
-    return pairs.filter(first).select("query", "code", F.bit_count("x").alias("distance"))
+    visits = _in_groups(open_, "query", cuts, prefix, radius).join(F.broadcast(sizes), ["seg", "group"])
+    visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    def search(key, ours, theirs):
+        import pyarrow as pa
+
+        seg, group, _ = (k.as_py() for k in key)
+        lo, width = cuts[seg]
+        rest = width - prefix
+        codes = np.sort(theirs.column("code").to_numpy().astype(np.int64)).view(np.uint64)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        if len(codes) and len(ours):
+            value = ((codes >> np.uint64(lo)) & np.uint64((1 << rest) - 1)).astype(np.int64)
+            order = np.argsort(value, kind="stable")
+            start = np.searchsorted(value[order], np.arange((1 << rest) + 1))
+            probe = {}
+            for query, far, left in zip(ours.column("query").to_pylist(), ours.column("far").to_pylist(), ours.column("left").to_pylist(), strict=True):
+                if left not in probe:
+                    probe[left] = masks(rest, left)
+                at = (query >> lo & ((1 << rest) - 1)) ^ probe[left]
+                a, n = start[at], start[at + 1] - start[at]
+                total = int(n.sum())
+                if not total:
+                    continue
+                near = codes[order[np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)]]
+                x = near ^ np.uint64(query & (1 << 64) - 1)
+                d = np.bitwise_count(x).astype(np.int64)
+                fits = d <= (BITS if far is None else far)
+                for s, (b, w) in enumerate(cuts):
+                    apart = np.bitwise_count((x >> np.uint64(b)) & np.uint64((1 << w) - 1))
+                    fits &= apart > radius if s < seg else apart >= radius
+                near, d = near[fits], d[fits]
+                if len(d) > k:  # of this block no more than the kth nearest, and ties
+                    near, d = near[d <= np.partition(d, k - 1)[k - 1]], d[d <= np.partition(d, k - 1)[k - 1]]
+                found.append((np.full(len(d), query, np.int64), near.view(np.int64), d.astype(np.int32)))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query", "code", "distance"])
+
+    return visits.groupBy("seg", "group", "block").cogroup(index.groupBy("seg", "group", "block")).applyInArrow(search, "query long, code long, distance int")
 
 
 def nearest_codes(codes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """query, code, distance: of the distinct codes those no farther than the kth nearest of each distinct query."""
     n = codes.count()
-    cuts = segments(n)
-    index, large = _index(codes, cuts)
+    cuts, prefix = segments(n), prefix_bits(n)
+    index, sizes = _index(codes, cuts, prefix)
     of_query = Window.partitionBy("query")
     none = F.lit(None)
     open_, held, done = wanted.select("query", none.cast("int").alias("far")), None, []
-    for radius, masks in enumerate(_masks(codes.sparkSession, cuts)):
-        found = _met(open_, masks, radius, index, large, cuts)
+    for radius in range(max(w for _, w in cuts) + 1):
+        found = _met(open_, radius, index, sizes, cuts, prefix, k)
         if held is not None:
-            # what is farther than the kth so far can't be among the first k
-            found = found.join(open_, "query").filter(F.col("distance") <= F.coalesce("far", F.lit(BITS))).drop("far").unionByName(held)
+            found = found.unionByName(held)
         # a row without a code stands for each open query
         found = found.unionByName(open_.select("query", none.cast("long").alias("code"), none.cast("int").alias("distance")))
         found = found.withColumn("i", F.rank().over(of_query.orderBy(F.col("distance").asc_nulls_last()))).filter((F.col("i") <= k) | F.col("code").isNull()).drop("i")
@@ -132,8 +155,9 @@ def nearest_codes(codes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         held = left.filter("code is not null").select("query", "code", "distance")
         open_ = left.filter("code is null").select("query", F.when(F.col("n") >= k, F.col("far")).alias("far"))
         if open_.isEmpty():
-            clean(index)
-            return reduce(DataFrame.unionByName, done)
+            break
+    clean(index, sizes)
+    return reduce(DataFrame.unionByName, done)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -58,13 +58,13 @@ def test_search_ends_early(spark, monkeypatch):
     asked = [int(codes[7]) ^ 5, int(codes[9_000]) ^ 3]
     seen, met = [], hamming_search._met
 
-    def watched(open_, masks, radius, *more):
-        found = met(open_, masks, radius, *more)
+    def watched(open_, radius, *more):
+        found = met(open_, radius, *more)
         seen.append((radius, found.count()))
         return found
 
     monkeypatch.setattr(hamming_search, "_met", watched)
-    for block in (1 << 12, 100):
+    for block in (1 << 16, 100):
         monkeypatch.setattr(hamming_search, "BLOCK", block)
         got = hamming_search.nearest_codes(df, spark.createDataFrame([(q,) for q in asked], "query long"), 1).collect()
         for q in asked:
