@@ -50,7 +50,8 @@ STAGES = [
     ("bpe", token_ids),
 ]
 
-#: Learned rules, scores and near duplicates have no SQL; the tests hold every stage against brute force.
+#: Learned rules, scores and near duplicates have no SQL. The tests hold the near-duplicate stage against brute force, and the
+#: statistics, the mixture and the ids of the others in the tests of their operators.
 ORACLE_SQL = None
 
 
