@@ -20,6 +20,9 @@ from ..pagespec import PageSpec, any_match, fold, parse
 #: Ranges of documents that burst sums up apart.
 RANGES = 256
 
+#: What a selection says of its pages; a further selection says it anew.
+LINEAGE = ("src_page", "instance_num", "angle", "is_relative", "scale")
+
 
 def with_total(pages: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
     """pages and n_pages, the number of pages of the document."""
@@ -76,6 +79,7 @@ def _select(pages: DataFrame, specs: Sequence[PageSpec], by: Sequence[str], inte
     place among a spec's pages is its number, counted up or down. So no plan is joined
     back: rows are exploded where they are, and all windows are by the set.
     """
+    pages = pages.drop(*LINEAGE)
     keys = _keys(pages, by)
     if list(by) != keys:
         pages = pages.repartition(*by)  # the documents of a set together, for the windows of both

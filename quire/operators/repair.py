@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
@@ -117,8 +117,8 @@ def first_widgets(widgets: DataFrame, key: str = "fq_name", order: Sequence[str]
     return widgets.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", key).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
-def kept_bookmarks(outlines: DataFrame) -> DataFrame:
-    """outlines (doc_id, seq, level, page_no) without those that lead nowhere, unless one below them leads somewhere: one fold per document, from the end."""
+def kept_bookmarks(outlines: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """outlines (doc_id, seq, level, page_no) without those that lead nowhere, unless one below them leads somewhere: one fold per document (by), from the end."""
     rows = F.reverse(F.sort_array(F.collect_list(F.struct("seq", "level", F.col("page_no").isNotNull().alias("leads")))))
     start = F.struct(F.lit(0).alias("under"), F.array().cast("array<bigint>").alias("kept"))
 
@@ -128,8 +128,8 @@ def kept_bookmarks(outlines: DataFrame) -> DataFrame:
         under = F.when(keep, b["level"].cast("int")).otherwise(acc["under"])
         return F.struct(under.alias("under"), F.when(keep, F.array_append(acc["kept"], b["seq"].cast("bigint"))).otherwise(acc["kept"]).alias("kept"))
 
-    kept = outlines.groupBy("doc_id").agg(F.aggregate(rows, start, step, lambda acc: acc["kept"]).alias("kept"))
-    return outlines.join(kept.select("doc_id", F.explode("kept").alias("seq")), ["doc_id", "seq"], "left_semi")
+    kept = outlines.groupBy(*by).agg(F.aggregate(rows, start, step, lambda acc: acc["kept"]).alias("kept"))
+    return outlines.join(kept.select(*by, F.explode("kept").alias("seq")), [*by, "seq"], "left_semi")
 
 
 def turned(frame: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -160,47 +160,83 @@ def dispatch(annots: DataFrame) -> DataFrame:
 def follow(relations: Mapping[str, DataFrame], chosen: DataFrame, new_document: bool) -> dict[str, DataFrame]:
     """The relations that refer to pages, after these have moved.
 
-    chosen: doc_id, src_page, out_page, instance_num. annots go with every copy of their
-    page; a target_page leads to the copy of the same instance, or is null and broken. In
-    a new document (a selection) destinations and bookmarks whose page is gone go, names
-    of destinations and fields tell copies apart, and labels of pages aren't taken over;
-    in place, destinations and bookmarks stay and lose their page.
+    chosen: doc_id, src_page, out_page, instance_num, and for sets of several inputs
+    input_idx and out_doc, the document that pages have come to; relations then have
+    input_idx, too. annots go with every copy of their page; a target_page leads to the
+    copy of the same instance, or is null and broken. In a new document (a selection)
+    destinations whose page is gone go, every copy of an input's pages has the bookmarks
+    that lead to it, names of destinations and fields tell copies and inputs apart, and
+    labels of pages aren't taken over; in place, destinations and bookmarks stay and lose
+    their page.
     """
     out = dict(relations)
+    source = ["doc_id", *(c for c in ("input_idx",) if c in chosen.columns)]
+    if "out_doc" not in chosen.columns:
+        chosen = chosen.withColumn("out_doc", F.col("doc_id"))
+    chosen = chosen.withColumn("_mark", _name_mark("input_idx" in source) if new_document else F.lit(""))
+    at = chosen.select(*source, F.col("src_page").alias("page_no"), "out_page", "out_doc", "instance_num", "_mark")
+
+    def placed(moved: DataFrame, names: Sequence[str]) -> DataFrame:
+        return moved.select(F.col("out_doc").alias("doc_id"), F.col("out_page").alias("page_no"), *(c for c in names if c not in ("doc_id", "page_no", "input_idx")))
+
     if "annots" in out:
         own = out["annots"]
-        names = own.columns
-        at = chosen.select("doc_id", F.col("src_page").alias("page_no"), "out_page", "instance_num")
-        moved = own.join(at, ["doc_id", "page_no"])
+        names = list(own.columns)
+        moved = own.join(at, [*source, "page_no"])
         if "target_page" in names:
-            to = chosen.select("doc_id", F.col("src_page").alias("target_page"), "instance_num", F.col("out_page").alias("_target"))
-            moved = moved.join(to, ["doc_id", "target_page", "instance_num"], "left").withColumn("broken", F.col("target_page").isNotNull() & F.col("_target").isNull()).withColumn("target_page", F.col("_target"))
-        if new_document and "action_dest" in names:
-            several = chosen.groupBy("doc_id").agg((F.max("instance_num") > 0).alias("_repeats"))
-            moved = moved.join(several, "doc_id").withColumn("action_dest", F.when(F.col("_repeats") & F.col("action_dest").isNotNull(), F.concat_ws("-", F.col("instance_num").cast("string"), "action_dest")).otherwise(F.col("action_dest")))
-        kept = [c for c in names if c != "page_no"] + (["broken"] if "target_page" in names and "broken" not in names else [])
-        out["annots"] = moved.select("doc_id", F.col("out_page").alias("page_no"), *(c for c in kept if c != "doc_id"))
+            to = chosen.select(*source, "out_doc", F.col("src_page").alias("target_page"), "instance_num", F.col("out_page").alias("_target"))
+            moved = moved.join(to, [*source, "out_doc", "target_page", "instance_num"], "left").withColumn("broken", F.col("target_page").isNotNull() & F.col("_target").isNull()).withColumn("target_page", F.col("_target"))
+            names += [] if "broken" in names else ["broken"]
+        if "action_dest" in names:
+            moved = moved.withColumn("action_dest", F.concat("_mark", "action_dest"))
+        out["annots"] = placed(moved, names)
     if "dests" in out:
         own = out["dests"]
         if new_document:
-            moved = turned(rename_dests(own, chosen), chosen)
-            out["dests"] = moved.withColumn("page_no", F.col("out_page")).withColumn("name", F.col("new_name")).select(*own.columns)
+            moved = own.join(at, [*source, "page_no"]).withColumn("name", F.concat("_mark", "name")).withColumn("doc_id", F.col("out_doc"))
+            out["dests"] = placed(turned(moved, chosen.withColumn("doc_id", F.col("out_doc"))), own.columns).select(*(c for c in own.columns if c != "input_idx"))
         else:
             out["dests"] = _at_first(own, chosen)
     if "outlines" in out:
-        moved = _at_first(out["outlines"], chosen)
-        out["outlines"] = kept_bookmarks(moved) if new_document else moved
+        out["outlines"] = copied_bookmarks(out["outlines"], chosen, source) if new_document else _at_first(out["outlines"], chosen)
     if "fields" in out and "page_no" in out["fields"].columns:
         own = out["fields"]
-        at = chosen.select("doc_id", F.col("src_page").alias("page_no"), "out_page", "instance_num")
-        moved = own.join(at, ["doc_id", "page_no"])
+        moved = own.join(at, [*source, "page_no"])
         moved = rename_fields(moved) if new_document else moved
-        out["fields"] = moved.withColumn("page_no", F.col("out_page")).select(*own.columns)
+        out["fields"] = placed(moved, own.columns).select(*(c for c in own.columns if c != "input_idx"))
     if new_document:
         out.pop("page_labels", None)
     return out
 
 
+def _name_mark(inputs: bool) -> Column:
+    """What comes before the names of destinations: the input's index and the copy's where a document has several inputs, else the copy's if pages repeat."""
+    by = Window.partitionBy("out_doc")
+    copy = F.concat(F.col("instance_num").cast("string"), F.lit("-"))
+    mark = F.when(F.max("instance_num").over(by) > 0, copy).otherwise(F.lit(""))
+    if not inputs:
+        return mark
+    several = F.min("input_idx").over(by) != F.max("input_idx").over(by)
+    return F.when(several, F.concat(F.col("input_idx").cast("string"), F.lit("-"), copy)).otherwise(mark)
+
+
+def copied_bookmarks(outlines: DataFrame, chosen: DataFrame, source: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The bookmarks of a new document: for each input and each copy of its pages those that lead there, and their parents.
+
+    Copies come in order of their first page; seq of the first copy is as it was, those of
+    later ones go on beyond the greatest seq of the document's inputs.
+    """
+    names = [c for c in outlines.columns if c != "input_idx"]
+    group = ["out_doc", *source, "instance_num"]
+    copies = chosen.groupBy(*group).agg(F.min("out_page").alias("_first"))
+    copies = copies.withColumn("_rank", F.row_number().over(Window.partitionBy("out_doc").orderBy("_first")) - 1)
+    at = chosen.select(*group, F.col("src_page").alias("page_no"), "out_page")
+    rows = outlines.join(copies, list(source)).join(at, [*group, "page_no"], "left").withColumn("page_no", F.col("out_page"))
+    seq = F.col("seq") + F.col("_rank") * (F.max("seq").over(Window.partitionBy("out_doc")) + 1)
+    rows = rows.withColumn("_seq", seq.cast(outlines.schema["seq"].dataType))
+    return kept_bookmarks(rows, group).withColumn("doc_id", F.col("out_doc")).withColumn("seq", F.col("_seq")).select(*names)
+
+
 def _at_first(frame: DataFrame, chosen: DataFrame) -> DataFrame:
     """frame with page_no of the page's first copy; null where there is none."""
     first = chosen.filter("instance_num = 0").select("doc_id", F.col("src_page").alias("page_no"), "out_page")

@@ -12,10 +12,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DuplicateArgument, InvalidCommand, MissingArgument
-from ..registry import OPERATIONS, Bundle, call
+from ..registry import FOLLOWING, OPERATIONS, Bundle, call
 from ..sources.bundles import file_arguments
 
 #: Operations whose words name inputs, and options that count in the last stage only.
@@ -209,7 +210,7 @@ def run(stages: Sequence[Stage], inputs: Mapping[str, Bundle], sink=None) -> Bun
             logging.getLogger("quire").info("%s %s", s.operation, s.args)
         if len(given) > 1 and s.operation in ("cat", "shuffle"):
             bundle, marks = merge(given, s)
-            now = call(s.operation, bundle, *args, handles=marks)
+            now = one_document(call(s.operation, bundle, *args, handles=marks))
         elif s.operation == "filter":
             now = bundle
         else:
@@ -230,9 +231,18 @@ def merge(given: Sequence[Bundle], stage: Stage) -> tuple[Bundle, dict[str, str]
         if n not in marks.values():
             marks["_" if n == "_" else next(free)] = n
     of = {n: h for h, n in marks.items()}
-    out = None
-    for name, b in zip(stage.inputs, given, strict=True):
-        rows = b["pages"]
-        rows = (rows if "set_id" in rows.columns else rows.withColumn("set_id", F.col("doc_id"))).withColumn("handle", F.lit(of[name]))
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return Bundle({**given[0].relations, "pages": out}), marks
+    frames: dict[str, DataFrame] = {}
+    for i, (name, b) in enumerate(zip(stage.inputs, given, strict=True)):
+        rows = b["pages"].drop("handle", "input_idx")
+        rows = (rows if "set_id" in rows.columns else rows.withColumn("set_id", F.col("doc_id"))).withColumn("handle", F.lit(of[name])).withColumn("input_idx", F.lit(i))
+        own = {"pages": rows} | {k: b[k].drop("input_idx").withColumn("input_idx", F.lit(i)) for k in FOLLOWING if k in b.relations}
+        for k, f in own.items():
+            frames[k] = frames[k].unionByName(f, allowMissingColumns=True) if k in frames else f
+    return Bundle({**given[0].relations, **frames}), marks
+
+
+def one_document(bundle: Bundle) -> Bundle:
+    """What a command over several inputs has made as documents of their own: doc_id is the set's, src_doc and src_handle say where a page comes from."""
+    rows = bundle["pages"].drop("src_doc", "src_handle", "input_idx").withColumnRenamed("handle", "src_handle")
+    frames = {k: f.drop("input_idx") if k in FOLLOWING else f for k, f in bundle.relations.items()}
+    return Bundle({**frames, "pages": rows.withColumnRenamed("doc_id", "src_doc").withColumnRenamed("set_id", "doc_id")}, bundle.report)

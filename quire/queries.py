@@ -422,7 +422,7 @@ def link_broken_report(spark, d):
 
 
 def _followed(spark, d, *words: str) -> Bundle:
-    """A command over documents whose every page has a link to the next page, a destination, a bookmark and a field."""
+    """A command over documents whose every page has a link to the next page, a destination, a bookmark and a field; inputs: in and again."""
     rows = pages.with_total(conversation_pages(spark, d))
     name = lambda x: F.concat(F.lit(x), F.col("page_no").cast("string"))
     bundle = Bundle({
@@ -432,7 +432,7 @@ def _followed(spark, d, *words: str) -> Bundle:
         "outlines": rows.select("doc_id", F.col("page_no").alias("seq"), (2 - F.col("page_no") % 2).alias("level"), "page_no"),
         "fields": rows.select("doc_id", name("f").alias("fq_name"), "page_no"),
     })
-    return stages.run(stages.parse(["in", *words]), {"in": bundle})
+    return stages.run(stages.parse(words), {"in": bundle, "again": bundle})
 
 
 def _referring(out: Bundle) -> DataFrame:
@@ -450,10 +450,21 @@ def _referring(out: Bundle) -> DataFrame:
     SELECT a.doc_id, 'link' AS kind, a.out_page AS page_no, coalesce(CAST(b.out_page AS VARCHAR), 'broken') AS value FROM o a LEFT JOIN o b ON b.doc_id = a.doc_id AND b.i = a.i AND b.src = CASE WHEN a.src < a.n THEN a.src + 1 ELSE 1 END
     UNION ALL SELECT doc_id, 'dest', out_page, i || '-d' || src FROM o
     UNION ALL SELECT doc_id, 'mark', out_page, CAST(src AS VARCHAR) FROM o WHERE i = 0
+    UNION ALL SELECT doc_id, 'mark', out_page, CAST(src + n + 1 AS VARCHAR) FROM o WHERE i = 1
     UNION ALL SELECT c.doc_id, 'mark', NULL, CAST(c.page_no AS VARCHAR) FROM c WHERE page_no % 2 = 1 AND page_no <> n
+    UNION ALL SELECT c.doc_id, 'mark', NULL, CAST(n - 1 + n + 1 AS VARCHAR) FROM c WHERE page_no = n AND n % 2 = 0
     UNION ALL SELECT doc_id, 'field', out_page, 'f' || src || CASE WHEN i > 0 THEN '_' || i ELSE '' END FROM o""")
 def repair_after_cat(spark, d):
-    return _referring(_followed(spark, d, "cat", "1-endeven~end", "end", "end"))
+    return _referring(_followed(spark, d, "in", "cat", "1-endeven~end", "end", "end"))
+
+
+@query(f"""WITH {C}, o AS (SELECT doc_id, page_no AS src, page_no AS out_page, n, 1 AS i FROM c UNION ALL SELECT doc_id, 1, n + 1, n, 0 FROM c WHERE page_no = 1)
+    SELECT a.doc_id, 'link' AS kind, a.out_page AS page_no, coalesce(CAST(b.out_page AS VARCHAR), 'broken') AS value FROM o a LEFT JOIN o b ON b.doc_id = a.doc_id AND b.i = a.i AND b.src = CASE WHEN a.src < a.n THEN a.src + 1 ELSE 1 END
+    UNION ALL SELECT doc_id, 'dest', out_page, i || '-0-d' || src FROM o
+    UNION ALL SELECT doc_id, 'mark', out_page, CAST(CASE WHEN i = 1 THEN src ELSE src + n + 1 END AS VARCHAR) FROM o
+    UNION ALL SELECT doc_id, 'field', out_page, 'f' || src FROM o""")
+def repair_after_cat_two(spark, d):
+    return _referring(_followed(spark, d, "A=in", "B=again", "cat", "B", "A1"))
 
 
 @query(f"""WITH {C}, o AS (SELECT doc_id, page_no AS src, n, {_RN.format('page_no')} AS out_page FROM c WHERE page_no <> 2)
@@ -462,7 +473,7 @@ def repair_after_cat(spark, d):
     UNION ALL SELECT c.doc_id, 'mark', out_page, CAST(page_no AS VARCHAR) FROM c LEFT JOIN o ON o.doc_id = c.doc_id AND src = page_no
     UNION ALL SELECT doc_id, 'field', out_page, 'f' || src FROM o""")
 def repair_after_delete(spark, d):
-    return _referring(_followed(spark, d, "delete", "2"))
+    return _referring(_followed(spark, d, "in", "delete", "2"))
 
 
 @query("SELECT p_name AS name, last_value(p_partkey) OVER (PARTITION BY p_name ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS page_no FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey DESC) = 1")

@@ -83,15 +83,21 @@ def _replace(bundle: Bundle, *specs: str) -> Bundle:
     return bundle.with_(pages=own)
 
 
+#: Relations that refer to pages.
+FOLLOWING = ("annots", "dests", "outlines", "fields", "page_labels")
+
+
 def _moved(bundle: Bundle, change: Callable[[DataFrame], DataFrame], new_document: bool = False) -> Bundle:
-    """Pages changed, and what refers to them brought after. Sets of several inputs change pages only."""
+    """Pages changed, and what refers to them brought after; pages of sets, by the input that they come from."""
     own = bundle["pages"]
-    others = {k: f for k, f in bundle.relations.items() if k in ("annots", "dests", "outlines", "fields", "page_labels")}
-    if "set_id" in own.columns or not others:
+    others = {k: f for k, f in bundle.relations.items() if k in FOLLOWING}
+    sets = "set_id" in own.columns
+    if not others or (sets and not (new_document and "input_idx" in own.columns)):
         return bundle.with_(pages=change(own))
     out = change(own.withColumn("_src", F.col("page_no")))
-    copies = F.col("instance_num") if "instance_num" in out.columns else F.lit(0)
-    more = [c for c in ("angle", "scale", "width", "height") if c in out.columns]
+    more = [c for c in ("angle", "scale", "width", "height") if c in out.columns] if new_document else []
+    more += [F.col("set_id").alias("out_doc"), "input_idx"] if sets else []
+    copies = F.col("instance_num") if new_document else F.lit(0)
     chosen = out.filter("_src is not null").select("doc_id", F.col("_src").alias("src_page"), F.col("page_no").alias("out_page"), copies.alias("instance_num"), *more)
     frames = {k: f for k, f in bundle.relations.items() if k not in others} | repair.follow(others, chosen, new_document)
     return replace(bundle, relations={**frames, "pages": out.drop("_src")})

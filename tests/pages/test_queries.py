@@ -161,6 +161,29 @@ def test_later_stages_keep_the_pipeline(spark):
     assert two.count() == 2
 
 
+def test_several_inputs_are_followed(spark):
+    """What refers to pages follows the pages of every input; what comes out is a document that further stages select from."""
+
+    def made(name, n):
+        rows = spark.createDataFrame([(1, i, f"{name}{i}") for i in range(1, n + 1)], "doc_id long, page_no int, content string")
+        annots = rows.select("doc_id", "page_no", F.lit(0).alias("annot_idx"), (F.col("page_no") % n + 1).alias("target_page"), F.concat(F.lit("d"), "page_no").alias("action_dest"))
+        return Bundle({"pages": rows, "annots": annots, "dests": rows.select("doc_id", F.concat(F.lit("d"), "page_no").alias("name"), "page_no"), "outlines": rows.select("doc_id", F.col("page_no").alias("seq"), F.lit(1).alias("level"), "page_no", F.col("content").alias("title"))})
+
+    inputs = {"a": made("a", 2), "b": made("b", 3)}
+    run = lambda *words: stages.run(stages.parse(words), inputs)
+    out = run("A=a", "B=b", "cat", "B2-3", "A", "A2")
+    assert [(r.doc_id, r.page_no, r.content, r.src_handle) for r in out["pages"].orderBy("page_no").collect()] == [(1, 1, "b2", "B"), (1, 2, "b3", "B"), (1, 3, "a1", "A"), (1, 4, "a2", "A"), (1, 5, "a2", "A")]
+    assert {(r.page_no, r.target_page, r.broken, r.action_dest) for r in out["annots"].collect()} == {(1, 2, False, "1-0-d2"), (2, None, True, "1-0-d3"), (3, 4, False, "0-0-d1"), (4, 3, False, "0-0-d2"), (5, None, True, "0-1-d2")}
+    assert {(r.name, r.page_no) for r in out["dests"].collect()} == {("1-0-d2", 1), ("1-0-d3", 2), ("0-0-d1", 3), ("0-0-d2", 4), ("0-1-d2", 5)}
+    assert [(r.title, r.page_no) for r in out["outlines"].orderBy("seq").collect()] == [("b2", 1), ("b3", 2), ("a1", 3), ("a2", 4), ("a2", 5)]
+    again = run("A=a", "B=b", "cat", "B2-3", "A", "---", "cat", "end-2", "---", "delete", "1")
+    assert [(r.page_no, r.content) for r in again["pages"].orderBy("page_no").collect()] == [(1, "a1"), (2, "b3")]
+    assert {(r.name, r.page_no) for r in again["dests"].collect()} == {("1-0-d3", 2), ("0-0-d1", 1), ("0-0-d2", None)}
+    more = run("A=a", "B=b", "cat", "A1", "B1", "---", "C=b", "shuffle", "_", "C1-2")
+    assert [r.content for r in more["pages"].orderBy("page_no").collect()] == ["a1", "b1", "b1", "b2"]
+    assert {(r.title, r.page_no) for r in more["outlines"].collect()} == {("a1", 1), ("b1", 3), ("b1", 2), ("b2", 4)}
+
+
 def test_attach_grammar(spark):
     pages = spark.createDataFrame([(1, 1, 0.0, 0.0, 100.0, 200.0), (1, 2, 0.0, 0.0, 100.0, 200.0)], "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double")
     out = registry.call("attach_files", Bundle({"pages": pages}), "a", "b", "to_page", "1", "c", "relation", "Data")["attached"]
