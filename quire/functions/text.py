@@ -101,7 +101,8 @@ def split_escaped(text: str, mark: str) -> list[str]:
 
 
 def fix_mojibake(df, column: str):
-    """Bytes as text: UTF-8 where they are that, else Windows-1252, else Latin-1 (an Arrow step)."""
+    """Bytes as text: UTF-8 where they are that, else Windows-1252, else Latin-1; a text whose characters are such bytes is read
+    again as UTF-8, where that is possible, and stays as it is elsewhere (an Arrow step)."""
     schema = df.drop(column).schema.add(column, "string")
     names = df.columns
 
@@ -109,8 +110,6 @@ def fix_mojibake(df, column: str):
         import pyarrow as pa
 
         def read(b):
-            if b is None:
-                return None
             for name in ("utf-8", "cp1252"):
                 try:
                     return bytes(b).decode(name)
@@ -118,10 +117,21 @@ def fix_mojibake(df, column: str):
                     continue
             return bytes(b).decode("latin-1")
 
+        def again(text):
+            for name in ("cp1252", "latin-1"):
+                try:
+                    return text.encode(name).decode("utf-8")
+                except UnicodeError:
+                    continue
+            return text
+
+        def fixed(value):
+            return None if value is None else again(value) if isinstance(value, str) else read(value)
+
         at = names.index(column)
         for batch in batches:
-            fixed = pa.array(map(read, batch.column(at).to_pylist()), pa.string())
+            done = pa.array(map(fixed, batch.column(at).to_pylist()), pa.string())
             others = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*others, fixed], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*others, done], names=schema.names)
 
     return df.mapInArrow(run, schema)

@@ -208,9 +208,9 @@ def dump_files(attachments: DataFrame, data: str = "data") -> DataFrame:
     return attachments.select("doc_id", "name", F.octet_length(F.coalesce(F.col(data).cast("binary"), F.lit("").cast("binary"))).cast("long").alias("size"))
 
 
-def unpack_files(attachments: DataFrame, path: str, data: str = "data") -> None:
-    """Every attachment as a row of a binary dataset under path, one folder for each document."""
-    attachments.select("doc_id", "name", F.col(data).cast("binary").alias("data")).write.mode("overwrite").partitionBy("doc_id").parquet(path)
+def unpack_files(attachments: DataFrame, data: str = "data") -> DataFrame:
+    """doc_id, name and bytes of every attachment."""
+    return attachments.select("doc_id", "name", F.col(data).cast("binary").alias("data"))
 
 
 def attach_files(pages: DataFrame, files: Sequence[tuple[str, str | None, str | None]]) -> DataFrame:

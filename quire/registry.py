@@ -300,7 +300,9 @@ def _attach_files(bundle: Bundle, *args: str) -> Bundle:
 @operation("unpack_files", "unpack_files <folder>", ("attachments",))
 def _unpack_files(bundle: Bundle, path: str) -> Bundle:
     """Attachments written to a folder."""
-    relations.unpack_files(bundle["attachments"], path)
+    from .sources.bundles import bucketed
+
+    bucketed(relations.unpack_files(bundle["attachments"]), path, "doc_id", "name")
     return bundle
 
 

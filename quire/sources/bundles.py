@@ -78,9 +78,20 @@ def xfdf_values(text: DataFrame) -> DataFrame:
     return text.select("doc_id", "xfdf").mapInArrow(run, f"doc_id {kind}, seq int, fq_name string, value string")
 
 
+#: Folders that tables of many small files are dealt over.
+BUCKETS = 64
+
+
+def bucketed(frame: DataFrame, path: str, *names: str) -> None:
+    """frame as Parquet in BUCKETS folders by the hash of names, sorted by them: the number of folders doesn't grow with
+    the documents, and a reader that knows a name reads one folder. A clashing column `bucket` is replaced."""
+    rows = frame.withColumn("bucket", F.pmod(F.xxhash64(*names), F.lit(BUCKETS)).cast("int"))
+    rows.repartition(BUCKETS, "bucket", *names).sortWithinPartitions("bucket", *names).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def write_each(pages: DataFrame, path: str, name: str = "file_name") -> None:
-    """Every single-page document that burst has named in a folder of its own."""
-    pages.write.mode("overwrite").partitionBy(name).parquet(path)
+    """The single-page documents that burst has named."""
+    bucketed(pages, path, name)
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.errors import InvalidArgument
+from quire import registry
 from quire.functions import text
 from quire.functions.dimensions import PAPER, length, lengths, paper
 from quire.operators import content, geometry, info, pages, relations, repair
+from quire.registry import Bundle
 
 
 def test_paper():
@@ -61,6 +63,9 @@ def test_lengths_and_numbers(spark):
 def test_mojibake_and_nested_decoding(spark):
     df = spark.createDataFrame([(1, bytearray("é".encode())), (2, bytearray(b"\x93x")), (3, bytearray(b"\x81")), (4, None)], "i int, b binary")
     assert {r.i: r.b for r in text.fix_mojibake(df, "b").collect()} == {1: "é", 2: "“x", 3: "\x81", 4: None}
+    df = spark.createDataFrame([(1, "x"), (2, "cafÃ©"), (3, "café"), (4, "日本"), (5, None), (6, "")], "i int, b string")
+    got = {r.i: r.b for r in text.fix_mojibake(df, "b").collect()}
+    assert [got[i] for i in range(1, 7)] == ["x", "café", "café", "日本", None, ""]
     df = spark.createDataFrame([("&lt;", ["&gt;"], {"k": "&amp;"}, 1)], "a string, b array<string>, c map<string,string>, d int")
     assert tuple(text.decode_all(df).first()) == ("<", [">"], {"k": "&"}, 1)
 
@@ -169,3 +174,15 @@ def test_burst_of_text_ids(spark):
     df = spark.createDataFrame([(f"d{i:04d}", p) for i in range(700) for p in (1, 2)], "doc_id string, page_no int").repartition(3)
     got = [(r.doc_id, r.page_no, r.counter) for r in pages.burst(df).orderBy("counter").collect()]
     assert got == [(f"d{i:04d}", p, 2 * i + p) for i in range(700) for p in (1, 2)]
+
+
+def test_folders_do_not_grow_with_documents(spark, tmp_path):
+    from quire.sources import bundles
+
+    df = spark.createDataFrame([(d, 1, f"x{d}") for d in range(300)], "doc_id long, page_no int, content string")
+    bundles.write_each(pages.burst(df), f"file://{tmp_path}/each")
+    got = spark.read.parquet(f"file://{tmp_path}/each")
+    assert got.select("bucket").distinct().count() <= bundles.BUCKETS and {(r.file_name, r.content) for r in got.collect()} == {(f"pg_{d + 1:04d}.pdf", f"x{d}") for d in range(300)}
+    files = Bundle({"attachments": spark.createDataFrame([(1, "a", "x"), (2, "a", None)], "doc_id long, name string, data string")})
+    registry.call("unpack_files", files, f"file://{tmp_path}/files")
+    assert {(r.doc_id, r.name, r.data and bytes(r.data)) for r in spark.read.parquet(f"file://{tmp_path}/files").collect()} == {(1, "a", b"x"), (2, "a", None)}
