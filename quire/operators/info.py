@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import number_text, rectangle_text, xml_decode, xml_encode
+from .pages import dealt
 
 #: What a record of each stanza kind may hold, in order. Fixed names.
 SECTIONS = {"Info": ("Key", "Value"), "Bookmark": ("Title", "Level", "PageNumber"), "PageMedia": ("Number", "Rotation", "Rect", "Dimensions", "CropRect", "TrimRect", "BleedRect"), "PageLabel": ("NewIndex", "Start", "Prefix", "NumStyle")}
@@ -21,7 +22,7 @@ def docinfo_lines(docinfo: DataFrame, escape: bool = True) -> DataFrame:
     """doc_id, section, seq, line_no, line: three lines for each entry, keys sorted."""
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("key"))
     lines = F.array(F.lit("InfoBegin"), F.concat(F.lit("InfoKey: "), "key"), F.concat(F.lit("InfoValue: "), _say(F.col("value"), escape)))
-    return docinfo.filter("value is not null").withColumn("seq", seq).select("doc_id", F.lit(1).alias("section"), "seq", F.posexplode(lines).alias("line_no", "line"))
+    return dealt(docinfo.filter("value is not null"), "doc_id", times=3).withColumn("seq", seq).select("doc_id", F.lit(1).alias("section"), "seq", F.posexplode(lines).alias("line_no", "line"))
 
 
 def outline_lines(outlines: DataFrame, escape: bool = True) -> DataFrame:
@@ -129,7 +130,7 @@ def read_stanzas(lines: DataFrame, decode: bool = True) -> DataFrame:
     """
     name, value = F.regexp_extract("line", r"^([A-Za-z0-9]+):? ?(.*)$", 1), F.regexp_extract("line", r"^[A-Za-z0-9]+: ?(.*)$", 1)
     by = Window.partitionBy("doc_id").orderBy("line_no")
-    out = lines.withColumn("name", name).withColumn("value", value)
+    out = dealt(lines, "doc_id").withColumn("name", name).withColumn("value", value)
     begins = F.col("name").endswith("Begin")
     out = out.withColumn("record", F.sum(begins.cast("int")).over(by)).withColumn("kind", F.last(F.when(begins, F.regexp_replace("name", "Begin$", "")), ignorenulls=True).over(by))
     out = out.filter(~begins & (F.col("name") != ""))

@@ -20,13 +20,33 @@ from ..pagespec import PageSpec, any_match, fold, parse
 #: Ranges of documents that burst sums up apart.
 RANGES = 256
 
+#: Bytes of files behind the rows of one task, where documents are dealt over tasks.
+SHARE = 4 << 20
+
 #: What a selection says of its pages; a further selection says it anew.
 LINEAGE = ("src_page", "instance_num", "angle", "is_relative", "scale")
 
 
+def dealt(rows: DataFrame, *by: str, times: int = 1) -> DataFrame:
+    """rows dealt by key over as many tasks as the files behind them have SHAREs, so that a task's windows don't grow with the input.
+
+    Left to itself Spark merges the parts of an exchange up to so many compressed bytes, which may be millions of rows.
+    times: how many rows a row that is read becomes. Rows that have been dealt already, that no file stands behind, or
+    that are no more than a share for each core stay as they are.
+    """
+    plan = rows._jdf.queryExecution().analyzed()
+    if "RepartitionByExpression" in plan.toString():
+        return rows
+    leaves = plan.collectLeaves()
+    files = [leaves.apply(i) for i in range(leaves.size())]
+    size = sum(int(str(x.stats().sizeInBytes())) for x in files if x.getClass().getSimpleName() == "LogicalRelation")
+    n = -(-size * times // SHARE)
+    return rows.repartition(n, *by) if n > rows.sparkSession.sparkContext.defaultParallelism else rows
+
+
 def with_total(pages: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
     """pages and n_pages, the number of pages of the document."""
-    return pages if "n_pages" in pages.columns else pages.withColumn("n_pages", F.count(F.lit(1)).over(Window.partitionBy(*by)).cast("int"))
+    return pages if "n_pages" in pages.columns else dealt(pages, *by).withColumn("n_pages", F.count(F.lit(1)).over(Window.partitionBy(*by)).cast("int"))
 
 
 def renumber(pages: DataFrame, *order: Column | str, by: Sequence[str] = ("doc_id",), name: str = "page_no") -> DataFrame:

@@ -254,8 +254,10 @@ def render_sizes(spark, d):
 # ---- metadata
 
 
-def _docinfo(spark, d) -> DataFrame:
-    return info.unpivot(_read(spark, d, "orders"), "o_orderkey", ["o_orderstatus", "o_orderpriority", "o_custkey"])
+def _docinfo(spark, d, lines: bool = False) -> DataFrame:
+    """Three entries an order; for lines of a document in order, orders are dealt out before entries and lines are made of them."""
+    orders = _read(spark, d, "orders")
+    return info.unpivot(pages.dealt(orders, "o_orderkey", times=9) if lines else orders, "o_orderkey", ["o_orderstatus", "o_orderpriority", "o_custkey"])
 
 
 _DI = "di AS (SELECT o_orderkey AS doc_id, k AS key, v AS value FROM (SELECT o_orderkey, unnest(['o_orderstatus', 'o_orderpriority', 'o_custkey']) AS k, unnest([o_orderstatus, o_orderpriority, CAST(o_custkey AS VARCHAR)]) AS v FROM orders) WHERE v IS NOT NULL)"
@@ -270,7 +272,7 @@ def info_docinfo_unpivot(spark, d):
     SELECT doc_id, CAST(1 AS INTEGER) AS section, seq, CAST(k AS INTEGER) AS line_no, CASE k WHEN 0 THEN 'InfoBegin' WHEN 1 THEN 'InfoKey: ' || key ELSE 'InfoValue: ' || value END AS line FROM s, range(0, 3) r(k)
     UNION ALL SELECT l_orderkey, 3, 1, 0, 'NumberOfPages: ' || count(*) FROM lineitem GROUP BY l_orderkey""")
 def info_stanza_lines(spark, d):
-    return info.dump_data(_docinfo(spark, d), lineitem_pages(spark, d).select("doc_id", "page_no"))
+    return info.dump_data(_docinfo(spark, d, lines=True), lineitem_pages(spark, d).select("doc_id", "page_no"))
 
 
 @query(f"WITH {_DI} SELECT doc_id, '[' || string_agg('{{\"key\":' || to_json(key) || ',\"value\":' || to_json(value) || '}}', ',' ORDER BY key) || ']' AS info FROM di GROUP BY doc_id")
@@ -289,7 +291,7 @@ def info_update_upsert(spark, d):
 
 @query(f"""WITH {_DI} SELECT doc_id, key, value FROM di""")
 def info_stanza_round_trip(spark, d):
-    rows = info.docinfo_lines(_docinfo(spark, d)).withColumn("line_no", F.col("seq") * 10 + F.col("line_no"))
+    rows = info.docinfo_lines(_docinfo(spark, d, lines=True)).withColumn("line_no", F.col("seq") * 10 + F.col("line_no"))
     read = info.read_stanzas(rows.select("doc_id", "line_no", "line"))
     value = lambda f: F.max(F.when(F.col("field") == f, F.col("value")))
     return read.groupBy("doc_id", "record").agg(value("Key").alias("key"), value("Value").alias("value")).drop("record")
