@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidArgument
 from ..functions.dimensions import length, lengths, paper
 from ..pagespec import PageSpec, any_match, parse
-from .pages import renumber, with_total
+from .pages import with_total
 
 BOX = ("x0", "y0", "x1", "y1")
 MAX_PIECES = 10_000
@@ -157,14 +157,18 @@ def chop(pages: DataFrame, rules: Sequence[str]) -> DataFrame:
                 x, y = (F.col("x0") + at, F.col("y0")) if kind == "cols" else (F.col("x0"), F.col("y1") - at - size)
                 parts.append(F.struct(F.lit(i + 1).alias("piece"), x.alias("ox"), y.alias("oy"), (size if kind == "cols" else w).alias("w"), (h if kind == "cols" else size).alias("h")))
             at = at + size
-        made.append((hit, F.array(*parts)))
+        made.append((hit, F.array(*parts), F.lit(len(parts))))
     whole = F.array(F.struct(F.lit(0).alias("piece"), F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"), F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("h")))
-    out = pages.withColumn("_p", F.explode(_last_match(made, whole)))
+    # a piece's number is its place on the page after the pieces of the pages before: pages are sorted, not pieces
+    before = F.sum(_last_match([(hit, n) for hit, _, n in made], F.lit(1))).over(Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1))
+    out = pages.withColumn("_before", F.coalesce(before, F.lit(0)))
+    out = out.select("*", F.posexplode(_last_match([(hit, parts) for hit, parts, _ in made], whole)).alias("_i", "_p"))
     cut = F.col("_p.piece") > 0
     out = out.withColumn("piece", F.col("_p.piece")).withColumn("origin_x", F.col("_p.ox")).withColumn("origin_y", F.col("_p.oy"))
     out = out.withColumn("x1", F.when(cut, F.col("_p.w")).otherwise(F.col("x1"))).withColumn("y1", F.when(cut, F.col("_p.h")).otherwise(F.col("y1")))
     out = out.withColumn("x0", F.when(cut, 0.0).otherwise(F.col("x0"))).withColumn("y0", F.when(cut, 0.0).otherwise(F.col("y0")))
-    return renumber(out.drop("_p", "n_pages").withColumnRenamed("page_no", "src_page"), "src_page", "piece")
+    out = out.withColumnRenamed("page_no", "src_page").withColumn("page_no", (F.col("_before") + F.col("_i") + 1).cast("int"))
+    return out.drop("_p", "_i", "_before", "n_pages")
 
 
 Matrix = tuple[Column, Column, Column, Column, Column, Column]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
+from ..operators.pages import dealt
 from ..registry import Bundle
 
 RELATIONS = ("documents", "docinfo", "pages", "page_labels", "outlines", "dests", "annots", "fields", "layers", "layer_off", "attachments")
@@ -131,12 +132,13 @@ def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of orders as pages: width, height, rotation and a box that starts at 0."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
-    out = rows.select(
-        F.col("l_orderkey").alias("doc_id"),
-        F.row_number().over(order).alias("page_no"),
+    """Lines of orders as pages: width, height, rotation and a box that starts at 0. One exchange on doc_id serves all that is done by document."""
+    names = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
+    rows = dealt(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id"), *names), "doc_id")
+    # numbered first: what is worked out from the columns isn't shuffled, and all readers share the exchange
+    out = rows.withColumn("page_no", F.row_number().over(Window.partitionBy("doc_id").orderBy(*names))).select(
+        "doc_id",
+        "page_no",
         ((F.col("l_linenumber") % 4) * 90).cast("int").alias("rotation"),
         F.col("l_quantity").alias("width"),
         (F.col("l_extendedprice") / 100).alias("height"),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire import queries
-from quire.operators import info, pages
+from quire.operators import geometry, info, pages
 from tests.conftest import SMALL
 from tests.pages.test_queries import db, rows  # noqa: F401
 
@@ -38,3 +38,22 @@ def test_lines_of_files_dealt(spark, large, tmp_path):
     assert "REPARTITION_BY_NUM" in plan(got)
     assert sorted((r.doc_id, r.value) for r in got.collect()) == [(i, str(i)) for i in range(400)]
     assert "REPARTITION_BY_NUM" not in plan(info.read_stanzas(spark.createDataFrame([(1, 0, "InfoBegin")], "doc_id long, line_no int, line string")))
+
+
+def test_small_inputs_left_alone(spark):
+    assert "REPARTITION_BY_NUM" not in plan(queries.geo_chop_cols(spark, SMALL)) + plan(queries.info_stanza_round_trip(spark, SMALL))
+
+
+def test_pieces_are_not_sorted(spark, db, large):  # noqa: F811
+    got = queries.geo_chop_cols(spark, SMALL)
+    assert plan(got).count("Exchange hashpartitioning") == plan(got).count("REPARTITION_BY_NUM") == 1
+    assert plan(got).index("Generate") < plan(got).index("Sort [")  # upside down: pieces are made after the last sort
+    assert same(got, db, "geo_chop_cols")
+
+
+def test_pieces_of_several_rules_are_numbered(spark):
+    df = spark.createDataFrame([(d, p, 0.0, 0.0, 8.0, 4.0) for d in (1, 2) for p in range(1, 5 - d)], "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double")
+    got = geometry.chop(df, ["evencols3", "3rows(1,1d,fill)"])
+    assert dict(got.dtypes)["page_no"] == "int" and got.columns[-1] == "page_no"
+    found = sorted((r.doc_id, r.page_no, r.src_page, r.piece) for r in got.collect())
+    assert found == [(1, 1, 1, 0), (1, 2, 2, 1), (1, 3, 2, 2), (1, 4, 2, 3), (1, 5, 3, 1), (1, 6, 3, 3), (2, 1, 1, 0), (2, 2, 2, 1), (2, 3, 2, 2), (2, 4, 2, 3)]
