@@ -229,9 +229,9 @@ def attach_files(pages: DataFrame, files: Sequence[tuple[str, str | None, str |
     none = F.lit(None)
     out = None
     if made:
-        rows = pages.select("doc_id", "page_no", "x0", "y1", F.inline(F.array_compact(F.array(*made))))
-        k = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("seq")) - 1
-        out = rows.withColumn("k", k).select("doc_id", "page_no", "seq", "name", "relationship", (F.col("x0") + 10 + 30 * F.col("k")).alias("left"), (F.col("y1") - 10 - 30 * F.col("k")).alias("top"))
+        # a page's files stand in its list in order, so that their places need no window
+        rows = pages.select("doc_id", "page_no", "x0", "y1", F.posexplode(F.array_compact(F.array(*made))).alias("k", "_f"))
+        out = rows.select("doc_id", "page_no", "x0", "y1", "k", "_f.*").select("doc_id", "page_no", "seq", "name", "relationship", (F.col("x0") + 10 + 30 * F.col("k")).alias("left"), (F.col("y1") - 10 - 30 * F.col("k")).alias("top"))
     if at_doc:
         rows = documents.select("doc_id", none.cast("int").alias("page_no"), F.inline(F.array(*at_doc))).withColumn("left", none.cast("double")).withColumn("top", none.cast("double"))
         out = rows if out is None else out.unionByName(rows)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire import queries
-from quire.operators import geometry, info, pages
+from quire.operators import geometry, info, pages, relations
 from tests.conftest import SMALL
 from tests.pages.test_queries import db, rows  # noqa: F401
 
@@ -57,3 +57,16 @@ def test_pieces_of_several_rules_are_numbered(spark):
     assert dict(got.dtypes)["page_no"] == "int" and got.columns[-1] == "page_no"
     found = sorted((r.doc_id, r.page_no, r.src_page, r.piece) for r in got.collect())
     assert found == [(1, 1, 1, 0), (1, 2, 2, 1), (1, 3, 2, 2), (1, 4, 2, 3), (1, 5, 3, 1), (1, 6, 3, 3), (2, 1, 1, 0), (2, 2, 2, 1), (2, 3, 2, 2), (2, 4, 2, 3)]
+
+
+def test_icons_need_no_window(spark, db, large):  # noqa: F811
+    got = queries.attach_icons(spark, SMALL)
+    assert plan(got).count("Exchange hashpartitioning") == plan(got).count("Sort [") == 1
+    assert same(got, db, "attach_icons")
+
+
+def test_icons_pass_over_other_pages(spark):
+    df = spark.createDataFrame([(1, p, 5.0, 0.0, 100.0, 200.0) for p in (1, 2)], "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double")
+    got = relations.attach_files(df, [("a", "odd", None), ("b", None, None), ("c", "1-end", "Data"), ("d", "2", None)])
+    found = sorted(((r.page_no, r.name, r.left, r.top) for r in got.collect()), key=repr)
+    assert found == [(1, "a", 15.0, 190.0), (1, "c", 45.0, 160.0), (2, "c", 15.0, 190.0), (2, "d", 45.0, 160.0), (None, "b", None, None)]
