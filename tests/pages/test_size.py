@@ -70,3 +70,9 @@ def test_icons_pass_over_other_pages(spark):
     got = relations.attach_files(df, [("a", "odd", None), ("b", None, None), ("c", "1-end", "Data"), ("d", "2", None)])
     found = sorted(((r.page_no, r.name, r.left, r.top) for r in got.collect()), key=repr)
     assert found == [(1, "a", 15.0, 190.0), (1, "c", 45.0, 160.0), (2, "c", 15.0, 190.0), (2, "d", 45.0, 160.0), (None, "b", None, None)]
+
+
+def test_stages_share_an_exchange(spark, db, large):  # noqa: F811
+    got = queries.pipe_cat_rotate_crop(spark, SMALL)
+    assert plan(got).count("Exchange hashpartitioning") == plan(got).count("REPARTITION_BY_NUM") == 1
+    assert same(got, db, "pipe_cat_rotate_crop")
