@@ -18,9 +18,11 @@ def xml_encode(text: Column) -> Column:
     """Entities for the five special characters, numbers for DEL and beyond ASCII; other control characters go."""
     for plain, entity in ENTITIES:
         text = F.replace(text, F.lit(plain), F.lit(entity))
+    # most texts are ASCII; only the others are searched for what needs a number
+    ascii_only = (F.length(text) == F.octet_length(text)) & ~F.contains(text, F.lit("\x7f"))
     others = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^\x00-\x7E]"), F.lit(0)))
     coded = F.aggregate(others, text, lambda t, c: F.replace(t, c, F.concat(F.lit("&#"), F.ascii(c).cast("string"), F.lit(";"))))
-    return drop_nonprinting(coded)
+    return drop_nonprinting(F.when(ascii_only, text).otherwise(coded))
 
 
 def xml_decode(text: Column) -> Column:
@@ -56,10 +58,12 @@ def _character(number: Column) -> Column:
 
 def number_text(x: Column) -> Column:
     """As few digits as tell the number apart, with thousands separators; whole numbers have no fraction."""
+    small = (x > -1000) & (x < 1000) & (x == F.floor(x))  # no separators, no fraction: read off
     digits = F.abs(x).cast("string").cast("decimal(38,18)").cast("string")
     fraction = F.regexp_replace(F.substring_index(digits, ".", -1), "0+$", "")
     whole = F.format_number(F.substring_index(digits, ".", 1).cast("decimal(20,0)"), 0)
-    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), whole, F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), fraction)))
+    said = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), whole, F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), fraction)))
+    return F.when(small, x.cast("int").cast("string")).otherwise(said)
 
 
 def short_number(x: Column) -> Column:

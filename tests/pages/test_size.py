@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire import queries
+from quire.functions import text as T
 from quire.operators import geometry, info, pages, relations
 from tests.conftest import SMALL
 from tests.pages.test_queries import db, rows  # noqa: F401
@@ -76,3 +77,18 @@ def test_stages_share_an_exchange(spark, db, large):  # noqa: F811
     got = queries.pipe_cat_rotate_crop(spark, SMALL)
     assert plan(got).count("Exchange hashpartitioning") == plan(got).count("REPARTITION_BY_NUM") == 1
     assert same(got, db, "pipe_cat_rotate_crop")
+
+
+def test_reports_share_an_exchange(spark, db, large):  # noqa: F811
+    got = queries.info_dump_data(spark, SMALL)
+    assert same(got, db, "info_dump_data")
+    done = queries.info_dump_data(spark, SMALL)
+    done.collect()
+    assert plan(done).count("ReusedExchange") >= 2
+
+
+def test_short_ways_of_text(spark):
+    df = spark.createDataFrame([(x,) for x in (0.0, -0.0, -1.0, 999.0, -999.0, 1000.0, -1000.0, 999.5, -0.5, 1e15, None)], "x double")
+    assert [r[0] for r in df.select(T.number_text(F.col("x"))).collect()] == ["0", "0", "-1", "999", "-999", "1,000", "-1,000", "999.5", "-0.5", "1,000,000,000,000,000", None]
+    df = spark.createDataFrame([(x,) for x in ("", "<3>", "a&'\"", "é<", "\x7f", "\x01\x1f", "\u0085x", "a\tb\nc", None)], "x string")
+    assert [r[0] for r in df.select(T.xml_encode(F.col("x"))).collect()] == ["", "&lt;3&gt;", "a&amp;&apos;&quot;", "&#233;&lt;", "&#127;", "", "&#133;x", "ab\nc", None]
