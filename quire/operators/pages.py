@@ -23,6 +23,9 @@ RANGES = 256
 #: Bytes of files behind the rows of one task, where documents are dealt over tasks.
 SHARE = 4 << 20
 
+#: SHAREs that a task reads at most.
+READ = 4
+
 #: What a selection says of its pages; a further selection says it anew.
 LINEAGE = ("src_page", "instance_num", "angle", "is_relative", "scale")
 
@@ -31,6 +34,7 @@ def dealt(rows: DataFrame, *by: str, times: int = 1) -> DataFrame:
     """rows dealt by key over as many tasks as the files behind them have SHAREs, so that a task's windows don't grow with the input.
 
     Left to itself Spark merges the parts of an exchange up to so many compressed bytes, which may be millions of rows.
+    A task that deals to more than 200 others keeps its rows in memory; what it has read is kept small by in_shares.
     times: how many rows a row that is read becomes. Rows that have been dealt already, that no file stands behind, or
     that are no more than a share for each core stay as they are.
     """
@@ -44,6 +48,23 @@ def dealt(rows: DataFrame, *by: str, times: int = 1) -> DataFrame:
     return rows.repartition(n, *by) if n > rows.sparkSession.sparkContext.defaultParallelism else rows
 
 
+def in_shares(table: DataFrame) -> DataFrame:
+    """A table as the reader gives it, of which a task reads READ SHAREs at most, or a row group that is larger.
+
+    Spark has a setting of sessions for this and no option of readers; it counts as it is in the session that a relation
+    was read in. So the relation gets a copy of the session with the setting; the frame stays in the caller's.
+    """
+    spark, found = table.sparkSession, table._jdf.queryExecution().analyzed()
+    if found.getClass().getSimpleName() != "LogicalRelation" or found.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return table
+    session, own = spark._jsparkSession.cloneSession(), found.relation()
+    if session.sessionState().conf().filesMaxPartitionBytes() <= READ * SHARE:
+        return table
+    session.conf().set("spark.sql.files.maxPartitionBytes", str(READ * SHARE))
+    own = own.copy(own.location(), own.partitionSchema(), own.dataSchema(), own.bucketSpec(), own.fileFormat(), own.options(), session)
+    return DataFrame(spark._jsparkSession.baseRelationToDataFrame(own), spark)
+
+
 def with_total(pages: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
     """pages and n_pages, the number of pages of the document."""
     return pages if "n_pages" in pages.columns else dealt(pages, *by).withColumn("n_pages", F.count(F.lit(1)).over(Window.partitionBy(*by)).cast("int"))

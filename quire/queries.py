@@ -257,7 +257,7 @@ def render_sizes(spark, d):
 def _docinfo(spark, d, lines: bool = False) -> DataFrame:
     """Three entries an order; for lines of a document in order, orders are dealt out before entries and lines are made of them."""
     orders = _read(spark, d, "orders")
-    return info.unpivot(pages.dealt(orders, "o_orderkey", times=9) if lines else orders, "o_orderkey", ["o_orderstatus", "o_orderpriority", "o_custkey"])
+    return info.unpivot(pages.dealt(pages.in_shares(orders), "o_orderkey", times=9) if lines else orders, "o_orderkey", ["o_orderstatus", "o_orderpriority", "o_custkey"])
 
 
 _DI = "di AS (SELECT o_orderkey AS doc_id, k AS key, v AS value FROM (SELECT o_orderkey, unnest(['o_orderstatus', 'o_orderpriority', 'o_custkey']) AS k, unnest([o_orderstatus, o_orderpriority, CAST(o_custkey AS VARCHAR)]) AS v FROM orders) WHERE v IS NOT NULL)"

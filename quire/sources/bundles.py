@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
-from ..operators.pages import dealt
+from ..operators.pages import dealt, in_shares
 from ..registry import Bundle
 
 RELATIONS = ("documents", "docinfo", "pages", "page_labels", "outlines", "dests", "annots", "fields", "layers", "layer_off", "attachments")
@@ -19,7 +19,7 @@ def read(spark: SparkSession, path: str) -> Bundle:
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = {n: spark.read.parquet(f"{path}/{n}") for n in RELATIONS if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}"))}
+    found = {n: in_shares(spark.read.parquet(f"{path}/{n}")) for n in RELATIONS if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}"))}
     if not found:
         raise InvalidArgument(f"no relation in {path}")
     return Bundle(found)
@@ -127,14 +127,14 @@ def split_arguments(text: str) -> list[str]:
 
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as pages."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = in_shares(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return rows.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_no"), "role", F.col("text").alias("content"))
 
 
 def lineitem_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as pages: width, height, rotation and a box that starts at 0. One exchange on doc_id serves all that is done by document."""
     names = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
-    rows = dealt(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id"), *names), "doc_id")
+    rows = dealt(in_shares(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).select(F.col("l_orderkey").alias("doc_id"), *names), "doc_id")
     # numbered first: what is worked out from the columns isn't shuffled, and all readers share the exchange
     out = rows.withColumn("page_no", F.row_number().over(Window.partitionBy("doc_id").orderBy(*names))).select(
         "doc_id",

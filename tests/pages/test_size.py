@@ -1,5 +1,7 @@
 """Windows of large inputs: documents dealt over tasks by the size of the files, and no more exchanges and sorts than are needed."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +81,36 @@ def test_stages_share_an_exchange(spark, db, large):  # noqa: F811
     assert same(got, db, "pipe_cat_rotate_crop")
 
 
+def test_tasks_read_few_shares(spark, db, large):  # noqa: F811
+    """A task that deals to more than 200 others keeps what it has read in memory, so that mustn't be a split of 128 MB."""
+    setting = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for name, table in (("pipe_cat_rotate_crop", "lineitem"), ("info_stanza_round_trip", "orders")):
+        spark.sparkContext.setJobGroup(name, name)
+        got = queries.QUERIES[name](spark, SMALL)
+        assert same(got, db, name)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        status = spark.sparkContext.statusTracker()
+        tasks = [status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup(name) for s in status.getJobInfo(j).stageIds if status.getStageInfo(s)]
+        size = os.path.getsize(f"{SMALL}/{table}.parquet")
+        assert -(-size // (4 << 10)) in tasks, tasks
+        assert got.sparkSession is spark and spark.conf.get("spark.sql.files.maxPartitionBytes") == setting
+
+
+def test_only_files_are_read_in_shares(spark):
+    made = spark.range(3)
+    assert pages.in_shares(made) is made
+    read = spark.read.parquet(f"{SMALL}/orders.parquet")
+    filtered = read.filter("o_orderkey > 0")
+    assert pages.in_shares(filtered) is filtered
+    got = pages.in_shares(read)
+    assert got.schema == read.schema and sorted(map(str, got.collect())) == sorted(map(str, read.collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        assert pages.in_shares(read) is read  # the caller's smaller parts stay
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_reports_share_an_exchange(spark, db, large):  # noqa: F811
     got = queries.info_dump_data(spark, SMALL)
     assert same(got, db, "info_dump_data")
